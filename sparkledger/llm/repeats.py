@@ -38,6 +38,11 @@ class Windows:
     gram: int
     kind: str
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    ordered: bool = False  # whether anchors carry their left hash and their number in the text
+
+    @property
+    def core(self) -> int:
+        return self.length - self.span + 1
 
 
 def byte_symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +67,10 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(code: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
-    """Per anchor: text number, place, first and last window start, hash of core and of hull. Places count in the concatenated symbols."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, C.U64),) * 2
+    """Per anchor: text number, place, first and last window start, hash of core, of hull and of the hull's part before the place.
+
+    Places count in the concatenated symbols."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, C.U64),) * 3
     if len(code) < w.length:
         return none
     roll = C.Rolling(code, w.kind)
@@ -79,9 +86,9 @@ def anchors(code: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray,
     last = np.append(first[1:], len(starts)) - 1
     place, text, lo, hi = place[first], text[first], starts[first], starts[last]
     left, right = np.maximum(place - w.span + 1, off[text]), np.minimum(place + w.length, off[text + 1])
-    core = roll(place, place + w.length - w.span + 1)
+    core = roll(place, place + w.core)
     hull = C.mix(roll(left, right) ^ C.mix((place - left).astype(C.U64) + C.U64(1)))
-    return text, place, lo, hi, core, hull
+    return text, place, lo, hi, core, hull, roll(left, place)
 
 
 def _scan(w: Windows, text_col: str):
@@ -89,11 +96,13 @@ def _scan(w: Windows, text_col: str):
         for batch in batches:
             for part, data, off in C.pieces(batch, text_col):
                 code, soff = w.symbols(data, off)
-                text, place, lo, hi, core, hull = anchors(code, soff, w)
+                text, place, lo, hi, core, hull, left = anchors(code, soff, w)
                 rows = part.column(part.schema.get_field_index(ROW)).to_numpy(zero_copy_only=False)
                 base = soff[text]
                 packed = (place - base) << 20 | (place - lo) << 10 | (place - hi)  # the distances are below span
-                yield pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(packed), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], names=[ROW, "at", "core", "hull"])
+                nth = np.arange(len(text)) - np.searchsorted(text, text)
+                more = [pa.array(left.view(np.int64)), pa.array(nth)] if w.ordered else []
+                yield pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(packed), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), *more], names=[ROW, "at", "core", "hull", "left", "nth"][: 4 + len(more)])
 
     return scan
 
@@ -120,26 +129,31 @@ def _each_window(w: Windows, text_col: str):
     return windows
 
 
-def repeated_spans(docs: DataFrame, w: Windows, text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, w: Windows, text: str = "text", decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs (with a column ROW, a number per row) and a column SPANS: ranges [lo, hi] of starts of windows that occur more than once.
 
-    Null and short texts, and texts without a repeated window, get null."""
+    decide: given the anchors whose cores repeat, keeps `whole` or sets it (all windows of the anchor repeat).
+    Null and short texts, and texts without a repeated window, get null. Aggregates are stored before rows are joined
+    to them, so that either side of such a join is an exchange of its own and a hot key can be split."""
     C.small_batches(docs.sparkSession)
     slim = docs.select(ROW, text)
-    found = slim.mapInArrow(_scan(w, text), f"{ROW} long, at long, core long, hull long")
+    found = slim.mapInArrow(_scan(w, text), f"{ROW} long, at long, core long, hull long" + ", left long, nth long" * w.ordered)
     cores = found.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("whole")).where("n > 1").select("core", "whole")
-    shared = C.stored(found.join(cores, "core"), "anchors")
+    shared = C.stored(found.join(C.stored(cores, "cores"), "core"), "anchors")
+    if decide:
+        shared = C.stored(decide(shared), "decided")
     lo, hi = (F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)).alias("lo"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(1023)).alias("hi")
     sure = shared.where("whole").select(ROW, lo, hi)
     unsure = shared.where("not whole")
-    hulls = unsure.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("one"))
+    partners = shared.select("core", "hull", ROW, "at").join(C.stored(unsure.select("core").distinct(), "open"), "core", "left_semi") if decide else unsure
+    hulls = C.stored(partners.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("one")), "hulls")
     again = unsure.join(hulls.where("n > 1").select("hull"), "hull", "left_semi").select(ROW, lo, hi)
     ask = hulls.select(f"one.{ROW}", F.col("one.at").alias("at"), (F.col("n") > 1).alias("known"))
     asked = ask.groupBy(ROW).agg(F.collect_list(F.struct("at", "known")).alias("asked"))
     each = slim.join(asked, ROW).mapInArrow(_each_window(w, text), f"{ROW} long, start long, known boolean, window long")
     each = C.stored(each, "windows")
     twice = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = each.where("not known").join(twice, "window", "left_semi").select(ROW, F.col("start").alias("lo"), F.col("start").alias("hi"))
+    single = each.where("not known").join(C.stored(twice, "twice"), "window", "left_semi").select(ROW, F.col("start").alias("lo"), F.col("start").alias("hi"))
     spans = sure.unionByName(again).unionByName(single).groupBy(ROW).agg(F.collect_list(F.struct("lo", "hi")).alias(SPANS))
     return docs.join(spans, ROW, "left")
 
