@@ -7,6 +7,7 @@ after an executor is lost gives the same rows.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets the driver drop the shuffle files of plans that are done
     return spark.read.schema(df.schema).parquet(path)
 
 

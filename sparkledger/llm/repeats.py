@@ -7,8 +7,8 @@ windows are decided in groups, so that the rows to count are a fraction of the w
   symbols there. Equal windows have their anchors at equal distances, and the windows of one anchor are neighbours.
 * All windows of an anchor contain the same *core* of symbols. Where the core occurs once, none of them repeats.
 * All of them lie in one *hull*. Where the hull occurs again, all of them repeat.
-* Where the core occurs again but the hull doesn't (at the edges of a copied passage), the Rabin-Karp hash of every window is counted.
-  Of equal hulls one stands for all of them, so a large group of copies counts its windows once.
+* Where the core occurs again but the hull doesn't (at the edges of a copied passage), the same is asked of parts of its windows,
+  and where that leaves them open the Rabin-Karp hash of every window is counted. Of equal hulls one stands for all of them, so a large group of copies counts its windows once.
 
 Rows of a hot group meet only in aggregates that combine before the shuffle and in joins against one row per key,
 which adaptive execution can split. Hashes have 64 bits.
@@ -38,6 +38,7 @@ class Windows:
     gram: int
     kind: str
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    part: int = 0  # starts that are settled together once an anchor's windows differ; 0: none
     ordered: bool = False  # whether anchors carry their left hash and their number in the text
 
     @property
@@ -107,6 +108,39 @@ def _scan(w: Windows, text_col: str):
     return scan
 
 
+def _asked(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of all anchors asked for: text number, place, greatest and least distance of a window start before it, known."""
+    lists = part.column(part.schema.get_field_index("asked"))
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    at, known = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), at >> 20, at >> 10 & 1023, at & 1023, known
+
+
+def _each_part(w: Windows, text_col: str):
+    """Core and hull of each part of `w.part` window starts, counted from the anchor back."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in C.pieces(batch, text_col):
+                code, soff = w.symbols(data, off)
+                roll = C.Rolling(code, w.kind)
+                text, place, far, near, known = _asked(part)
+                k, which = C.ranges(near // w.part, far // w.part + 1)
+                text, place, far, near = text[which], place[which], far[which], near[which]
+                here = place + soff[text]
+                back, ahead = (k + 1) * w.part - 1, k * w.part
+                left, right = np.maximum(here - back, soff[text]), np.minimum(here - ahead + w.length, soff[text + 1])
+                salt = C.mix(k.astype(C.U64) + C.U64(1))
+                core = roll(here - ahead, here - back + w.length) ^ salt
+                hull = C.mix(roll(left, right) ^ C.mix((here - left).astype(C.U64) + C.U64(1))) ^ salt
+                packed = place << 20 | np.minimum(far, back) << 10 | np.maximum(near, ahead)
+                rows = part.column(part.schema.get_field_index(ROW)).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(packed), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(known[which])], names=[ROW, "at", "core", "hull", "known"])
+
+    return parts
+
+
 def _each_window(w: Windows, text_col: str):
     """The hash of each window of the anchors listed with a text."""
 
@@ -114,13 +148,8 @@ def _each_window(w: Windows, text_col: str):
         for batch in batches:
             for part, data, off in C.pieces(batch, text_col):
                 code, soff = w.symbols(data, off)
-                lists = part.column(part.schema.get_field_index("asked")).combine_chunks() if isinstance(part.column(0), pa.ChunkedArray) else part.column(part.schema.get_field_index("asked"))
-                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                asked = lists.flatten()
-                at, known = asked.field(0).to_numpy(zero_copy_only=False), asked.field(1).to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(len(n)), n)
-                place = at >> 20
-                start, which = C.ranges(place - (at >> 10 & 1023), place - (at & 1023) + 1)
+                text, place, far, near, known = _asked(part)
+                start, which = C.ranges(place - far, place - near + 1)
                 begin = start + soff[text[which]]
                 rows = part.column(part.schema.get_field_index(ROW)).to_numpy(zero_copy_only=False)
                 hashes = C.Rolling(code, w.kind)(begin, begin + w.length)
@@ -129,32 +158,49 @@ def _each_window(w: Windows, text_col: str):
     return windows
 
 
+def _level(rows: DataFrame, decide: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Settles groups of windows (ROW, at, core, hull, known): the ranges of those that repeat, and one row per hull that is still open.
+
+    known: the group's result is known already and it is only there for others to match.
+    Aggregates are stored before rows are joined to them, so that either side is an exchange of its own and a hot key can be split."""
+    cores = rows.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("whole")).where("n > 1").select("core", "whole")
+    cores = C.stored(cores, "cores")
+    shared = C.stored(rows.join(cores, "core"), "shared")
+    if decide:
+        shared = C.stored(decide(shared), "decided")
+    lo, hi = (F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)).alias("lo"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(1023)).alias("hi")
+    sure = shared.where("whole and not known").select(ROW, lo, hi)
+    unsure = shared.where("not whole")
+    partners = shared.join(C.stored(unsure.select("core").distinct(), "open"), "core", "left_semi") if decide else unsure
+    hulls = C.stored(partners.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("one"), F.max("known").alias("known")), "hulls")
+    again = unsure.where("not known").join(hulls.where("n > 1").select("hull"), "hull", "left_semi").select(ROW, lo, hi)
+    spans = C.stored(sure.unionByName(again), "spans")
+    ask = hulls.select(f"one.{ROW}", F.struct(F.col("one.at").alias("at"), (F.col("known") | (F.col("n") > 1)).alias("known")).alias("ask"))
+    return spans, ask.groupBy(ROW).agg(F.collect_list("ask").alias("asked"))
+
+
 def repeated_spans(docs: DataFrame, w: Windows, text: str = "text", decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs (with a column ROW, a number per row) and a column SPANS: ranges [lo, hi] of starts of windows that occur more than once.
 
     decide: given the anchors whose cores repeat, keeps `whole` or sets it (all windows of the anchor repeat).
-    Null and short texts, and texts without a repeated window, get null. Aggregates are stored before rows are joined
-    to them, so that either side of such a join is an exchange of its own and a hot key can be split."""
+    Null and short texts, and texts without a repeated window, get null."""
     C.small_batches(docs.sparkSession)
     slim = docs.select(ROW, text)
     found = slim.mapInArrow(_scan(w, text), f"{ROW} long, at long, core long, hull long" + ", left long, nth long" * w.ordered)
-    cores = found.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("whole")).where("n > 1").select("core", "whole")
-    shared = C.stored(found.join(C.stored(cores, "cores"), "core"), "anchors")
-    if decide:
-        shared = C.stored(decide(shared), "decided")
-    lo, hi = (F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)).alias("lo"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(1023)).alias("hi")
-    sure = shared.where("whole").select(ROW, lo, hi)
-    unsure = shared.where("not whole")
-    partners = shared.select("core", "hull", ROW, "at").join(C.stored(unsure.select("core").distinct(), "open"), "core", "left_semi") if decide else unsure
-    hulls = C.stored(partners.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("one")), "hulls")
-    again = unsure.join(hulls.where("n > 1").select("hull"), "hull", "left_semi").select(ROW, lo, hi)
-    ask = hulls.select(f"one.{ROW}", F.col("one.at").alias("at"), (F.col("n") > 1).alias("known"))
-    asked = ask.groupBy(ROW).agg(F.collect_list(F.struct("at", "known")).alias("asked"))
-    each = slim.join(asked, ROW).mapInArrow(_each_window(w, text), f"{ROW} long, start long, known boolean, window long")
+    found = C.stored(found, "anchors").withColumn("known", F.lit(False))
+    spans, asked = _level(found, decide)
+    open_texts = slim.join(asked, ROW)
+    if w.part:
+        open_texts = C.stored(open_texts, "texts")
+        parts = open_texts.mapInArrow(_each_part(w, text), f"{ROW} long, at long, core long, hull long, known boolean")
+        more, asked = _level(C.stored(parts, "parts"))
+        spans = spans.unionByName(more)
+        open_texts = open_texts.drop("asked").join(asked, ROW)
+    each = open_texts.mapInArrow(_each_window(w, text), f"{ROW} long, start long, known boolean, window long")
     each = C.stored(each, "windows")
     twice = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     single = each.where("not known").join(C.stored(twice, "twice"), "window", "left_semi").select(ROW, F.col("start").alias("lo"), F.col("start").alias("hi"))
-    spans = sure.unionByName(again).unionByName(single).groupBy(ROW).agg(F.collect_list(F.struct("lo", "hi")).alias(SPANS))
+    spans = spans.unionByName(single).groupBy(ROW).agg(F.collect_list(F.struct("lo", "hi")).alias(SPANS))
     return docs.join(spans, ROW, "left")
 
 

@@ -36,7 +36,7 @@ LENGTH = 400
 
 def windows(length: int = LENGTH) -> R.Windows:
     gram = max(1, min(16, length // 8))
-    return R.Windows(length, max(1, min(200, length // 2, length - gram + 1)), gram, "byte", R.byte_symbols, True)
+    return R.Windows(length, max(1, min(200, length // 2, length - gram + 1)), gram, "byte", R.byte_symbols, max(1, length // 16), True)
 
 
 def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
