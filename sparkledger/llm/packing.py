@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,23 @@ from . import common as C
 SIZE, END_ID, SEGMENTS, GROUP = 4096, 2, 256, 4000
 #: Words whose ids a worker keeps at most.
 CACHE = 300_000
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies have for each byte: printable Latin-1 stands for itself, the rest for letters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 class WordTokens:
     """Ids of texts as bytes (unsigned 32 bit, little endian), with a bounded memory of words.
 
-    Only for tokenizers whose pieces never cross white space and don't depend on the words around; then a text's ids are its words' ids."""
+    Only for byte-level tokenizers whose normaliser composes, lowers the case and unites white space, and whose pieces are runs of letters,
+    single digits or runs of other characters, never across white space: then a text's ids are its words' ids. Words of lower-case Latin-1
+    letters are one piece each and go straight to the model; a full stop or comma at their end is a piece of its own. All others go through the whole tokenizer."""
+
+    _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,18 +52,38 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[bytes, bytes] = {}
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: bytes) -> bytes:
+        text = word.decode("ascii") if word.isascii() else "".join([self.letters[b] for b in word])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, full, stops = self.known, self._LETTERS.fullmatch, {b".": self._whole(b"."), b",": self._whole(b",")}
+        for w in words:
+            if full(w):
+                known[w] = self._letters(w)
+            elif (end := w[-1:]) in stops and full(stem := w[:-1]):
+                if stem not in known:
+                    known[stem] = self._letters(stem)
+                known[w] = known[stem] + stops[end]
+            else:
+                known[w] = self._whole(w)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            words = _SPACE.split(text)
+            words = text.encode().lower().split()  # ASCII only: the tokenizer lowers the rest
             known = self.known
-            if new := [w for w in dict.fromkeys(words) if w not in known]:
+            if new := set(words).difference(known):
                 if len(known) + len(new) > CACHE:
-                    known = self.known = {}
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
+                    known.clear()
+                    new = set(words)
+                self._learn(list(new))
             yield b"".join([known[w] for w in words])
 
 
