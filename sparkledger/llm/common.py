@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -177,6 +178,18 @@ def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+#: Plan nodes after which rows may come in another order or number of partitions when a plan runs again.
+_UNSTABLE = re.compile(r"(?m)^[\s:+|-]*(?:\S*Join|Aggregate|Repartition\S*|Rebalance\S*|Sort|Window|GlobalLimit|LocalLimit|Sample|Distinct|Deduplicate|FlatMapGroups\S*|CoGroup\S*|Intersect|Except)\b")
+
+
 def with_row_key(docs: DataFrame, key: str) -> DataFrame:
-    """A number for each row, so that repeated or null ids stay rows of their own. The same input files give the same numbers."""
+    """A number for each row, so that repeated or null ids stay rows of their own.
+
+    Several jobs number the same rows, also after executors are lost, so the layout of file partitions is kept from following the number of
+    live cores, and anything but a scan with projections and filters is stored first."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    if _UNSTABLE.search(docs._jdf.queryExecution().optimizedPlan().toString()):
+        docs = stored(docs, "rows")
     return docs.withColumn(key, F.monotonically_increasing_id())
