@@ -1,4 +1,8 @@
 """The query catalogue: name -> query, name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import running, scoring
+
+QUERIES: dict = {**scoring.QUERIES, **running.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scoring.SQL, **running.SQL}
