@@ -1,9 +1,9 @@
 """Operator 3: benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark (lower case, punctuation as space). Texts are cut into blocks of `block` words, all of them; a passage is a run
-of blocks long enough to hold an item. From all blocks of all rows come document frequencies and, in the same pass, the random projection of
+of blocks long enough to hold an item. A first pass over all blocks of all rows counts terms, a second makes the random projection of
 the block-term matrix (Halko, Martinsson and Tropp 2011): with counts T and weights D the range of (TD)'(TD)W is that of D T'T W' with
-W' = DW, so weights can be applied afterwards. Its orthonormal basis Q is the latent space. In a second pass each passage is projected and compared with every item of its
+W' = DW, so tasks need no weights. Its orthonormal basis Q is the latent space. In a third pass each passage is projected and compared with every item of its
 length by cosine; pairs from `cosine` on are checked exactly: weighted term overlap, longest common subsequence
 of words around the passage, and whether the item's answer (its last sentence, or its last third) is there too. A row is a leak if the subsequence
 covers `exact` of the item, or `loose` of it along with `loose` of the answer.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK, RANK, COSINE, OVERLAP, EXACT, LOOSE, COMMON = 16, 96, 0.45, 0.5, 0.8, 0.6, 0.1
+BLOCK, RANK, COSINE, OVERLAP, EXACT, LOOSE, COMMON, PRIOR, RAREST = 16, 32, 0.45, 0.5, 0.8, 0.6, 0.002, 20_000, 10
 #: Bytes of benchmark text that are compared in one go.
 ITEM_BYTES = 4_000_000
 _FOLD = np.full(256, 32, np.uint8)
@@ -92,12 +92,46 @@ def read_items(rows: list, longest: int = 64) -> list[Item]:
     return items
 
 
-def _blocks(woff: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each word's block, and n+1 offsets of each text's blocks."""
-    n = np.diff(woff)
-    boff = np.concatenate([[0], np.cumsum(-(-n // block))])
-    text = np.repeat(np.arange(len(n)), n)
-    return boff[text] + (np.arange(int(n.sum())) - woff[text]) // block, boff
+def _blocks(woff: np.ndarray, block: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the blocks that the words at some places are in, and n+1 offsets of each text's blocks."""
+    boff = np.concatenate([[0], np.cumsum(-(-np.diff(woff) // block))])
+    text = np.searchsorted(woff, at, "right") - 1
+    return boff[text] + (at - woff[text]) // block, boff
+
+
+def _running(rows: np.ndarray) -> np.ndarray:
+    """Running sums of rows, from no row on, so that the sum of any run of rows is one difference."""
+    out = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, axis=0, out=out[1:])
+    return out
+
+
+def _slices(full: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Rows of a table of sums in 32 slices, and the number of blocks."""
+    step = max(1, -(-len(full) // 32))
+    cut = list(range(0, len(full), step))
+    return pa.RecordBatch.from_arrays([pa.array([*cut, -1]), pa.array([*(full[a : a + step].tobytes() for a in cut), np.array([float(blocks)]).tobytes()], pa.binary())], names=["slice", "sums"])
+
+
+def _gathered(docs: DataFrame, task) -> tuple[float, np.ndarray]:
+    """Blocks in all and the flat sums of what the tasks give: of constant size, whatever the rows."""
+    rows = docs.mapInArrow(task, "slice long, sums binary").groupBy("slice").applyInArrow(_add, "slice long, sums binary").collect()
+    got = {r.slice: np.frombuffer(bytes(r.sums), np.float64) for r in rows}
+    return (got.pop(-1)[0] if got else 0.0), (np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(0))
+
+
+def _counts(terms, text_col: str, block: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = terms.value
+        total, blocks = np.zeros(len(t.codes)), 0
+        for batch in batches:
+            for _, data, off in C.pieces(batch, text_col):
+                code, woff = _codes(data, off)
+                blocks += int((-(-np.diff(woff) // block)).sum())
+                total += np.bincount(t(code)[1], minlength=len(t.codes))
+        yield _slices(total, blocks)
+
+    return count
 
 
 def _sketch(terms, text_col: str, block: int, rank: int, seed: int):
@@ -105,29 +139,25 @@ def _sketch(terms, text_col: str, block: int, rank: int, seed: int):
         t = terms.value
         v = len(t.codes)
         omega = np.random.default_rng(seed).standard_normal((v, rank))
-        df, total, blocks = np.zeros(v), np.zeros((v, rank)), 0
+        total, blocks = np.zeros((v, rank)), 0
         for batch in batches:
             for _, data, off in C.pieces(batch, text_col):
                 code, woff = _codes(data, off)
-                of, boff = _blocks(woff, block)
-                blocks += int(boff[-1])
                 at, k = t(code)
+                of, boff = _blocks(woff, block, at)
+                blocks += int(boff[-1])
                 if not len(at):
                     continue
-                b = of[at]
-                pair, n = np.unique(b * v + k, return_counts=True)
-                b, k = pair // v, pair % v
-                df += np.bincount(k, minlength=v)
-                first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                here = np.add.reduceat(omega[k] * n[:, None], first, axis=0)[np.cumsum(np.append(False, b[1:] != b[:-1]))] * n[:, None]
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                size = np.diff(np.append(first, len(of)))
+                run = _running(omega[k])
+                of_block = run[first + size] - run[first]
                 order = np.argsort(k, kind="stable")
+                run = _running(of_block[np.repeat(np.arange(len(first)), size)[order]])
                 ks = k[order]
                 first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-                total[ks[first]] += np.add.reduceat(here[order], first, axis=0)
-        full = np.column_stack([df, total])
-        step = max(1, -(-v // 32))
-        cut = list(range(0, v, step))
-        yield pa.RecordBatch.from_arrays([pa.array([*cut, -1]), pa.array([*(full[a : a + step].tobytes() for a in cut), np.array([float(blocks)]).tobytes()], pa.binary())], names=["slice", "sums"])
+                total[ks[first]] += run[np.append(first[1:], len(ks))] - run[first]
+        yield _slices(total, blocks)
 
     return sketch
 
@@ -150,35 +180,38 @@ class Space:
 
 
 def latent_space(docs: DataFrame, items: list[Item], text: str = "text", block: int = BLOCK, rank: int = RANK, common: float = COMMON, seed: int = 3) -> Space:
-    """Frequencies and random projection over all blocks of docs, then the basis on the driver: as many rows as the items have words.
+    """Frequencies, then the random projection, each over all blocks of docs; then the basis on the driver: as many rows as the items have words.
 
-    Terms in more than `common` of the blocks weigh nothing."""
+    Terms in more than `common` of the blocks stay out, but for the RAREST terms of each item. Shares are smoothed by PRIOR blocks without terms, so small tables have no common terms."""
     spark = docs.sparkSession
-    terms = Terms(np.concatenate([i.words for i in items]))
-    v = len(terms.codes)
-    rank = min(rank, v)
     C.small_batches(spark)
-    sent = spark.sparkContext.broadcast(terms)
-    rows = docs.select(F.lower(text).alias("t")).mapInArrow(_sketch(sent, "t", block, rank, seed), "slice long, sums binary").groupBy("slice").applyInArrow(_add, "slice long, sums binary").collect()
-    got = {r.slice: np.frombuffer(bytes(r.sums), np.float64) for r in rows}
-    n = got.pop(-1)[0] if got else 0.0
-    full = np.concatenate([got[k] for k in sorted(got)]).reshape(v, rank + 1) if got else np.zeros((v, rank + 1))
-    weight = np.log((n + 1) / (full[:, 0] + 1)) + 1e-3
-    weight[full[:, 0] > common * max(n, 1)] = 0
-    # items join the sketch, so that their own directions are in the space however rare their words are
+    lower = docs.select(F.lower(text).alias("t"))
+    every = Terms(np.concatenate([i.words for i in items]))
+    n, counts = _gathered(lower, _counts(spark.sparkContext.broadcast(every), "t", block))
+    counts = counts if len(counts) else np.zeros(len(every.codes))
+    live = counts <= common * (n + PRIOR)
+    for item in items:
+        own = np.unique(every(item.words)[1])
+        live[own[np.argsort(counts[own], kind="stable")[:RAREST]]] = True
+    terms = Terms(every.codes[live])
+    weight = np.log((n + PRIOR) / (counts[live] + 1))
+    v = len(terms.codes)
+    rank = min(rank, v)  # of either half of the basis
     own = np.zeros((v, len(items)))
     for j, item in enumerate(items):
-        np.add.at(own[:, j], np.searchsorted(terms.codes, item.words), 1)
+        np.add.at(own[:, j], terms(item.words)[1], 1)
     own *= weight[:, None]
-    mixed = own @ np.random.default_rng(seed + 1).standard_normal((len(items), rank))
-    corpus = weight[:, None] * full[:, 1:]
-    corpus *= np.linalg.norm(mixed) / max(np.linalg.norm(corpus), 1e-12)
-    q, _ = np.linalg.qr(np.column_stack([mixed, corpus]) if 2 * rank <= v else mixed + corpus)
+    _, flat = _gathered(lower, _sketch(spark.sparkContext.broadcast(terms), "t", block, rank, seed))
+    corpus = weight[:, None] * (flat.reshape(v, rank) if len(flat) else np.zeros((v, rank)))
+    # items join the sketch, so that their own directions are in the space however rare their words are
+    mixed = own @ np.random.default_rng(seed + 1).standard_normal((len(items), min(rank, v - rank)))
+    corpus *= np.linalg.norm(mixed) / max(np.linalg.norm(corpus), 1e-12) if mixed.any() and corpus.any() else 1
+    q, _ = np.linalg.qr(np.column_stack([mixed, corpus]))
     basis = (weight[:, None] * q).astype(np.float32)
-    vectors = np.stack([basis[np.searchsorted(terms.codes, i.words)].sum(0) for i in items])
+    vectors = np.stack([basis[terms(i.words)[1]].sum(0) for i in items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     sizes = np.array([-(-len(i.words) // block) + 1 for i in items])
-    return Space(terms, weight, basis, items, sizes, vectors)
+    return Space(terms, weight, basis, items, sizes, vectors.astype(np.float32))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -198,47 +231,47 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 def _search(space, id_col: str, text_col: str, block: int, cosine: float, overlap: float, exact: float, loose: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Space = space.value
-        item_terms = [np.unique(np.searchsorted(s.terms.codes, i.words)) for i in s.items]
-        mass = [max(s.weight[t].sum(), 1e-9) for t in item_terms]
+        item_terms = [np.unique(s.terms(i.words)[1]) for i in s.items]
+        has = np.zeros((len(s.items), len(s.weight)), bool)
+        for j, t in enumerate(item_terms):
+            has[j, t] = True
+        mass = np.array([max(s.weight[t].sum(), 1e-9) for t in item_terms])
         for batch in batches:
             out: dict[tuple[int, int], tuple] = {}
             row = 0
             for part, data, off in C.pieces(batch, text_col, 2_000_000):
                 code, woff = _codes(data, off)
-                of, boff = _blocks(woff, block)
                 at, k = s.terms(code)
-                live = s.weight[k] > 0
-                at, k = at[live], k[live]
+                b, boff = _blocks(woff, block, at)
                 if not len(at):
                     row += part.num_rows
                     continue
-                b = of[at]
-                first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                sums = np.zeros((int(boff[-1]) + 1, s.basis.shape[1]), np.float32)
-                sums[b[first] + 1] = np.add.reduceat(s.basis[k], first, axis=0)
-                sums = np.cumsum(sums, axis=0, dtype=np.float64)
+                tokens = np.searchsorted(b, np.arange(int(boff[-1]) + 1))
+                run = _running(s.basis[k])
                 text_of = np.repeat(np.arange(part.num_rows), np.diff(boff))
-                used = np.zeros(int(boff[-1]) + 1, np.int64)
-                used[1:] = np.cumsum(np.bincount(b, minlength=int(boff[-1])))
+                # the weight of a passage's terms, which the overlap with an item can't exceed
+                heavy = np.zeros(int(boff[-1]) + 1)
+                np.cumsum(np.bincount(b, s.weight[k], int(boff[-1])), out=heavy[1:])
                 for size in np.unique(s.sizes):
                     mine = np.flatnonzero(s.sizes == size)
                     start = np.arange(int(boff[-1]))
                     stop = np.minimum(start + size, boff[text_of + 1])
                     # the last passages of a text are inside the one before, but for texts of one passage
                     full = (stop - start == size) | (start == boff[text_of])
-                    full &= used[stop] - used[start] >= 3
+                    full &= heavy[stop] - heavy[start] >= overlap * mass[mine].min()
                     start, stop = start[full], stop[full]
                     for a in range(0, len(start), 20_000):
-                        v = (sums[stop[a : a + 20_000]] - sums[start[a : a + 20_000]]).astype(np.float32)
+                        v = (run[tokens[stop[a : a + 20_000]]] - run[tokens[start[a : a + 20_000]]]).astype(np.float32)
                         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                        near = v @ s.vectors[mine].T.astype(np.float32)
-                        for p, j in zip(*np.nonzero(near >= cosine)):
+                        near = v @ s.vectors[mine].T
+                        most = heavy[stop[a : a + 20_000]] - heavy[start[a : a + 20_000]]
+                        for p, j in zip(*np.nonzero((near >= cosine) & (most[:, None] >= overlap * mass[mine]))):
                             j_ = int(mine[j])
                             i, item = s.items[j_], j_
                             text = int(text_of[start[a + p]])
                             lo, hi = woff[text] + (start[a + p] - boff[text]) * block, min(woff[text + 1], woff[text] + (stop[a + p] - boff[text]) * block)
-                            here = np.intersect1d(k[np.searchsorted(at, lo) : np.searchsorted(at, hi)], item_terms[item])
-                            if s.weight[here].sum() < overlap * mass[item]:
+                            here = k[np.searchsorted(at, lo) : np.searchsorted(at, hi)]
+                            if s.weight[np.unique(here[has[item, here]])].sum() < overlap * mass[item]:
                                 continue
                             lo, hi = max(woff[text], lo - block), min(woff[text + 1], hi + block)
                             region = code[lo:hi]
