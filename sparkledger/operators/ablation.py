@@ -64,3 +64,9 @@ def with_side_tables(runs: DataFrame, train_stats: DataFrame) -> DataFrame:
     """Runs in order of time with their training statistics: the run's own `train`, else its side file's."""
     side = train_stats.select("exp_id", F.col("train").alias("_side"))
     return runs.join(side, "exp_id", "left").withColumn("train", F.coalesce("train", "_side")).drop("_side").orderBy("timestamp", "ord")
+
+
+def latest_results(runs: DataFrame, n: int = 10) -> DataFrame:
+    """The last n runs of the log, the newest first, with a line for each."""
+    said = F.concat_ws("  ", "exp_id", "arm", "model", "split", F.concat(F.lit("EM "), F.coalesce(F.format_number("exact_match", 3), F.lit("-"))))
+    return runs.orderBy(F.desc("ord")).limit(n).select("exp_id", "ord", said.alias("line"))
