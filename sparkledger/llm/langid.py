@@ -2,7 +2,7 @@
 
 Subwords are the byte n-grams (2 to 4) of a text's letters, with everything else as one space. An n-gram is a hashed row of an embedding table;
 a text is their mean; a linear layer and softmax give probabilities. The model is trained by stochastic gradient descent in numpy, on
-the driver, from at most `sample` labelled rows, of each a window of at most `window` characters at a hashed place. A fifth of them is kept back
+the driver, from about `sample` (never over twice as many) labelled rows, of each a window of at most `window` characters at a hashed place. A fifth of them is kept back
 to fit the temperature and the rejection threshold. Prediction reads every whole text, with one table of class scores per n-gram.
 
 Null texts and texts without a letter are `und` with score 0, and rejected. With no labelled row, everything is. Rows with a null
@@ -85,9 +85,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, precision: float = PRECISION, seed: int = 7) -> Model | None:
     """Fits the model; None without a labelled text that has a letter."""
-    texts, labels = zip(*[(t, y) for t, y in zip(texts, labels) if has_letter(t)] or [((), ())])
-    if not texts:
+    pairs = [(t, y) for t, y in zip(texts, labels) if has_letter(t)]
+    if not pairs:
         return None
+    texts, labels = zip(*pairs)
     names = tuple(sorted(set(labels)))
     y = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
@@ -138,14 +139,14 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, window: int = WINDOW) -> Model | None:
-    """Trains on at most `sample` rows with a label and an id that isn't held out: those with the least hashes of their ids."""
-    key = F.xxhash64(F.col(id_col), F.lit(1))
+    """Trains on about `sample` rows with a label and an id that isn't held out: those whose hashes of id and text lie below the share of rows that is wanted.
+
+    So tasks send the driver only what it takes. Repeated rows count once."""
+    can = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(id_col, text, label)
+    n = can.count()
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.greatest(F.length(text) - window, F.lit(1))) + 1
-    rows = (
-        docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-        .select(key.alias("k"), F.substring(F.col(text), spot.cast("int"), F.lit(window)).alias("t"), F.col(label).alias("l"))
-        .orderBy("k", "t", "l").limit(sample).collect()
-    )
+    some = can.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1_000_000_007)) < int(1_000_000_007 * min(1.0, sample / max(1, n)) + 1))
+    rows = some.select(F.substring(F.col(text), spot.cast("int"), F.lit(window)).alias("t"), F.col(label).alias("l")).distinct().orderBy(F.xxhash64("t"), "t", "l").limit(2 * sample).collect()
     return train([r.t for r in rows], [r.l for r in rows])
 
 
