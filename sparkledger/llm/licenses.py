@@ -30,7 +30,8 @@ SPELLINGS = [
     (r"\bcopyright owner", "copyright holder"),
     (r"https://", "http://"),
 ]
-COPYRIGHT_LINE = r"(?:^|\n)[ \t*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A line that begins with 'copyright holders' or the like is wrapped text of the licence itself, so a sign, a year or a 'by' has to follow.
+COPYRIGHT_LINE = r"(?:^|\n)[ \t*#/;-]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|by )|\(c\)|©|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
 # Texts of licences as published.
