@@ -136,7 +136,9 @@ class _Reader(DataSourceReader):
             raise OSError("checksum differs")
         return body
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way to read a source without partitions
+            return
         system, _ = _open(self.folder)
         handle = system.open_input_file(partition.path)
         members = [m for m in zipfile.ZipFile(handle).infolist() if partition.start <= m.header_offset < partition.stop]
