@@ -83,7 +83,7 @@ def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch between rows into runs of about `limit` text bytes (a longer text is a run by itself)."""
     data, off = text_buffers(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, batch.num_rows
