@@ -32,11 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session may have ended before; the folder is the cluster's to clear
             return
 
@@ -57,7 +61,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark._jvm.System.gc()  # lets the driver drop the shuffle files of plans that are done
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more: whatever was made from them is stored itself."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

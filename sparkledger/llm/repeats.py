@@ -158,46 +158,52 @@ def _each_window(w: Windows, text_col: str):
     return windows
 
 
-def _level(rows: DataFrame, decide: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Settles groups of windows (ROW, at, core, hull, known): the ranges of those that repeat, and one row per hull that is still open.
+def _level(rows: DataFrame, decide: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Settles groups of windows (ROW, at, core, hull, known): the ranges of those that repeat, one row per hull that is still open, and the table to discard once these are read.
 
     known: the group's result is known already and it is only there for others to match.
     Aggregates are stored before rows are joined to them, so that either side is an exchange of its own and a hot key can be split."""
     cores = rows.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("whole")).where("n > 1").select("core", "whole")
     cores = C.stored(cores, "cores")
     shared = C.stored(rows.join(cores, "core"), "shared")
+    C.discard(cores)
     if decide:
-        shared = C.stored(decide(shared), "decided")
+        shared = decide(shared)
     lo, hi = (F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)).alias("lo"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(1023)).alias("hi")
     sure = shared.where("whole and not known").select(ROW, lo, hi)
     unsure = shared.where("not whole")
-    partners = shared.join(C.stored(unsure.select("core").distinct(), "open"), "core", "left_semi") if decide else unsure
+    opened = C.stored(unsure.select("core").distinct(), "open") if decide else None
+    partners = shared.join(opened, "core", "left_semi") if decide else unsure
     hulls = C.stored(partners.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("one"), F.max("known").alias("known")), "hulls")
     again = unsure.where("not known").join(hulls.where("n > 1").select("hull"), "hull", "left_semi").select(ROW, lo, hi)
     spans = C.stored(sure.unionByName(again), "spans")
+    C.discard(shared, *([opened] if decide else []))
     ask = hulls.select(f"one.{ROW}", F.struct(F.col("one.at").alias("at"), (F.col("known") | (F.col("n") > 1)).alias("known")).alias("ask"))
-    return spans, ask.groupBy(ROW).agg(F.collect_list("ask").alias("asked"))
+    return spans, ask.groupBy(ROW).agg(F.collect_list("ask").alias("asked")), hulls
 
 
 def repeated_spans(docs: DataFrame, w: Windows, text: str = "text", decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs (with a column ROW, a number per row) and a column SPANS: ranges [lo, hi] of starts of windows that occur more than once.
 
-    decide: given the anchors whose cores repeat, keeps `whole` or sets it (all windows of the anchor repeat).
+    decide: given the stored anchors whose cores repeat, gives a stored table with `whole` (all windows of the anchor repeat) and discards the first.
     Null and short texts, and texts without a repeated window, get null."""
     C.small_batches(docs.sparkSession)
     slim = docs.select(ROW, text)
     found = slim.mapInArrow(_scan(w, text), f"{ROW} long, at long, core long, hull long" + ", left long, nth long" * w.ordered)
-    found = C.stored(found, "anchors").withColumn("known", F.lit(False))
-    spans, asked = _level(found, decide)
-    open_texts = slim.join(asked, ROW)
+    found = C.stored(found, "anchors")
+    spans, asked, hulls = _level(found.withColumn("known", F.lit(False)), decide)
+    C.discard(found)
+    open_texts, done = slim.join(asked, ROW), [hulls]
     if w.part:
-        open_texts = C.stored(open_texts, "texts")
-        parts = open_texts.mapInArrow(_each_part(w, text), f"{ROW} long, at long, core long, hull long, known boolean")
-        more, asked = _level(C.stored(parts, "parts"))
+        texts = C.stored(open_texts, "texts")
+        parts = C.stored(texts.mapInArrow(_each_part(w, text), f"{ROW} long, at long, core long, hull long, known boolean"), "parts")
+        more, asked, others = _level(parts)
+        C.discard(parts)
         spans = spans.unionByName(more)
-        open_texts = open_texts.drop("asked").join(asked, ROW)
+        open_texts, done = texts.drop("asked").join(asked, ROW), [hulls, texts, others]
     each = open_texts.mapInArrow(_each_window(w, text), f"{ROW} long, start long, known boolean, window long")
     each = C.stored(each, "windows")
+    C.discard(*done)
     twice = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     single = each.where("not known").join(C.stored(twice, "twice"), "window", "left_semi").select(ROW, F.col("start").alias("lo"), F.col("start").alias("hi"))
     spans = spans.unionByName(single).groupBy(ROW).agg(F.collect_list(F.struct("lo", "hi")).alias(SPANS))

@@ -39,27 +39,27 @@ def windows(length: int = LENGTH) -> R.Windows:
     return R.Windows(length, max(1, min(200, length // 2, length - gram + 1)), gram, "byte", R.byte_symbols, max(1, length // 16), True)
 
 
-def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds names of the key tuples that follow their order: equal tuples get one name, greater tuples greater names."""
+def named(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Adds names of the key tuples that follow their order: equal tuples get one name, greater tuples greater names. Also gives the stored table of names."""
     tuples = rows.select(*keys).distinct().orderBy(*keys)
     names = C.stored(tuples.withColumn(name, F.monotonically_increasing_id() + 1), "names")
     same = [F.col(f"r.{k}") == F.col(f"n.{k}") for k in keys]
-    return rows.alias("r").join(names.alias("n"), same).select("r.*", f"n.{name}")
+    return rows.alias("r").join(names.alias("n"), same).select("r.*", f"n.{name}"), names
 
 
-def suffix_names(phrases: DataFrame) -> DataFrame:
+def suffix_names(phrases: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """phrases: _row, nth (number in its text), run, phrase. Adds `rank` where nth % 3 > 0: the name, in sorted order, of the nine phrases from there on.
 
-    A run is an unbroken stretch of phrases; past its end all symbols are 0."""
+    A run is an unbroken stretch of phrases; past its end all symbols are 0. Also gives the stored tables that the result reads."""
     run = Window.partitionBy(R.ROW, "run").orderBy("nth")
     ahead = lambda c, k: F.coalesce(F.lead(c, k).over(run), F.lit(0))
     triples = phrases.withColumns({"p1": ahead("phrase", 1), "p2": ahead("phrase", 2)})
-    sample = named(triples.where("nth % 3 > 0").select(R.ROW, "run", "nth", F.col("phrase").alias("k0"), F.col("p1").alias("k1"), F.col("p2").alias("k2")), ["k0", "k1", "k2"], "name")
+    sample, first = named(triples.where("nth % 3 > 0").select(R.ROW, "run", "nth", F.col("phrase").alias("k0"), F.col("p1").alias("k1"), F.col("p2").alias("k2")), ["k0", "k1", "k2"], "name")
     chain = Window.partitionBy(R.ROW, "run", F.col("nth") % 3).orderBy("nth")
     further = lambda k: F.coalesce(F.lead("name", k).over(chain), F.lit(0))
     longer = sample.select(R.ROW, "run", "nth", "name").withColumns({"name1": further(1), "name2": further(2)})
-    ranks = named(longer, ["name", "name1", "name2"], "rank").select(R.ROW, "nth", "rank")
-    return triples.join(ranks, [R.ROW, "nth"], "left")
+    ranks, second = named(longer, ["name", "name1", "name2"], "rank")
+    return triples.join(ranks.select(R.ROW, "nth", "rank"), [R.ROW, "nth"], "left"), [first, second]
 
 
 def equal_prefixes(length: int, core: int):
@@ -73,7 +73,7 @@ def equal_prefixes(length: int, core: int):
         step = F.coalesce(F.lead(place, 1).over(run) - place, F.lit(0))
         rows = rows.withColumn("phrase", F.xxhash64("core", step)).withColumn("reach", F.max(place).over(run.rowsBetween(0, 8)) + core - place)
         rows = C.stored(rows, "phrases")
-        ranked = suffix_names(rows)
+        ranked, tables = suffix_names(rows)
         ranked = ranked.withColumns({"r1": F.lead("rank", 1).over(run), "r2": F.lead("rank", 2).over(run)})
         rest = F.col("nth") % 3
 
@@ -84,11 +84,14 @@ def equal_prefixes(length: int, core: int):
         at0, at1 = key(0, F.coalesce("rank", zero)), key(1, F.col("phrase"), F.coalesce("r1", zero))
         at2 = key(2, F.col("phrase"), F.col("p1"), F.coalesce("r2", zero))
         keys = F.when(rest == 0, F.array(at1, at2)).when(rest == 1, F.array(at0, at1)).otherwise(F.array(at0, at2))
-        ranked = C.stored(ranked.select(R.ROW, "nth", "reach", keys.alias("keys")).where(F.col("reach") >= length), "ranked")
-        each = ranked.select(R.ROW, "nth", F.explode("keys").alias("key"))
+        keyed = C.stored(ranked.select(R.ROW, "nth", "reach", keys.alias("keys")).where(F.col("reach") >= length), "ranked")
+        each = keyed.select(R.ROW, "nth", F.explode("keys").alias("key"))
         again = C.stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "equal")
         settled = each.join(again, "key", "left_semi").select(R.ROW, "nth").distinct().withColumn("equal", F.lit(True))
-        return shared.drop("whole").join(settled, [R.ROW, "nth"], "left").withColumn("whole", F.coalesce("equal", F.lit(False))).drop("equal", "left", "nth")
+        out = shared.drop("whole").join(settled, [R.ROW, "nth"], "left").withColumn("whole", F.coalesce("equal", F.lit(False))).drop("equal", "left", "nth")
+        out = C.stored(out, "decided")
+        C.discard(shared, rows, keyed, again, *tables)
+        return out
 
     return decide
 

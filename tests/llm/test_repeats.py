@@ -100,7 +100,7 @@ def test_suffix_names_follow_the_order_of_suffixes(spark):
     seqs = {r: [rng.randint(1, 3) for _ in range(40)] for r in range(6)}
     seqs[6] = seqs[0][:]
     df = spark.createDataFrame([(r, i, 0, p) for r, s in seqs.items() for i, p in enumerate(s)], "_row long, nth long, run long, phrase long")
-    got = [(r.rank, (seqs[r._row] + [0] * 9)[r.nth : r.nth + 9]) for r in suffix_dedup.suffix_names(df).where("nth % 3 > 0").collect()]
+    got = [(r.rank, (seqs[r._row] + [0] * 9)[r.nth : r.nth + 9]) for r in suffix_dedup.suffix_names(df)[0].where("nth % 3 > 0").collect()]
     assert len(got) == sum(i % 3 > 0 for s in seqs.values() for i in range(len(s)))
     names = {}
     for rank, nine in got:
