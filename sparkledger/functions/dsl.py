@@ -17,22 +17,20 @@ SYMBOLS = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "exp": "
 TABLE_OPS = ["table_max", "table_min", "table_sum", "table_average"]
 
 
+_STEP = r"([^()]*)\(([^()]+), ([^()]+)\)(?:, |$)"
+_BLANK = " \t\n\r\f\x0b"
+
+
 def steps(program: Column) -> Column:
-    """array<struct<n, op, a, b>>; null if the program is malformed. Each step has two arguments without brackets or ', '."""
-    parts = F.split(strip(program), ", ")
-    heads = F.filter(parts, lambda _, i: i % 2 == 0)
-    tails = F.filter(parts, lambda _, i: i % 2 == 1)
-    shaped = (F.size(heads) == F.size(tails)) & F.forall(heads, lambda h: h.rlike(r"^[^()]*\([^()]+$")) & F.forall(tails, lambda t: t.rlike(r"^[^()]+\)$"))
-    made = F.transform(
-        F.arrays_zip(heads.alias("h"), tails.alias("t")),
-        lambda z, i: F.struct(
-            i.alias("n"),
-            strip(F.regexp_extract(z["h"], r"^([^()]*)\(", 1)).alias("op"),
-            strip(F.regexp_extract(z["h"], r"\(([^()]+)$", 1)).alias("a"),
-            strip(F.regexp_extract(z["t"], r"^([^()]+)\)$", 1)).alias("b"),
-        ),
-    )
-    return F.when(shaped, made)
+    """array<struct<n, op, a, b>>; null if the program is malformed. Each step has two arguments without brackets or ', '.
+
+    A program is well-formed if the steps found in it, written out again, are all of it, and it has no other ', ' than theirs."""
+    op, a, b = (F.regexp_extract_all(program, F.lit(_STEP), F.lit(i)) for i in (1, 2, 3))
+    found = F.arrays_zip(op.alias("op"), a.alias("a"), b.alias("b"))
+    again = F.array_join(F.transform(found, lambda z: F.concat(z["op"], F.lit("("), z["a"], F.lit(", "), z["b"], F.lit(")"))), ", ")
+    bare = lambda x: F.btrim(x, F.lit(_BLANK))
+    made = F.transform(found, lambda z, i: F.struct(i.alias("n"), bare(z["op"]).alias("op"), bare(z["a"]).alias("a"), bare(z["b"]).alias("b")))
+    return F.when((again == program) & (program != "") & (F.size(F.split(program, ", ")) == F.size(found) * 2), made)
 
 
 def row_values(table: Column, name: Column) -> Column:
@@ -45,8 +43,8 @@ def row_values(table: Column, name: Column) -> Column:
 
 def _operand(a: Column) -> Column:
     """An argument as struct<ref, num>: the step it refers to (-1: no step), or its number."""
-    ref = F.when(F.startswith(a, F.lit("#")), F.coalesce(F.regexp_extract(a, r"^#([0-9]{1,8})$", 1).try_cast("int"), F.lit(-1)))
-    return F.struct(ref.alias("ref"), N.argument_number(a).alias("num"))
+    ref = F.when(F.startswith(a, F.lit("#")), F.coalesce(F.nullif(F.regexp_extract(a, r"^#([0-9]{1,8})$", 1), F.lit("")).try_cast("int"), F.lit(-1)))
+    return F.struct(ref.alias("ref"), F.when(~F.startswith(a, F.lit("#")), N.argument_number(a)).alias("num"))
 
 
 def prepared(df: DataFrame, program: Column, table: Column | None = None, name: str = "steps") -> DataFrame:

@@ -22,7 +22,7 @@ SCALES = [
 # Tolerances of the strict and of the primary rule.
 STRICT_REL, STRICT_ABS, PRIMARY_REL, PRIMARY_ABS = 1e-3, 1e-4, 0.01, 1e-4
 _NUMBER = r"(-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[-+]?[0-9]+)?)"
-_FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_FLOAT = r"(?U)^\s*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 _SCALE = r"(?U)\b(" + "|".join(sorted((w for w, _ in SCALES), key=len, reverse=True)) + r")\b"
 
 
@@ -76,10 +76,15 @@ def of(answer: str | Column) -> Answer:
     return Answer(c["num"], c["text"])
 
 
+def _found(x: Column, pattern: str) -> Column:
+    """The pattern's first group as a double. Casting '' is slow (it fails by an exception), so it becomes null before."""
+    return F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double")
+
+
 def normalize_number(x: Column) -> Column:
     """The number that a text holds, or null: the first one anywhere, '$', ',' and '%' dropped; the first scale word of SCALES multiplies it, parentheses around the whole text negate it."""
     low = F.lower(x)
-    num = F.regexp_extract(F.translate(low, "−$,%", "-"), _NUMBER, 1).try_cast("double")
+    num = _found(F.translate(low, "−$,%", "-"), _NUMBER)
     words = F.regexp_extract_all(low, F.lit(_SCALE), F.lit(1))
     place = F.array_min(F.transform(words, lambda w: F.array_position(F.array(*(F.lit(w_) for w_, _ in SCALES)), w)))
     by = F.when(low.rlike(_SCALE), F.element_at(F.array(*(F.lit(m) for _, m in SCALES)), place.cast("int"))).otherwise(F.lit(1.0))
@@ -150,21 +155,21 @@ def gold_matches(value: Answer, gold: Answer, two_decimals: bool = False) -> Col
 
 def plain_float(x: Column) -> Column:
     """A text that is a number and nothing else, as a double."""
-    s = strip(x)
-    return F.when(s.rlike(_FLOAT), s.try_cast("double"))
+    return _found(x, _FLOAT)
 
 
 def argument_number(x: Column) -> Column:
     """A program's argument: commas dropped, 'x%' is a hundredth, const_N is N and const_m1 is -1; else null."""
-    t = strip(F.replace(x, F.lit(","), F.lit("")))
-    percent = F.when(F.contains(t, F.lit("%")), plain_float(F.replace(t, F.lit("%"), F.lit(""))) / 100)
-    const = F.when(F.startswith(t, F.lit("const_")), F.when(t == "const_m1", F.lit(-1.0)).otherwise(plain_float(F.substring(t, 7, 1000))))
+    t = F.translate(x, ",", "")
+    percent = F.when(F.contains(t, F.lit("%")), plain_float(F.translate(t, "%", "")) / 100)
+    c = F.trim(t)
+    const = F.when(F.startswith(c, F.lit("const_")), F.when(c == "const_m1", F.lit(-1.0)).otherwise(plain_float(F.substring(c, 7, 1000))))
     return F.coalesce(plain_float(t), percent, const)
 
 
 def cell_number(x: Column) -> Column:
     """The first plain number in a table cell; parentheses don't negate."""
-    return F.regexp_extract(F.translate(x.cast("string"), ",$", ""), r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    return _found(F.translate(x.cast("string"), ",$", ""), r"(-?[0-9]+(?:\.[0-9]+)?)")
 
 
 def _fixed(v: Column, digits: int) -> Column:
