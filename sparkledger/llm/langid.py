@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, WINDOW, BUCKETS, DIMENSIONS, EPOCHS, PRECISION = 4000, 1500, 1 << 16, 16, 6, 0.99
+SAMPLE, WINDOW, BUCKETS, DIMENSIONS, EPOCHS, RATE, PRECISION = 4000, 1500, 1 << 16, 16, 15, 5.0, 0.99
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -103,7 +103,7 @@ def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dimension
     weight, bias = np.zeros((dimensions, len(names)), np.float32), np.zeros(len(names), np.float32)
     todo = np.flatnonzero(~held)
     for epoch in range(epochs):
-        rate = np.float32(20.0 * (1 - epoch / epochs))
+        rate = np.float32(RATE * (1 - epoch / epochs))
         for i in rng.permutation(todo):
             ids, w = features[i]
             mean = w @ embed[ids]
