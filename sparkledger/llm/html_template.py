@@ -225,11 +225,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
     """id_col, url, text, n_chars for each page. most, most_bytes: pages and bytes of a group; hot_hosts: how many hosts of several groups are broadcast; if there are more they are joined by a shuffle."""
     host = F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     slim = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), F.col(source).alias("_html"), host.alias("_host"))
-    many = slim.groupBy("_host").agg(F.ceil(F.greatest(F.count("*") / most, F.coalesce(F.sum(F.octet_length("_html")), F.lit(0)) / most_bytes)).alias("_groups")).where("_groups > 1")
-    many = C.stored(many, "hosts")
-    if many.count() <= hot_hosts:
-        many = F.broadcast(many)
+    hosts = slim.groupBy("_host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_html")), F.lit(0)).alias("b"))
+    hosts = C.stored(hosts.withColumn("_groups", F.ceil(F.greatest(F.col("n") / most, F.col("b") / most_bytes))), "hosts")
+    many = hosts.where("_groups > 1").select("_host", "_groups")
+    many = F.broadcast(many) if many.count() <= hot_hosts else many.hint("merge")
     dealt = slim.join(many, "_host", "left").withColumn("_group", F.pmod(F.xxhash64("_id", "_url"), F.coalesce("_groups", F.lit(1)))).drop("_groups")
+    # groups can't be split by adaptive execution, so there are as many partitions as keep tasks of one size
+    wide = -(-int(hosts.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]) // most_bytes)
+    dealt = dealt.repartition(max(wide, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_host", "_group")
     id_type, url_type = pages.schema[id_col].dataType.simpleString(), pages.schema[url].dataType.simpleString()
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
