@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
+from .latest import seeded_sample
+
 WALL_S, CPU_S, MEMORY_MB, THREADS = 5, 5, 512, 2
 SCHEMA = "ok boolean, num double, text string, error string, timed_out boolean"
 _MARK = "=>answer:"
@@ -83,3 +86,17 @@ def _run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def execute(program: Column) -> Column:
     """struct<ok, num, text, error, timed_out> of a program. Equal programs of a batch run once. Repartition before it where programs are few and slow."""
     return F.pandas_udf(_run, SCHEMA)(program)
+
+
+def spot_check(records: DataFrame, n: int = 50, seed: int = 0, uid: str = "uid") -> DataFrame:
+    """Of n sampled records with a program (gold_program, answer), how many programs give the gold answer in the sandbox: checked, agreed."""
+    some = seeded_sample(records.where("gold_program is not null").select(uid, "gold_program", "answer"), n, uid, seed)
+    ran = some.withColumn("_r", execute(F.col("gold_program")))
+    agrees = F.col("_r.ok") & N.answers_match(N.of("_r"), N.of("answer"))
+    return ran.agg(F.count("*").alias("checked"), F.count_if(agrees).alias("agreed"))
+
+
+def verify(records: DataFrame) -> DataFrame:
+    """The records whose program gives their answer in the sandbox, by the strict rule. Records without a program never start one."""
+    ran = records.where("gold_program is not null").withColumn("_r", execute(F.col("gold_program")))
+    return ran.where(F.col("_r.ok") & N.answers_match(N.of("_r"), N.of("answer"))).drop("_r")

@@ -60,6 +60,12 @@ def answer(v: Column) -> Column:
     return F.struct(number.alias("num"), F.when(number.isNull(), shown).alias("text"))
 
 
+def nested(v: Column, path: str, kind: str, default: object = None) -> Column:
+    """L1: a value inside a variant by its dotted path, as a Spark type; the default where it is missing or of another type."""
+    found = F.try_variant_get(v, "$." + path, kind)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, damaged: str = "FAILFAST") -> DataFrame:
     """JSON lines. damaged: FAILFAST, or DROPMALFORMED to leave such lines out. A missing file is an empty table."""
     if not exists(spark, path):

@@ -83,6 +83,12 @@ def manifest(items: DataFrame, version: str, commit: str) -> str:
     return json.dumps({"preprocess_version": version, "code_commit": commit, "datasets": splits}, indent=2, sort_keys=True)
 
 
+def dataset_card(items: DataFrame, title: str, version: str, commit: str) -> str:
+    """The manifest's counts for people, in Markdown."""
+    counts = items.groupBy("dataset", "split").agg(F.count("*").alias("questions"), F.count("gold_program").alias("verified programs")).orderBy("dataset", "split")
+    return f"# {title}\n\nPrepared with version {version}, code {commit}.\n\n{markdown_table(counts)}\n"
+
+
 def deterministic_zip(files: dict[str, bytes]) -> bytes:
     """K7: the same members give the same archive: sorted, with one fixed time."""
     out = io.BytesIO()

@@ -141,3 +141,10 @@ def test_titles(evaluate):
     rows = [("Share adapters.", " Text.", "Share adapters"), ("", " Next thing; more", "Next thing"), ("x" * 95, "", "x" * 87 + "...")]
     got = evaluate([r[:2] for r in rows], "a string, b string", t=roadmap.title(F.col("a"), F.col("b")))
     assert [r["t"] for r in got] == [r[2] for r in rows]
+
+
+def test_spot_check_and_gate(spark):
+    rows = [("a", "answer = 2 * 3", 6.0), ("b", "answer = 1", 2.0), ("c", None, 1.0), ("d", "answer = 1 / 0", 0.0)]
+    records = spark.createDataFrame(rows, "uid string, gold_program string, v double").select("uid", "gold_program", F.struct(F.col("v").alias("num"), F.lit(None).cast("string").alias("text")).alias("answer"))
+    assert tuple(sandbox.spot_check(records, 10).first()) == (3, 1)
+    assert [r.uid for r in sandbox.verify(records).collect()] == ["a"]

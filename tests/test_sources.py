@@ -90,4 +90,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").columns == ["dataset", "arm", "em", "em_hi", "em_lo", "note"]
     files = spark.createDataFrame([("a/result.json",), ("a/w.safetensors",), ("a/checkpoint-5/x.json",)], "path string")
     assert [r.path for r in sinks.packable(files).collect()] == ["a/result.json"]
-    assert F.lit(1) is not None
+    items = spark.createDataFrame([("finqa", "dev", "p"), ("finqa", "dev", None)], "dataset string, split string, gold_program string")
+    assert "| finqa | dev | 2 | 1 |" in sinks.dataset_card(items, "Data", "1", "abc")
+    assert json.loads(sinks.manifest(items, "1", "abc"))["datasets"] == {"finqa": {"dev": {"n": 2, "n_verified": 1}}}
+
+
+def test_nested_values(spark):
+    df = spark.sql("""select parse_json('{"gpu": {"n_gpus": 2}, "s": "x"}') as v""")
+    r = df.select(readers.nested(F.col("v"), "gpu.n_gpus", "int").alias("a"), readers.nested(F.col("v"), "gpu.train_seconds", "double", 0.0).alias("b"), readers.nested(F.col("v"), "s", "int", 7).alias("c")).first()
+    assert tuple(r) == (2, 0.0, 7)
