@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARDS, BLOCKS = 16, 256
+SHARDS, BLOCKS, PART_BYTES = 16, 256, 32_000_000
 
 
 def minimum_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -77,11 +77,15 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> tuple[DataFrame, list[list[int]]]:
-    """docs with _size, _old, _block and shard; and the flows. old: the old shard of a row, 0 to shards - 1."""
+def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[list[int]]]:
+    """docs with _size, _old, _block, _part and shard; and the flows. old: the old shard of a row, 0 to shards - 1.
+
+    A block is laid out in parts of about part_bytes, so that no task has more than a part, however large the corpus is."""
     rows = docs.withColumns({"_size": size_of(text), "_old": old.cast("int"), "_hash": F.xxhash64(F.col(id_col), F.col(text))})
     rows = rows.withColumn("_block", F.pmod("_hash", F.lit(blocks)).cast("int"))
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("_old", "_block").agg(F.sum("_size")).collect()}  # at most shards * blocks rows
+    parts = max(1, -(-max(sizes.values(), default=0) // part_bytes))
+    rows = rows.withColumn("_part", F.pmod(F.shiftright("_hash", 24), F.lit(parts)).cast("int"))
     supply = [sum(v for (o, _), v in sizes.items() if o == k) for k in range(shards)]
     capacity = capacities or even_capacities(sum(supply), shards)
     flows = minimum_cost_flow(supply, capacity, [[int(i != j) for j in range(len(capacity))] for i in range(shards)])
@@ -101,8 +105,14 @@ def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shar
         cuts.append(ends)
     spark = docs.sparkSession
     offsets = F.broadcast(spark.createDataFrame(starts, "_old int, _block int, _at long"))
-    inside = Window.partitionBy("_old", "_block").orderBy(F.shiftright("_hash", 8), "_hash", F.col(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(offsets, ["_old", "_block"]).withColumn("_place", F.col("_at") + F.sum("_size").over(inside) - F.shiftright(F.col("_size") + 1, 1))
+    placed = rows.join(offsets, ["_old", "_block"])
+    if parts > 1:
+        own = rows.groupBy("_old", "_block", "_part").agg(F.sum("_size").alias("_own"))
+        before = Window.partitionBy("_old", "_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        own = own.withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0))).drop("_own")
+        placed = placed.join(own.hint("merge"), ["_old", "_block", "_part"]).withColumn("_at", F.col("_at") + F.col("_before")).drop("_before")
+    inside = Window.partitionBy("_old", "_block", "_part").orderBy(F.shiftright("_hash", 8), "_hash", F.col(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_place", F.col("_at") + F.sum("_size").over(inside) - F.shiftright(F.col("_size") + 1, 1))
     shard = F.lit(None).cast("int")
     for o in range(shards):
         of = F.lit(cuts[o][-1][1] if cuts[o] else o)
@@ -115,14 +125,21 @@ def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shar
 def with_slots(placed: DataFrame) -> DataFrame:
     """Adds slot: gapless from 0 in each shard, by counts per block and ranks inside blocks."""
     spark = placed.sparkSession
-    counts = placed.groupBy("shard", "_old", "_block").count().orderBy("shard", "_old", "_block").collect()  # bounded by blocks and cuts
+    each = placed.groupBy("shard", "_old", "_block", "_part").agg(F.count("*").alias("n"))
+    counts = each.groupBy("shard", "_old", "_block").agg(F.sum("n").alias("n"), F.max("_part").alias("parts")).orderBy("shard", "_old", "_block").collect()  # bounded by blocks and cuts
     starts, at = [], {}
     for r in counts:
         starts.append((r["shard"], r["_old"], r["_block"], at.get(r["shard"], 0)))
-        at[r["shard"]] = at.get(r["shard"], 0) + r["count"]
+        at[r["shard"]] = at.get(r["shard"], 0) + r["n"]
+    keys = ["shard", "_old", "_block"]
     table = F.broadcast(spark.createDataFrame(starts, "shard int, _old int, _block int, _first long"))
-    rank = F.row_number().over(Window.partitionBy("_old", "_block", "shard").orderBy("_hash")) - 1
-    return placed.join(table, ["shard", "_old", "_block"]).withColumn("slot", F.col("_first") + rank).drop("_first")
+    found = placed.join(table, keys)
+    if any(r["parts"] for r in counts):
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        own = each.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        found = found.join(own.hint("merge"), [*keys, "_part"]).withColumn("_first", F.col("_first") + F.col("_before")).drop("_before")
+    rank = F.row_number().over(Window.partitionBy("_old", "_block", "_part", "shard").orderBy("_hash")) - 1
+    return found.withColumn("slot", F.col("_first") + rank).drop("_first")
 
 
 def rewrite(placed: DataFrame, folder: str) -> None:
@@ -130,12 +147,12 @@ def rewrite(placed: DataFrame, folder: str) -> None:
     placed.write.partitionBy("shard").parquet(folder)
 
 
-def reshard(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def reshard(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", folder: str | None = None, **options) -> DataFrame:
     """Plans, rewrites and reads again: docs with _size, _old, shard and slot."""
     spark = docs.sparkSession
     folder = folder or C.new_path(spark, "shards")
-    placed, _ = plan(docs, old, capacities, shards, id_col, text)
-    columns = [*docs.columns, "_size", "_old", "_block", "_hash", "shard"]
+    placed, _ = plan(docs, old, capacities, shards, id_col, text, **options)
+    columns = [*docs.columns, "_size", "_old", "_block", "_part", "_hash", "shard"]
     rewrite(placed.select(columns), folder)
     schema = placed.select(columns).schema
     return with_slots(spark.read.schema(schema).parquet(folder))
