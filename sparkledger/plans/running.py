@@ -30,12 +30,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_shipdate DESC, l_partkey DESC, l_suppkey DESC")
+@query("SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS shipped, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_shipdate DESC, l_partkey DESC, l_suppkey DESC")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest of the rows of a key, with a total order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
     best = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("r"))
-    return best.select("l_orderkey", "l_linenumber", "r.*")
+    return best.select("l_orderkey", "l_linenumber", F.date_format("r.l_shipdate", "yyyy-MM-dd").alias("shipped"), "r.l_partkey", "r.l_suppkey")
 
 
 @query("SELECT DISTINCT ON (l_suppkey) l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem ORDER BY l_suppkey, l_orderkey, l_linenumber, l_partkey")
@@ -279,11 +279,11 @@ def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.length_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars"), 8, "doc_id").select("doc_id", "batch")
 
 
-@query("SELECT o_orderkey, list_sort(list_distinct(list_transform(range(1, CAST(o_custkey % 5 AS BIGINT) + 1), lambda k: least(k * CAST(ceil((o_orderkey % 100) / (o_custkey % 5)::DOUBLE) AS BIGINT), o_orderkey % 100)))) AS steps FROM orders WHERE o_orderkey % 100 > 0 AND o_custkey % 5 > 0")
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_transform(range(1, CAST(o_custkey % 5 AS BIGINT) + 1), lambda k: least(k * CAST(ceil((o_orderkey % 100) / (o_custkey % 5)::DOUBLE) AS BIGINT), o_orderkey % 100)))), ',') AS steps FROM orders WHERE o_orderkey % 100 > 0 AND o_custkey % 5 > 0")
 def selection_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9, M4."""
     rows = table(spark, sf_dir, "orders").where("o_orderkey % 100 > 0 and o_custkey % 5 > 0")
-    return rows.select("o_orderkey", costs.selection_steps(F.col("o_orderkey") % 100, F.col("o_custkey") % 5).alias("steps"))
+    return rows.select("o_orderkey", F.array_join(costs.selection_steps(F.col("o_orderkey") % 100, F.col("o_custkey") % 5), ",").alias("steps"))
 
 
 @query("SELECT count(*) FILTER (WHERE doc_id % 4 > 0 AND n_chars <= 2048) AS kept, count(*) FILTER (WHERE doc_id % 4 > 0 AND n_chars > 2048) AS too_long, count(*) FILTER (WHERE doc_id % 4 = 0) AS no_target, CAST(coalesce(sum(n_chars) FILTER (WHERE doc_id % 4 > 0 AND n_chars <= 2048), 0) AS BIGINT) AS tokens FROM documents")
@@ -346,8 +346,8 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", "event_type")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of event time, over the whole table."""
     rows = table(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
-    return streams.tumbling_counts(rows, "time", "1 hour", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return streams.tumbling_counts(rows, "time", "1 hour", "event_type").select(F.expr("timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', cast(start as timestamp_ntz))").alias("start"), "event_type", "n")
