@@ -91,7 +91,8 @@ def _write(folder: str, id_col: str, text_col: str):
                     raw = (t or "").encode()
                     archive.writestr(zipfile.ZipInfo(f"{n}/{len(raw)}/{'' if i is None else i}"), encode_png(pad(raw)))
                     n += 1
-        if n:
+        # an attempt before this one may have finished its archive: it holds the same members
+        if n and system.get_file_info(name).type == pafs.FileType.NotFound:
             system.move(partial, name)
         else:
             system.delete_file(partial)
