@@ -123,8 +123,8 @@ def _argument_text(a: Column) -> Column:
     )
 
 
-def to_python(df: DataFrame, program: Column, table: Column | None = None, name: str = "python") -> DataFrame:
-    """Adds `name`: the program as Python source that assigns `answer`; null where its form is wrong."""
+def to_python(df: DataFrame, program: Column, table: Column | None = None, name: str = "python", value: str | None = None) -> DataFrame:
+    """Adds `name`: the program as Python source that assigns `answer`; null where its form is wrong. value: the column of `evaluate`, if there is one."""
     table = F.lit(None).cast("array<array<string>>") if table is None else table
     symbol = F.create_map(*(F.lit(x) for pair in SYMBOLS.items() for x in pair))
 
@@ -143,7 +143,8 @@ def to_python(df: DataFrame, program: Column, table: Column | None = None, name:
         return F.concat(F.lit("step_"), s["n"].cast("string"), F.lit(" = "), expression)
 
     source = strip(F.coalesce(program, F.lit("")))
-    made = evaluate(df, program, table, "_value").withColumn("_source", source).withColumn("_parsed", steps(F.col("_source")))
+    made = df.withColumn("_value", F.col(value)) if value else evaluate(df, program, table, "_value")
+    made = made.withColumn("_source", source).withColumn("_parsed", steps(F.col("_source")))
     texts = F.transform("_parsed", lambda s: F.struct(s["n"].alias("n"), s["op"].alias("op"), _argument_text(s["a"]).alias("a"), _argument_text(s["b"]).alias("b"), F.when(s["op"].isin(TABLE_OPS), F.transform(row_values(table, s["a"]), N.literal)).alias("row")))
     made = made.withColumn("_lines", F.transform(texts, line))
     last = F.concat(F.lit("answer = step_"), (F.size("_lines") - 1).cast("string"))

@@ -268,7 +268,7 @@ def program_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs whose value is the gold answer, as text and as value."""
     q = F.col("l_quantity").cast("long").cast("string")
     program = F.concat(F.lit("multiply("), q, F.lit(", const_100), divide(#0, 4)"))
-    rows = dsl.to_python(dsl.evaluate(table(spark, sf_dir, "lineitem"), program), program)
+    rows = dsl.to_python(dsl.evaluate(table(spark, sf_dir, "lineitem"), program), program, value="value")
     ok = dsl.verified(F.col("value"), _n(F.col("l_quantity") * 25)) & (F.col("python") == F.concat(F.lit("step_0 = "), q, F.lit(" * 100\nstep_1 = step_0 / 4\nanswer = step_1")))
     return rows.groupBy(F.col("l_returnflag").alias("arm")).agg(F.count("*").alias("n"), F.count_if(ok).alias("verified"))
 

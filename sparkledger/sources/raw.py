@@ -28,7 +28,7 @@ TATQA = (
 
 def _verified(rows: DataFrame) -> DataFrame:
     """Records from question, program, gold and the report; the program is kept if its value is the gold answer."""
-    rows = dsl.to_python(dsl.evaluate(rows, F.col("program"), F.col("table")), F.col("program"), F.col("table"))
+    rows = dsl.to_python(dsl.evaluate(rows, F.col("program"), F.col("table")), F.col("program"), F.col("table"), value="value")
     rows = rows.withColumn("program_verified", dsl.verified(F.col("value"), N.of("gold")))
     return rows.select(
         "uid", "question", T.build_context(F.col("pre_text"), F.col("table"), F.col("post_text")).alias("context"), F.col("gold").alias("answer"),
