@@ -2,8 +2,9 @@
 
 A text is a weighted set of shingles of five words (words: runs without white space, lower case for ASCII letters); a shingle weighs its count times
 the mean inverse document frequency of its words. Document frequencies cover all rows, in a fixed number of hashed
-buckets, so they are a table of constant size. Samples (Ioffe 2010) are cut into bands; rows that share a band are compared with two
-of its rows (the least and a hashed one), pairs are verified by exact weighted Jaccard similarity, and links are closed to classes.
+buckets, so they are a table of constant size. Samples (Ioffe 2010) are cut into bands; pairs of rows that share a band are verified by exact
+weighted Jaccard similarity, and links are closed to classes. First each row meets two rows of its band (the least and a hashed one); while a band has
+rows of several classes left, its rows meet more and more heads, until each of its pairs is in one class, verified, or too uneven in weight to be similar.
 Equal word sequences are one node from the start, so groups of copies never meet in a band.
 
 A text of under five words is one shingle. Null texts and texts without words are classes of their own. Repeated rows are copies.
@@ -13,6 +14,7 @@ Null ids are allowed: the class id is the least id there is. Extra columns are l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from . import common as C
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BUCKETS, POOL = 5, 0.8, 14, 3, 1 << 18, 1 << 16
+#: Heads of a band in the first round after the two that all bands have (the next has GROWTH times as many), and pairs of a band that one task makes.
+HEADS, GROWTH, BLOCK = 8, 8, 1 << 16
 ROW = "_row"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,7 +133,8 @@ def _signatures(text_col: str, idf, bands: int, rows: int, shingle: int):
             for part, data, off in C.pieces(batch, text_col):
                 code, woff = _words(data, off)
                 n = part.num_rows
-                samples = sampler(*weighted_shingles(code, woff, idf.value, shingle), n).reshape(n, bands, rows)
+                shingles = weighted_shingles(code, woff, idf.value, shingle)
+                samples = sampler(*shingles, n).reshape(n, bands, rows)
                 band = np.zeros((n, bands), C.U64) + np.arange(1, bands + 1, dtype=C.U64)
                 for k in range(rows):
                     band = C.mix(band ^ samples[:, :, k]) + C.U64(k)
@@ -139,7 +144,8 @@ def _signatures(text_col: str, idf, bands: int, rows: int, shingle: int):
                 has = np.diff(woff) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * bands)).astype(np.int32)), pa.array(band[has].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(ROW)), pa.array(digest.view(np.int64), mask=~has), pa.array(other.view(np.int64), mask=~has), lists], names=[ROW, "d1", "d2", "bands"]
+                    [part.column(part.schema.get_field_index(ROW)), pa.array(digest.view(np.int64), mask=~has), pa.array(other.view(np.int64), mask=~has), lists, pa.array(np.bincount(shingles[0], shingles[2], n))],
+                    names=[ROW, "d1", "d2", "bands", "weight"],
                 )
 
     return sign
@@ -166,27 +172,70 @@ def _verify(idf, shingle: int, least: float):
     return verify
 
 
+def _links(slim: DataFrame, pairs: DataFrame, idf, shingle: int, least: float) -> DataFrame:
+    """The stored pairs that are similar, with their texts compared in full."""
+    # the rows of pairs grow with the input, so they are never broadcast
+    texts = slim.join(pairs.select(F.col("a").alias(ROW)).union(pairs.select(F.col("b").alias(ROW))).distinct().hint("merge"), ROW, "left_semi")
+    texts = C.stored(texts, "texts")
+    sides = pairs.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("text_b")), "b")
+    links = C.stored(sides.mapInArrow(_verify(idf, shingle, least), "a long, b long, similarity double"), "links")
+    C.discard(texts)
+    return links
+
+
+def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFrame, links: DataFrame, idf, shingle: int, least: float) -> DataFrame:
+    """node, label of all links within bands, where those to each band's first two heads are known.
+
+    A round closes the links so far to classes and leaves bands whose remaining rows are of one class. In the others some rows become heads, namely the
+    one with the most links (often what the others were made from) and hashed ones, and meet all remaining rows of other classes. A head is
+    then done in its band. Heads grow from round to round, so rounds grow with the logarithm of the largest band, and the last makes all pairs that are left."""
+    label, found, tried, heads, step = components(links), [links], [pairs], HEADS, 0
+    rest = met.where("n > 3 and node <> h1 and node <> h2").select("band", "node")
+    last = met
+    while True:
+        ends = reduce(DataFrame.unionByName, found).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        of = rest.join(nodes.select("node", "weight"), "node").join(label, "node", "left").join(ends, "node", "left")
+        of = C.stored(of.select("band", "node", "weight", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "of")
+        C.discard(last)
+        bands = of.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("hub")).where("lo <> hi")
+        bands = C.stored(bands.select("band", "n", "hub"), "bands")
+        if not bands.limit(1).count():
+            C.discard(of, bands, *found, *tried)
+            return label
+        chosen = (F.col("node") == F.col("hub")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) * F.col("n") < heads << 20)
+        rows = C.stored(of.join(bands, "band").select("band", "node", "weight", "label", chosen.alias("head"), F.ceil(F.col("n") * F.least("n", F.lit(heads)) / BLOCK).cast("int").alias("parts")), "rest")
+        C.discard(of, bands)
+        left = rows.select("band", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int").alias("part"), "node", "weight", "label", "head")
+        right = rows.where("head").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("node2"), F.col("weight").alias("weight2"), F.col("label").alias("label2"))
+        new = left.join(right, ["band", "part"]).where("label <> label2 and (not head or node < node2)")
+        # two sets are no more similar than the lighter is to the heavier
+        new = new.where(F.least("weight", "weight2") >= least * F.greatest("weight", "weight2") - 1e-6)
+        new = new.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        new = C.stored(new.join(reduce(DataFrame.unionByName, tried).hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = _links(slim, new, idf, shingle, least)
+        tried.append(new)
+        found.append(more)
+        if more.limit(1).count():
+            label = components(more.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        rest, last = rows.where("not head").select("band", "node"), rows
+        heads, step = heads * GROWTH, step + 1
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (with ROW) as ROW, id_col, class_id (least id of the class), class_size, keep (the row that stays: least id, then row)."""
     spark = docs.sparkSession
     C.small_batches(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text))
     slim = docs.select(ROW, F.col(text).alias("text"))
-    sigs = C.stored(slim.mapInArrow(_signatures("text", idf, bands, rows, shingle), f"{ROW} long, d1 long, d2 long, bands array<long>"), "signatures")
-    nodes = C.stored(sigs.where("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct(ROW, "bands")).alias("s")).select("d1", "d2", F.col(f"s.{ROW}").alias("node"), "s.bands"), "nodes")
+    sigs = C.stored(slim.mapInArrow(_signatures("text", idf, bands, rows, shingle), f"{ROW} long, d1 long, d2 long, bands array<long>, weight double"), "signatures")
+    nodes = C.stored(sigs.where("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct(ROW, "bands", "weight")).alias("s")).select("d1", "d2", F.col(f"s.{ROW}").alias("node"), "s.bands", "s.weight"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("h1"), F.min_by("node", F.xxhash64("node", "band")).alias("h2")).where("n > 1")
-    met = banded.join(heads, "band").select("node", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("head")).where("node <> head")
-    pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    pairs = C.stored(pairs, "pairs")
-    # the rows of pairs grow with the input, so they are never broadcast
-    texts = slim.join(pairs.select(F.col("a").alias(ROW)).union(pairs.select(F.col("b").alias(ROW))).distinct().hint("merge"), ROW, "left_semi")
-    texts = C.stored(texts, "texts")
-    sides = pairs.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("text_b")), "b")
-    links = C.stored(sides.mapInArrow(_verify(idf, shingle, least), "a long, b long, similarity double"), "links")
-    C.discard(pairs, texts)
-    label = components(links)
-    C.discard(links)
+    met = C.stored(banded.join(heads, "band"), "met")
+    pairs = met.select("node", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("head")).where("node <> head")
+    pairs = C.stored(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
+    links = _links(slim, pairs, idf, shingle, least)
+    label = _complete(slim, nodes, met, pairs, links, idf, shingle, least)
     of_row = sigs.select(ROW, "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(label, "node", "left").select(ROW, F.coalesce("label", "node", ROW).alias("label"))
     members = docs.select(ROW, id_col).join(of_row, ROW)
     heads = members.groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col(ROW).alias("r"))).alias("m"), F.count("*").alias("class_size"))

@@ -45,6 +45,24 @@ def test_classes_equal_brute_force(spark):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+def test_copies_linked_by_an_original_that_is_no_head(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(20)]
+    original = [rng.choice(vocabulary) for _ in range(300)]
+    texts = []
+    for _ in range(140):
+        w = list(original)
+        for k in range(5):
+            w[k * 60 + rng.randrange(5, 55)] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    texts.insert(97, " ".join(original))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = minhash.inverse_frequencies(docs)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    want = brute(texts, idf)
+    assert set(want) == {0} and [got[i] for i in range(len(texts))] == want
+
+
 def test_samples_agree_as_often_as_sets_overlap():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
