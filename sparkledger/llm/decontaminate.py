@@ -4,7 +4,7 @@ Terms are the words of the benchmark (lower case, punctuation as space). Texts a
 of blocks long enough to hold an item. A first pass over all blocks of all rows counts terms, a second makes the random projection of
 the block-term matrix (Halko, Martinsson and Tropp 2011): with counts T and weights D the range of (TD)'(TD)W is that of D T'T W' with
 W' = DW, so tasks need no weights. Its orthonormal basis Q is the latent space. In a third pass each passage is projected and compared with every item of its
-length by cosine; pairs from `cosine` on are checked exactly: weighted term overlap, longest common subsequence
+length by cosine; pairs from `cosine` on are checked exactly, unless too few of the item's words are there for any match: longest common subsequence
 of words around the passage, and whether the item's answer (its last sentence, or its last third) is there too. A row is a leak if the subsequence
 covers `exact` of the item, or `loose` of it along with `loose` of the answer.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK, RANK, COSINE, OVERLAP, EXACT, LOOSE, COMMON, PRIOR, RAREST = 16, 32, 0.45, 0.5, 0.8, 0.6, 0.002, 20_000, 10
+BLOCK, RANK, COSINE, EXACT, LOOSE, COMMON, PRIOR, RAREST = 16, 96, 0.45, 0.8, 0.6, 0.1, 20_000, 10
 #: Bytes of benchmark text that are compared in one go.
 ITEM_BYTES = 4_000_000
 _FOLD = np.full(256, 32, np.uint8)
@@ -99,11 +99,13 @@ def _blocks(woff: np.ndarray, block: int, at: np.ndarray) -> tuple[np.ndarray, n
     return boff[text] + (at - woff[text]) // block, boff
 
 
-def _running(rows: np.ndarray) -> np.ndarray:
-    """Running sums of rows, from no row on, so that the sum of any run of rows is one difference."""
-    out = np.zeros((len(rows) + 1, rows.shape[1]))
-    np.cumsum(rows, axis=0, out=out[1:])
-    return out
+def _runs(b: np.ndarray, step: int = 20_000) -> Iterator[tuple[slice, np.ndarray]]:
+    """Words, whose blocks are b, in runs of whole blocks and about `step` words, with the first word of each block in the run."""
+    first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+    cut = np.unique(np.searchsorted(first, np.arange(0, len(b), step)))
+    for lo, hi in zip(cut, [*cut[1:], len(first)]):
+        if lo < hi:
+            yield slice(first[lo], first[hi] if hi < len(first) else len(b)), first[lo:hi] - first[lo]
 
 
 def _slices(full: np.ndarray, blocks: int) -> pa.RecordBatch:
@@ -138,7 +140,7 @@ def _sketch(terms, text_col: str, block: int, rank: int, seed: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = terms.value
         v = len(t.codes)
-        omega = np.random.default_rng(seed).standard_normal((v, rank))
+        omega = np.random.default_rng(seed).standard_normal((v, rank)).astype(np.float32)
         total, blocks = np.zeros((v, rank)), 0
         for batch in batches:
             for _, data, off in C.pieces(batch, text_col):
@@ -148,15 +150,14 @@ def _sketch(terms, text_col: str, block: int, rank: int, seed: int):
                 blocks += int(boff[-1])
                 if not len(at):
                     continue
-                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                size = np.diff(np.append(first, len(of)))
-                run = _running(omega[k])
-                of_block = run[first + size] - run[first]
-                order = np.argsort(k, kind="stable")
-                run = _running(of_block[np.repeat(np.arange(len(first)), size)[order]])
-                ks = k[order]
-                first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-                total[ks[first]] += run[np.append(first[1:], len(ks))] - run[first]
+                for run, first in _runs(of):
+                    ks = k[run]
+                    of_block = np.add.reduceat(omega[ks], first, axis=0)
+                    order = np.argsort(ks, kind="stable")
+                    of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ks))))[order]
+                    ks = ks[order]
+                    first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
+                    total[ks[first]] += np.add.reduceat(of_block[of_word], first, axis=0)
         yield _slices(total, blocks)
 
     return sketch
@@ -214,28 +215,36 @@ def latent_space(docs: DataFrame, items: list[Item], text: str = "text", block:
     return Space(terms, weight, basis, items, sizes, vectors.astype(np.float32))
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel (Hyyro 2004)."""
+def _places(a: np.ndarray) -> dict[int, int]:
+    """Where each word of a is, as bits."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b.tolist():
-        if m := masks.get(y):
-            u = v & m
-            v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
+    return masks
+
+
+def _subsequence(n: int, found: list[int]) -> int:
+    """Length of the longest common subsequence of n words and a text with words at these places of them, bit-parallel (Hyyro 2004)."""
+    full = v = (1 << n) - 1
+    for m in found:
+        u = v & m
+        v = (v + u | v - u) & full
+    return n - v.bit_count()
 
 
-def _search(space, id_col: str, text_col: str, block: int, cosine: float, overlap: float, exact: float, loose: float):
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    masks = _places(a)
+    return _subsequence(len(a), [masks[y] for y in b.tolist() if y in masks])
+
+
+def _search(space, id_col: str, text_col: str, block: int, cosine: float, exact: float, loose: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Space = space.value
-        item_terms = [np.unique(s.terms(i.words)[1]) for i in s.items]
-        has = np.zeros((len(s.items), len(s.weight)), bool)
-        for j, t in enumerate(item_terms):
-            has[j, t] = True
-        mass = np.array([max(s.weight[t].sum(), 1e-9) for t in item_terms])
+        places, answers = [_places(i.words) for i in s.items], [_places(i.answer) for i in s.items]
+        # what a match has at least of the item's words, and of those with weight
+        least = [min(exact, loose) * len(i.words) - 1e-9 for i in s.items]
+        need = np.array([n - len(i.words) + len(s.terms(i.words)[0]) for n, i in zip(least, s.items)])
         for batch in batches:
             out: dict[tuple[int, int], tuple] = {}
             row = 0
@@ -247,36 +256,38 @@ def _search(space, id_col: str, text_col: str, block: int, cosine: float, overla
                     row += part.num_rows
                     continue
                 tokens = np.searchsorted(b, np.arange(int(boff[-1]) + 1))
-                run = _running(s.basis[k])
+                run = np.zeros((int(boff[-1]) + 1, s.basis.shape[1]))
+                for words, first in _runs(b):
+                    run[b[words][first] + 1] = np.add.reduceat(s.basis[k[words]], first, axis=0)
+                np.cumsum(run, axis=0, out=run)
                 text_of = np.repeat(np.arange(part.num_rows), np.diff(boff))
-                # the weight of a passage's terms, which the overlap with an item can't exceed
-                heavy = np.zeros(int(boff[-1]) + 1)
-                np.cumsum(np.bincount(b, s.weight[k], int(boff[-1])), out=heavy[1:])
                 for size in np.unique(s.sizes):
                     mine = np.flatnonzero(s.sizes == size)
                     start = np.arange(int(boff[-1]))
                     stop = np.minimum(start + size, boff[text_of + 1])
                     # the last passages of a text are inside the one before, but for texts of one passage
                     full = (stop - start == size) | (start == boff[text_of])
-                    full &= heavy[stop] - heavy[start] >= overlap * mass[mine].min()
-                    start, stop = start[full], stop[full]
+                    # the words with weight in a passage and the blocks beside it
+                    most = tokens[np.minimum(stop + 1, boff[text_of + 1])] - tokens[np.maximum(start - 1, boff[text_of])]
+                    full &= most >= need[mine].min()
+                    start, stop, most = start[full], stop[full], most[full]
                     for a in range(0, len(start), 20_000):
-                        v = (run[tokens[stop[a : a + 20_000]]] - run[tokens[start[a : a + 20_000]]]).astype(np.float32)
+                        v = (run[stop[a : a + 20_000]] - run[start[a : a + 20_000]]).astype(np.float32)
                         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                         near = v @ s.vectors[mine].T
-                        most = heavy[stop[a : a + 20_000]] - heavy[start[a : a + 20_000]]
-                        for p, j in zip(*np.nonzero((near >= cosine) & (most[:, None] >= overlap * mass[mine]))):
+                        for p, j in zip(*np.nonzero((near >= cosine) & (most[a : a + 20_000, None] >= need[mine]))):
                             j_ = int(mine[j])
                             i, item = s.items[j_], j_
                             text = int(text_of[start[a + p]])
                             lo, hi = woff[text] + (start[a + p] - boff[text]) * block, min(woff[text + 1], woff[text] + (stop[a + p] - boff[text]) * block)
-                            here = k[np.searchsorted(at, lo) : np.searchsorted(at, hi)]
-                            if s.weight[np.unique(here[has[item, here]])].sum() < overlap * mass[item]:
-                                continue
                             lo, hi = max(woff[text], lo - block), min(woff[text + 1], hi + block)
-                            region = code[lo:hi]
-                            whole = common_subsequence(i.words, region) / len(i.words)
-                            answer = common_subsequence(i.answer, region) / max(1, len(i.answer))
+                            region = code[lo:hi].tolist()
+                            if len(hits := [m for m in map(places[item].get, region) if m]) < least[item]:
+                                continue
+                            whole = _subsequence(len(i.words), hits) / len(i.words)
+                            if whole < min(exact, loose):
+                                continue
+                            answer = _subsequence(len(i.answer), [m for m in map(answers[item].get, region) if m]) / max(1, len(i.answer))
                             if whole >= exact or whole >= loose and answer >= loose:
                                 key, found = (row + text, item), (whole, float(near[p, j]), answer, int(lo - woff[text]))
                                 if key not in out or found > out[key]:
@@ -297,7 +308,7 @@ def _search(space, id_col: str, text_col: str, block: int, cosine: float, overla
     return search
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, cosine: float = COSINE, overlap: float = OVERLAP, exact: float = EXACT, loose: float = LOOSE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, cosine: float = COSINE, exact: float = EXACT, loose: float = LOOSE) -> DataFrame:
     """A row for each row of docs and each item that it leaks: id_col, item_id, subsequence, cosine, answer, at_word."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -310,7 +321,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         if parts := read_items([(r.i, r.t) for r in rows]):
             sent = spark.sparkContext.broadcast(latent_space(docs, parts, text, block))
             lower = docs.select(id_col, F.lower(text).alias("_t"))
-            found.append(lower.mapInArrow(_search(sent, id_col, "_t", block, cosine, overlap, exact, loose), schema))
+            found.append(lower.mapInArrow(_search(sent, id_col, "_t", block, cosine, exact, loose), schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 

@@ -38,6 +38,20 @@ def test_leaks(spark):
     assert D.leaks(table, bench.limit(0)).count() == 0 and D.leaks(table.limit(0), bench).count() == 0
 
 
+def test_paraphrases_without_the_rarest_words(spark):
+    rng = random.Random(8)
+    frequent, rare = [f"f{i}" for i in range(150)], [f"r{i}" for i in range(200)]
+    items, planted = [], []
+    for i in range(20):
+        w = rng.sample(frequent, 32) + rng.sample(rare, 8)
+        rng.shuffle(w)
+        items.append((i, " ".join(w)))
+        planted.append((i, " ".join(f"new{i}" if x[0] == "r" else x for x in w)))
+    docs = planted + [(100 + i, " ".join(rng.choice(rare if rng.random() < 0.1 else frequent) for _ in range(400))) for i in range(3000)]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(20)}
+
+
 def test_long_items_leak_by_their_parts(spark):
     words = [f"w{i}x" for i in range(200)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
