@@ -485,3 +485,26 @@ def sandbox_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(form == 0, F.concat(F.lit("x = "), v, F.lit("\nanswer = x * 2"))).when(form == 1, F.concat(F.lit("answer = 'yes' if "), v, F.lit(" > 3 else 'no'"))).when(form == 2, F.lit("x = 1  # answer")).when(form == 3, F.lit("answer = 1 / 0")).otherwise(F.lit("answer = open('/etc/hostname').read()"))
     rows = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(form.alias("form"), sandbox.execute(code).alias("r"))
     return rows.groupBy("form").agg(F.count("*").alias("n"), F.count_if("r.ok").alias("ok"), long(F.coalesce(F.sum("r.num"), F.lit(0.0))).alias("total"))
+
+
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program for each supplier, of the five forms of sandbox_exec, whatever the scale."""
+    v = F.col("s_nationkey").cast("string")
+    form = (F.col("s_suppkey") % 5).cast("int")
+    code = F.when(form == 0, F.concat(F.lit("x = "), v, F.lit("\nanswer = x * 2"))).when(form == 1, F.concat(F.lit("answer = 'yes' if "), v, F.lit(" > 3 else 'no'"))).when(form == 2, F.lit("x = 1  # answer")).when(form == 3, F.lit("answer = 1 / 0")).otherwise(F.lit("answer = open('/etc/hostname').read()"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", form.alias("form"), code.alias("code"))
+
+
+@query("SELECT CAST(s_suppkey % 5 AS INT) AS form, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 5 < 2) AS ok, CAST(coalesce(sum(CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey * 2 END), 0) AS BIGINT) AS total FROM supplier GROUP BY 1")
+def sandbox_exec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sandbox_exec over the programs of all suppliers."""
+    rows = _programs(spark, sf_dir).select("form", sandbox.execute(F.col("code")).alias("r"))
+    return rows.groupBy("form").agg(F.count("*").alias("n"), F.count_if("r.ok").alias("ok"), long(F.coalesce(F.sum("r.num"), F.lit(0.0))).alias("total"))
+
+
+@query("SELECT least(count(*), 50) AS checked, least(count(*), 50) AS agreed FROM supplier WHERE s_suppkey % 5 = 0")
+def sandbox_spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 sampled records out of all that have a program; each program gives its answer."""
+    program = F.when(F.col("form") == 0, F.col("code"))
+    records = _programs(spark, sf_dir).select(F.col("s_suppkey").alias("uid"), program.alias("gold_program"), N.number(F.col("s_nationkey") * 2).struct().alias("answer"))
+    return sandbox.spot_check(records, 50)

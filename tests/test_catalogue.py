@@ -39,3 +39,11 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(str([plain(r[names.index(c)]) for c in sorted(names)]) for r in found.fetchall())
     assert sorted(str([plain(r[c]) for c in sorted(names)]) for r in rows) == want
+
+
+def test_sandbox_runs_the_programs_of_all_suppliers(spark):
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    rows = catalogue.QUERIES["sandbox_exec_all"](spark, sf).collect()
+    assert n > 50 and sum(r.n for r in rows) == n
+    assert catalogue.QUERIES["sandbox_spot_check"](spark, sf).first().checked == min(50, n // 5)
