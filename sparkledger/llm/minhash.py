@@ -190,7 +190,7 @@ def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFram
     one with the most links (often what the others were made from) and hashed ones, and meet all remaining rows of other classes. A head is
     then done in its band. Heads grow from round to round, so rounds grow with the logarithm of the largest band, and the last makes all pairs that are left."""
     label, found, tried, heads, step = components(links), [links], [pairs], HEADS, 0
-    rest = met.where("n > 3 and node <> h1 and node <> h2").select("band", "node")
+    rest = met.where("n > 2 and node <> h1 and node <> h2").select("band", "node")
     last = met
     while True:
         ends = reduce(DataFrame.unionByName, found).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
