@@ -1,8 +1,8 @@
 """Operator 1: main text of web pages, by equivalence classes of tokens over pages of one host.
 
 Tokens are elements (by their path of tags, classes and ids) and words (by path and word). A token's occurrence vector counts it on each page;
-tokens with equal vectors form a class. Classes that are large and frequent enough and whose elements keep one order on every page are valid, and
-nest by the elements they contain. Elements that occur once on the pages of a valid class are the template's frame; what lies between them are slots.
+tokens with equal vectors form a class. Classes that are large and frequent enough and whose elements keep one order on every page are valid;
+they are not nested. Elements that occur once on the pages of a valid class are the template's frame; what lies between them are slots.
 The main slot is the frame's article or main element if it holds half of the words that are not template themselves, or else the innermost container
 that holds nearly all of them; navigation and the like is left out by the meaning of tags, roles and class names. All of its text is kept, block by block.
 
