@@ -72,11 +72,12 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._stored_at)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that Python workers hold little text at a time."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now > rows or now <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4_000_000) -> None:
+    """Arrow batches of at most so many rows and bytes (a longer row is a batch by itself), so that Python workers hold little text at a time."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

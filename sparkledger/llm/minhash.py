@@ -3,9 +3,9 @@
 A text is a weighted set of shingles of five words (words: runs without white space, lower case for ASCII letters); a shingle weighs its count times
 the mean inverse document frequency of its words. Document frequencies cover all rows, in a fixed number of hashed
 buckets, so they are a table of constant size. Samples (Ioffe 2010) are cut into bands; pairs of rows that share a band are verified by exact
-weighted Jaccard similarity, and links are closed to classes. First each row meets two rows of its band (the least and a hashed one); while a band has
-rows of several classes left, its rows meet more and more heads, until each of its pairs is in one class, verified, or too uneven in weight to be similar.
-Equal word sequences are one node from the start, so groups of copies never meet in a band.
+weighted Jaccard similarity, and links are closed to classes. First each row meets two rows of its band (the least and a hashed one); where a band has
+rows of several classes left, an exact filter on what they have more or less of than one of its rows leaves the pairs to verify (`_complete`).
+Equal word sequences (by a 128-bit digest) are one node from the start, so groups of copies never meet in a band.
 
 A text of under five words is one shingle. Null texts and texts without words are classes of their own. Repeated rows are copies.
 Null ids are allowed: the class id is the least id there is. Extra columns are left out here and kept by `keep_one`.
@@ -13,20 +13,18 @@ Null ids are allowed: the class id is the least id there is. Extra columns are l
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BUCKETS, POOL = 5, 0.8, 14, 3, 1 << 18, 1 << 16
-#: Heads of a band in the first round after the two that all bands have (the next has GROWTH times as many), and pairs of a band that one task makes.
-HEADS, GROWTH, BLOCK = 8, 8, 1 << 16
 ROW = "_row"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,6 +36,18 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return C.word_hashes(data, starts, stops), woff
 
 
+def _digests(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit BLAKE2 digest of each text's words in lower case, joined by single spaces."""
+    data = _LOWER[data]
+    gap = C.SEPARATOR[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    keep[off[:-1][off[:-1] < len(data)]] = True  # a text's first byte stays, whatever the text before ends with
+    kept, at = np.where(gap, np.uint8(32), data)[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[off].tolist()
+    both = np.frombuffer(b"".join([hashlib.blake2b(kept[a:b].strip(b" "), digest_size=16).digest() for a, b in zip(at, at[1:])]), C.U64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _frequencies(text_col: str, buckets: int, slices: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(buckets, np.int64), 0
@@ -138,9 +148,7 @@ def _signatures(text_col: str, idf, bands: int, rows: int, shingle: int):
                 band = np.zeros((n, bands), C.U64) + np.arange(1, bands + 1, dtype=C.U64)
                 for k in range(rows):
                     band = C.mix(band ^ samples[:, :, k]) + C.U64(k)
-                roll = C.Rolling(code, "word")
-                digest = roll(woff[:-1], woff[1:])
-                other = C.Rolling(C.mix(code), "byte")(woff[:-1], woff[1:])
+                digest, other = _digests(data, off)
                 has = np.diff(woff) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * bands)).astype(np.int32)), pa.array(band[has].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -172,53 +180,107 @@ def _verify(idf, shingle: int, least: float):
     return verify
 
 
-def _links(slim: DataFrame, pairs: DataFrame, idf, shingle: int, least: float) -> DataFrame:
-    """The stored pairs that are similar, with their texts compared in full."""
+def _texts_of(slim: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) with text_a and text_b, and the stored texts that it reads."""
     # the rows of pairs grow with the input, so they are never broadcast
     texts = slim.join(pairs.select(F.col("a").alias(ROW)).union(pairs.select(F.col("b").alias(ROW))).distinct().hint("merge"), ROW, "left_semi")
     texts = C.stored(texts, "texts")
-    sides = pairs.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("text_b")), "b")
+    return pairs.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("text_b")), "b"), texts
+
+
+def _links(slim: DataFrame, pairs: DataFrame, idf, shingle: int, least: float) -> DataFrame:
+    """The stored pairs that are similar, with their texts compared in full."""
+    sides, texts = _texts_of(slim, pairs)
     links = C.stored(sides.mapInArrow(_verify(idf, shingle, least), "a long, b long, similarity double"), "links")
     C.discard(texts)
     return links
 
 
+def _differences(idf, shingle: int):
+    """For pairs of a hub a and a row b: the weights of both, what both have, and the shingles whose weights differ with the difference.
+
+    A shingle of which b has more than a, and one of which it has less, are different elements."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in C.pieces(batch, "text_b"):
+                data_a, off_a = C.text_buffers(part.column(part.schema.get_field_index("text_a")))
+                n = part.num_rows
+                t1, h1, w1 = weighted_shingles(*_words(data_a, off_a), idf.value, shingle)
+                t2, h2, w2 = weighted_shingles(*_words(data, off), idf.value, shingle)
+                t, h, w = np.concatenate([t1, t2]), np.concatenate([h1, h2]), np.concatenate([-w1, w2])
+                order = np.lexsort((h, t))
+                t, h, w = t[order], h[order], w[order]
+                first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (h[1:] != h[:-1]))) if len(t) else np.zeros(0, np.int64)
+                gap = np.add.reduceat(w, first) if len(t) else w
+                t, h = t[first], h[first]
+                some = np.abs(gap) > 1e-9
+                t, h, gap = t[some], h[some], gap[some]
+                element = C.mix(h ^ C.U64(1)) ^ (gap > 0).astype(C.U64)
+                at = np.searchsorted(t, np.arange(n + 1)).astype(np.int32)
+                more = np.bincount(t, np.maximum(gap, 0), n)
+                less = np.bincount(t, np.maximum(-gap, 0), n)
+                both = np.bincount(t2, w2, n) - more
+                total = np.bincount(t1, w1, n) + more
+                names = ["a", "b", "similarity", "more", "less", "weight_a", "element", "gap"]
+                a, b = (part.column(part.schema.get_field_index(c)) for c in "ab")
+                yield pa.RecordBatch.from_arrays(
+                    [a, b, pa.array(both / np.maximum(total, 1e-12)), pa.array(more), pa.array(less), pa.array(np.bincount(t1, w1, n)), pa.ListArray.from_arrays(at, pa.array(element.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.abs(gap)))], names=names
+                )
+
+    return differ
+
+
 def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFrame, links: DataFrame, idf, shingle: int, least: float) -> DataFrame:
     """node, label of all links within bands, where those to each band's first two heads are known.
 
-    A round closes the links so far to classes and leaves bands whose remaining rows are of one class. In the others some rows become heads, namely the
-    one with the most links (often what the others were made from) and hashed ones, and meet all remaining rows of other classes. A head is
-    then done in its band. Heads grow from round to round, so rounds grow with the logarithm of the largest band, and the last makes all pairs that are left."""
-    label, found, tried, heads, step = components(links), [links], [pairs], HEADS, 0
-    rest = met.where("n > 2 and node <> h1 and node <> h2").select("band", "node")
-    last = met
-    while True:
-        ends = reduce(DataFrame.unionByName, found).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        of = rest.join(nodes.select("node", "weight"), "node").join(label, "node", "left").join(ends, "node", "left")
-        of = C.stored(of.select("band", "node", "weight", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "of")
-        C.discard(last)
-        bands = of.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("hub")).where("lo <> hi")
-        bands = C.stored(bands.select("band", "n", "hub"), "bands")
-        if not bands.limit(1).count():
-            C.discard(of, bands, *found, *tried)
-            return label
-        chosen = (F.col("node") == F.col("hub")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) * F.col("n") < heads << 20)
-        rows = C.stored(of.join(bands, "band").select("band", "node", "weight", "label", chosen.alias("head"), F.ceil(F.col("n") * F.least("n", F.lit(heads)) / BLOCK).cast("int").alias("parts")), "rest")
-        C.discard(of, bands)
-        left = rows.select("band", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int").alias("part"), "node", "weight", "label", "head")
-        right = rows.where("head").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("node2"), F.col("weight").alias("weight2"), F.col("label").alias("label2"))
-        new = left.join(right, ["band", "part"]).where("label <> label2 and (not head or node < node2)")
-        # two sets are no more similar than the lighter is to the heavier
-        new = new.where(F.least("weight", "weight2") >= least * F.greatest("weight", "weight2") - 1e-6)
-        new = new.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        new = C.stored(new.join(reduce(DataFrame.unionByName, tried).hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = _links(slim, new, idf, shingle, least)
-        tried.append(new)
-        found.append(more)
-        if more.limit(1).count():
-            label = components(more.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        rest, last = rows.where("not head").select("band", "node"), rows
-        heads, step = heads * GROWTH, step + 1
+    Bands whose remaining rows are of one class are done. In each of the others the row with the most links (often what the others were made
+    from) is the hub, and the rows are compared with it. What a row has more or less of than its hub h is a weighted set D of its own. For rows x and y,
+        sum of min(x, y) = |h| - less(x) - less(y) + sum of min(D(x), D(y)),
+    so x and y are similar by s just if, with k = s / (1 + s), t(x) = (1 - k) * less(x) + k * more(x) and c = (1 - 2 * k) * |h|,
+        sum of min(D(x), D(y)) >= t(x) + t(y) - c,
+    where t(x) > c just if x is not similar to h. Two rows that are not must share t(x) and t(y) of their differences at least (more than half of them), so by the
+    prefix principle they share one of the rarest elements that hold the rest of D; edits that a row has to itself are the rarest and settle
+    most rows. With a row similar to h, a row that is not shares 1 / (1 - k) * (t(y) - c) at least, as D(x) <= t(x) / k. So pairs that share such an element are
+    verified and no other pair can be similar: no pair of a band is lost, and the pairs made do not grow with the square of a band."""
+    share = least / (1 + least)
+    label = components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    of = met.where("n > 2").join(label, "node", "left").join(ends, "node", "left")
+    of = C.stored(of.select("band", "node", ((F.col("node") == F.col("h1")) | (F.col("node") == F.col("h2"))).alias("head"), F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "of")
+    rest = F.when(~F.col("head"), F.col("label"))  # all pairs with a head are known
+    bands = of.groupBy("band").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("hub")).where("lo <> hi")
+    bands = C.stored(bands.select("band", "hub"), "bands")
+    around = C.stored(of.where("not head").join(bands, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "around")
+    if not bands.limit(1).count():
+        C.discard(of, bands, around, links, pairs)
+        return label
+    sides, texts = _texts_of(slim, around)
+    apart = C.stored(sides.mapInArrow(_differences(idf, shingle), "a long, b long, similarity double, more double, less double, weight_a double, element array<long>, gap array<double>"), "apart")
+    C.discard(texts, of, bands)
+    direct = apart.where(F.col("similarity") >= least - 1e-9).select("a", "b", "similarity")
+    label = components(direct.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    t, c = (1 - share) * F.col("less") + share * F.col("more"), (1 - 2 * share) * F.col("weight_a")
+    rows = apart.select("a", "b", "element", "gap", t.alias("t"), (t - c).alias("over"), (F.col("more") + F.col("less")).alias("size"))
+    rows = rows.withColumn("far", F.col("over") > 0).withColumn("need", F.when(F.col("far"), F.least("t", F.col("over") / (1 - share))).otherwise(F.col("t")) - 1e-6 * (1 + F.col("size")))
+    each = rows.select("a", "b", F.explode(F.arrays_zip("element", "gap")).alias("e")).select("a", "b", "e.element", "e.gap")
+    often = C.stored(each.groupBy("a", "element").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = each.join(often.hint("merge"), ["a", "element"])
+    after = F.sum("gap").over(Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("element")))
+    rarest = C.stored(shared.withColumn("after", after).join(rows.drop("element", "gap").hint("merge"), ["a", "b"]).where("after >= need"), "rarest")
+    posts = rarest.join(label.withColumnRenamed("node", "b").hint("merge"), "b", "left").join(nodes.select(F.col("node").alias("b"), "weight").hint("merge"), "b")
+    posts = C.stored(posts.select("a", "element", "b", "t", "over", "size", "far", "weight", (F.col("far") & (F.col("after") >= F.col("t") - 1e-6 * (1 + F.col("size")))).alias("core"), F.coalesce("label", "b").alias("label")), "posts")
+    other = posts.select("a", "element", *(F.col(x).alias(x + "2") for x in ("b", "t", "over", "size", "far", "core", "weight", "label")))
+    floor = F.col("t") + F.col("over2") - 1e-6 * (1 + F.col("size") + F.col("size2"))
+    new = posts.join(other.where("far2"), ["a", "element"]).where("label <> label2 and (not far or core and core2 and b < b2)")
+    # two sets are no more similar than the lighter is to the heavier
+    new = new.where((F.least("size", "size2") >= floor) & (F.least("weight", "weight2") >= least * F.greatest("weight", "weight2") - 1e-6))
+    new = new.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+    new = C.stored(new.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    more = _links(slim, new, idf, shingle, least)
+    label = components(more.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    C.discard(around, apart, often, rarest, posts, new, more, links, pairs)
+    return label
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

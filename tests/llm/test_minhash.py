@@ -85,3 +85,34 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 140)) and got[201] == 200
+
+
+def test_many_copies_around_one_original_at_mixed_distances(spark):
+    """Bands hold rows that are near the original, rows that are not, and near copies of those."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    original = [rng.choice(vocabulary) for _ in range(200)]
+    texts = [" ".join(original)]
+    for _ in range(150):
+        w = list(original)
+        for _ in range(rng.choice((1, 3, 6, 10, 16))):
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice((0, 1, 2))] = [rng.choice(vocabulary) for _ in range(rng.choice((0, 1, 1)))]
+        texts.append(" ".join(w))
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = "other"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = minhash.inverse_frequencies(docs)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    want = brute(texts, idf)
+    assert len(set(want)) > 5 and [got[i] for i in range(len(texts))] == want
+
+
+def test_texts_whose_rolling_hashes_collide_stay_apart(spark):
+    """Thue-Morse sequences of two words and their complements are equal under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    docs = spark.createDataFrame([(0, " ".join(("ab", "cd")[b] for b in bits)), (1, " ".join(("cd", "ab")[b] for b in bits)), (2, " ".join(("cd", "AB")[b] for b in bits))], "doc_id long, text string")
+    data, off = minhash.C.text_buffers(minhash.pa.array([r.text for r in docs.orderBy("doc_id").collect()]))
+    digest, other = minhash._digests(data, off)
+    assert digest[0] != digest[1] and other[0] != other[1] and digest[1] == digest[2] and other[1] == other[2]
