@@ -11,7 +11,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +195,18 @@ def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 _UNSTABLE = re.compile(r"(?m)^[\s:+|-]*(?:\S*Join|Aggregate|Repartition\S*|Rebalance\S*|Sort|Window|GlobalLimit|LocalLimit|Sample|Distinct|Deduplicate|FlatMapGroups\S*|CoGroup\S*|Intersect|Except)\b")
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs with its columns that begin with an underscore under other names, so that no column of an operator clashes with them; the name that a
+    column has there; and what selects and names the columns of docs again."""
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        new = c
+        while new.startswith("_") or new != c and new.lower() in {x.lower() for x in [*docs.columns, *names.values()]}:
+            new = "own" + new
+        names[c] = new
+    return docs.toDF(*names.values()), lambda c: names.get(c, c), lambda out: out.select(*(f"`{n}`" for n in names.values())).toDF(*names)
+
+
 def with_row_key(docs: DataFrame, key: str) -> DataFrame:
     """A number for each row, so that repeated or null ids stay rows of their own.
 

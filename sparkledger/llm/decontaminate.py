@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
@@ -42,7 +43,7 @@ def _codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.lower().encode() for t in texts]
+    raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
@@ -80,7 +81,7 @@ def _answer(text: str) -> str:
 
 
 def read_items(rows: list, longest: int = 64) -> list[Item]:
-    """Items of (id, text) rows; a text of more than `longest` words becomes several parts that each have to stand for it."""
+    """Items of (id, text in lower case) rows; a text of more than `longest` words becomes several parts that each have to stand for it."""
     items = []
     for item_id, text in rows:
         words = _codes(*_encode([text or ""]))[0]
@@ -108,6 +109,20 @@ def _runs(b: np.ndarray, step: int = 20_000) -> Iterator[tuple[slice, np.ndarray
             yield slice(first[lo], first[hi] if hi < len(first) else len(b)), first[lo:hi] - first[lo]
 
 
+def _sums(table: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of table[row] over runs of rows that begin at `first`: the k-th rows of all runs that have one are added at once."""
+    size = np.diff(np.append(first, len(row)))
+    order = np.argsort(-size, kind="stable")
+    begin, size = first[order], size[order]
+    total = table[row[begin]]
+    for k in range(1, int(size[0])):
+        m = int(np.searchsorted(-size, -k))
+        total[:m] += table.take(row[begin[:m] + k], axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def _slices(full: np.ndarray, blocks: int) -> pa.RecordBatch:
     """Rows of a table of sums in 32 slices, and the number of blocks."""
     step = max(1, -(-len(full) // 32))
@@ -152,12 +167,12 @@ def _sketch(terms, text_col: str, block: int, rank: int, seed: int):
                     continue
                 for run, first in _runs(of):
                     ks = k[run]
-                    of_block = np.add.reduceat(omega[ks], first, axis=0)
+                    of_block = _sums(omega, ks, first)
                     order = np.argsort(ks, kind="stable")
                     of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ks))))[order]
                     ks = ks[order]
                     first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-                    total[ks[first]] += np.add.reduceat(of_block[of_word], first, axis=0)
+                    total[ks[first]] += _sums(of_block, of_word, first)
         yield _slices(total, blocks)
 
     return sketch
@@ -198,14 +213,13 @@ def latent_space(docs: DataFrame, items: list[Item], text: str = "text", block:
     weight = np.log((n + PRIOR) / (counts[live] + 1))
     v = len(terms.codes)
     rank = min(rank, v)  # of either half of the basis
-    own = np.zeros((v, len(items)))
-    for j, item in enumerate(items):
-        np.add.at(own[:, j], terms(item.words)[1], 1)
-    own *= weight[:, None]
     _, flat = _gathered(lower, _sketch(spark.sparkContext.broadcast(terms), "t", block, rank, seed))
     corpus = weight[:, None] * (flat.reshape(v, rank) if len(flat) else np.zeros((v, rank)))
     # items join the sketch, so that their own directions are in the space however rare their words are
-    mixed = own @ np.random.default_rng(seed + 1).standard_normal((len(items), min(rank, v - rank)))
+    mixed, rng = np.zeros((v, min(rank, v - rank))), np.random.default_rng(seed + 1)
+    for item in items:  # the items' own matrix is never made, only its product with a random one
+        own, times = np.unique(terms(item.words)[1], return_counts=True)
+        mixed[own] += np.outer(times * weight[own], rng.standard_normal(mixed.shape[1]))
     corpus *= np.linalg.norm(mixed) / max(np.linalg.norm(corpus), 1e-12) if mixed.any() and corpus.any() else 1
     q, _ = np.linalg.qr(np.column_stack([mixed, corpus]))
     basis = (weight[:, None] * q).astype(np.float32)
@@ -238,7 +252,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return _subsequence(len(a), [masks[y] for y in b.tolist() if y in masks])
 
 
-def _search(space, id_col: str, text_col: str, block: int, cosine: float, exact: float, loose: float):
+def _search(space, id_col: str, text_col: str, item_type: pa.DataType, block: int, cosine: float, exact: float, loose: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Space = space.value
         places, answers = [_places(i.words) for i in s.items], [_places(i.answer) for i in s.items]
@@ -258,7 +272,7 @@ def _search(space, id_col: str, text_col: str, block: int, cosine: float, exact:
                 tokens = np.searchsorted(b, np.arange(int(boff[-1]) + 1))
                 run = np.zeros((int(boff[-1]) + 1, s.basis.shape[1]))
                 for words, first in _runs(b):
-                    run[b[words][first] + 1] = np.add.reduceat(s.basis[k[words]], first, axis=0)
+                    run[b[words][first] + 1] = _sums(s.basis, k[words], first)
                 np.cumsum(run, axis=0, out=run)
                 text_of = np.repeat(np.arange(part.num_rows), np.diff(boff))
                 for size in np.unique(s.sizes):
@@ -301,7 +315,7 @@ def _search(space, id_col: str, text_col: str, block: int, cosine: float, exact:
                     best[key] = found
             keys = sorted(best, key=lambda x: (x[0], str(x[1])))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([r for r, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.int64()), *(pa.array([best[x][c] for x in keys], pa.float64()) for c in range(3)), pa.array([best[x][3] for x in keys], pa.int64())],
+                [ids.take(pa.array([r for r, _ in keys], pa.int64())), pa.array([i for _, i in keys], item_type), *(pa.array([best[x][c] for x in keys], pa.float64()) for c in range(3)), pa.array([best[x][3] for x in keys], pa.int64())],
                 names=[id_col, "item_id", "subsequence", "cosine", "answer", "at_word"],
             )
 
@@ -312,8 +326,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     """A row for each row of docs and each item that it leaks: id_col, item_id, subsequence, cosine, answer, at_word."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id long, subsequence double, cosine double, answer double, at_word long"
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("trim(t) <> ''")
+    schema = f"`{id_col}` {kind}, item_id {benchmark.schema[item_col].dataType.simpleString()}, subsequence double, cosine double, answer double, at_word long"
+    items = benchmark.select(F.col(item_col).alias("i"), F.lower(item_text).alias("t")).where("trim(t) <> ''")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     found = []
     for k in range(groups := max(1, -(-size // ITEM_BYTES))):
@@ -321,12 +335,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         if parts := read_items([(r.i, r.t) for r in rows]):
             sent = spark.sparkContext.broadcast(latent_space(docs, parts, text, block))
             lower = docs.select(id_col, F.lower(text).alias("_t"))
-            found.append(lower.mapInArrow(_search(sent, id_col, "_t", block, cosine, exact, loose), schema))
+            found.append(lower.mapInArrow(_search(sent, id_col, "_t", to_arrow_type(benchmark.schema[item_col].dataType), block, cosine, exact, loose), schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the rows that leak an item; its columns are unchanged."""
-    keyed = C.with_row_key(docs, "_row")
-    bad = leaks(keyed, benchmark, "_row", text, **options).select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    plain, name, back = C.aside(docs)
+    keyed = C.with_row_key(plain, "_row")
+    bad = leaks(keyed, benchmark, "_row", name(text), **options).select("_row").distinct()
+    return back(keyed.join(bad, "_row", "left_anti"))

@@ -190,4 +190,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label:
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """docs without the rows that are rejected."""
-    return add_language(docs, fit(docs, id_col, text, label), text).where(~F.col("_reject")).select(*docs.columns)
+    plain, name, back = C.aside(docs)
+    return back(add_language(plain, fit(docs, id_col, text, label), name(text)).where(~F.col("_reject")))

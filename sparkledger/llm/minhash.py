@@ -81,6 +81,10 @@ def inverse_frequencies(docs: DataFrame, text: str = "text", buckets: int = BUCK
     return np.log((got[-1][0] + 1.0) / (df + 1.0)).astype(np.float32)
 
 
+def _totals(text: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(text, weight, n).astype(np.float64)  # without any weights the counts are integers
+
+
 def weighted_shingles(code: np.ndarray, woff: np.ndarray, idf: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash and weight of the distinct shingles of each text, ordered by both."""
     count = np.diff(woff)
@@ -152,7 +156,7 @@ def _signatures(text_col: str, idf, bands: int, rows: int, shingle: int):
                 has = np.diff(woff) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * bands)).astype(np.int32)), pa.array(band[has].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(ROW)), pa.array(digest.view(np.int64), mask=~has), pa.array(other.view(np.int64), mask=~has), lists, pa.array(np.bincount(shingles[0], shingles[2], n))],
+                    [part.column(part.schema.get_field_index(ROW)), pa.array(digest.view(np.int64), mask=~has), pa.array(other.view(np.int64), mask=~has), lists, pa.array(_totals(*shingles[::2], n))],
                     names=[ROW, "d1", "d2", "bands", "weight"],
                 )
 
@@ -218,14 +222,14 @@ def _differences(idf, shingle: int):
                 t, h, gap = t[some], h[some], gap[some]
                 element = C.mix(h ^ C.U64(1)) ^ (gap > 0).astype(C.U64)
                 at = np.searchsorted(t, np.arange(n + 1)).astype(np.int32)
-                more = np.bincount(t, np.maximum(gap, 0), n)
-                less = np.bincount(t, np.maximum(-gap, 0), n)
-                both = np.bincount(t2, w2, n) - more
-                total = np.bincount(t1, w1, n) + more
+                more = _totals(t, np.maximum(gap, 0), n)
+                less = _totals(t, np.maximum(-gap, 0), n)
+                both = _totals(t2, w2, n) - more
+                total = _totals(t1, w1, n) + more
                 names = ["a", "b", "similarity", "more", "less", "weight_a", "element", "gap"]
                 a, b = (part.column(part.schema.get_field_index(c)) for c in "ab")
                 yield pa.RecordBatch.from_arrays(
-                    [a, b, pa.array(both / np.maximum(total, 1e-12)), pa.array(more), pa.array(less), pa.array(np.bincount(t1, w1, n)), pa.ListArray.from_arrays(at, pa.array(element.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.abs(gap)))], names=names
+                    [a, b, pa.array(both / np.maximum(total, 1e-12)), pa.array(more), pa.array(less), pa.array(_totals(t1, w1, n)), pa.ListArray.from_arrays(at, pa.array(element.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.abs(gap)))], names=names
                 )
 
     return differ
@@ -312,5 +316,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without all but one row of each class; its columns are unchanged."""
-    keyed = C.with_row_key(docs, ROW)
-    return keyed.join(classes(keyed, id_col, text, **options).where("keep").select(ROW), ROW, "left_semi").select(*docs.columns)
+    plain, name, back = C.aside(docs)
+    keyed = C.with_row_key(plain, ROW)
+    return back(keyed.join(classes(keyed, name(id_col), name(text), **options).where("keep").select(ROW), ROW, "left_semi"))

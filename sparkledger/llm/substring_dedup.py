@@ -3,7 +3,7 @@
 Words are runs of characters other than space and \\t \\n \\v \\f \\r, unchanged. A window is `length` consecutive words of one text;
 each word in a window whose words also start anywhere else, same text included, is removed; windows are judged on the input.
 Null and empty texts have no words; repeated rows are rows of their own (so their windows repeat); an empty table gives no rows;
-extra columns are kept, and internal columns begin with an underscore.
+extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,8 +64,9 @@ def remove_repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str =
 
 def clean_documents(docs: DataFrame, length: int = LENGTH, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with repeated windows taken out of their texts; texts without any stay as they are. Columns are unchanged; n_chars follows its text."""
+    plain, name, back = C.aside(docs)
     cut = F.col("_n_removed") > 0
-    new = {text: F.when(cut, F.col("_kept")).otherwise(F.col(text))}
+    new = {name(text): F.when(cut, F.col("_kept")).otherwise(F.col(name(text)))}
     if n_chars in docs.columns:
-        new[n_chars] = F.when(cut, F.length("_kept")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)
-    return _cleaned(docs, length, text).withColumns(new).select(*docs.columns)
+        new[name(n_chars)] = F.when(cut, F.length("_kept")).otherwise(F.col(name(n_chars))).cast(docs.schema[n_chars].dataType)
+    return back(_cleaned(plain, length, name(text)).withColumns(new))

@@ -74,3 +74,10 @@ def test_common_subsequence():
             for j in range(len(b)):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert D.common_subsequence(a, b) == table[-1, -1]
+
+
+def test_items_with_ids_of_any_type_and_letters_of_any_case(spark):
+    words = "Älpha BETA gamma delta epsilon zeta eta theta iota ÖKAPPA"
+    bench = spark.createDataFrame([("x-1", words), (None, words + " more")], "item_id string, text string")
+    docs = spark.createDataFrame([(7, words.lower()), (8, "nothing")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()} == {(7, "x-1"), (7, None)}
