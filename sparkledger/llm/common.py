@@ -132,7 +132,7 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
         m = len(up)
         up = np.concatenate([up, up * U64(pow(base, m, 1 << 64))])
         down = np.concatenate([down, down * U64(pow(inv, m, 1 << 64))])
-    if len(up) <= 1 << 23:
+    if len(up) <= 1 << 21:
         _powers[kind] = (up, down)
     return up, down
 

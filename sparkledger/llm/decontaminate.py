@@ -270,14 +270,18 @@ def _search(space, id_col: str, text_col: str, item_type: pa.DataType, block: in
                     row += part.num_rows
                     continue
                 tokens = np.searchsorted(b, np.arange(int(boff[-1]) + 1))
-                run = np.zeros((int(boff[-1]) + 1, s.basis.shape[1]))
+                blocks = int(boff[-1])
+                of_block = np.zeros((blocks + 1, s.basis.shape[1]), np.float32)  # the last stands for what lies past a text's end
                 for words, first in _runs(b):
-                    run[b[words][first] + 1] = _sums(s.basis, k[words], first)
-                np.cumsum(run, axis=0, out=run)
+                    of_block[b[words][first]] = _sums(s.basis, k[words], first)
+                passage, width = of_block[:-1].copy(), 1
                 text_of = np.repeat(np.arange(part.num_rows), np.diff(boff))
                 for size in np.unique(s.sizes):
                     mine = np.flatnonzero(s.sizes == size)
-                    start = np.arange(int(boff[-1]))
+                    start = np.arange(blocks)
+                    for width in range(width, size):
+                        passage += of_block.take(np.where(start + width < boff[text_of + 1], start + width, blocks), axis=0)
+                    width = size
                     stop = np.minimum(start + size, boff[text_of + 1])
                     # the last passages of a text are inside the one before, but for texts of one passage
                     full = (stop - start == size) | (start == boff[text_of])
@@ -286,10 +290,10 @@ def _search(space, id_col: str, text_col: str, item_type: pa.DataType, block: in
                     full &= most >= need[mine].min()
                     start, stop, most = start[full], stop[full], most[full]
                     for a in range(0, len(start), 20_000):
-                        v = (run[stop[a : a + 20_000]] - run[start[a : a + 20_000]]).astype(np.float32)
-                        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                        v = passage.take(start[a : a + 20_000], axis=0)
                         near = v @ s.vectors[mine].T
-                        for p, j in zip(*np.nonzero((near >= cosine) & (most[a : a + 20_000, None] >= need[mine]))):
+                        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)
+                        for p, j in zip(*np.nonzero((near >= np.float32(cosine) * length[:, None]) & (most[a : a + 20_000, None] >= need[mine]))):
                             j_ = int(mine[j])
                             i, item = s.items[j_], j_
                             text = int(text_of[start[a + p]])
@@ -303,7 +307,7 @@ def _search(space, id_col: str, text_col: str, item_type: pa.DataType, block: in
                                 continue
                             answer = _subsequence(len(i.answer), [m for m in map(answers[item].get, region) if m]) / max(1, len(i.answer))
                             if whole >= exact or whole >= loose and answer >= loose:
-                                key, found = (row + text, item), (whole, float(near[p, j]), answer, int(lo - woff[text]))
+                                key, found = (row + text, item), (whole, float(near[p, j] / length[p]), answer, int(lo - woff[text]))
                                 if key not in out or found > out[key]:
                                     out[key] = found
                 row += part.num_rows
