@@ -238,8 +238,8 @@ def _differences(idf, shingle: int):
 def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFrame, links: DataFrame, idf, shingle: int, least: float) -> DataFrame:
     """node, label of all links within bands, where those to each band's first two heads are known.
 
-    Bands whose remaining rows are of one class are done. In each of the others the row with the most links (often what the others were made
-    from) is the hub, and the rows are compared with it. What a row has more or less of than its hub h is a weighted set D of its own. For rows x and y,
+    Bands whose remaining rows are of one class are done. The others each get a hub, the row with the most links (often what the others were made
+    from) in the band or in any unsettled band that one of its rows is in too, so that bands of one group have one hub; their rows are compared with it. What a row has more or less of than its hub h is a weighted set D of its own. For rows x and y,
         sum of min(x, y) = |h| - less(x) - less(y) + sum of min(D(x), D(y)),
     so x and y are similar by s just if, with k = s / (1 + s), t(x) = (1 - k) * less(x) + k * more(x) and c = (1 - 2 * k) * |h|,
         sum of min(D(x), D(y)) >= t(x) + t(y) - c,
@@ -253,15 +253,18 @@ def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFram
     of = met.where("n > 2").join(label, "node", "left").join(ends, "node", "left")
     of = C.stored(of.select("band", "node", ((F.col("node") == F.col("h1")) | (F.col("node") == F.col("h2"))).alias("head"), F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "of")
     rest = F.when(~F.col("head"), F.col("label"))  # all pairs with a head are known
-    bands = of.groupBy("band").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("hub")).where("lo <> hi")
-    bands = C.stored(bands.select("band", "hub"), "bands")
-    around = C.stored(of.where("not head").join(bands, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "around")
+    bands = of.groupBy("band").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.max(F.struct("degree", F.xxhash64("node").alias("hash"), "node")).alias("best")).where("lo <> hi")
+    bands = C.stored(bands.select("band", "best"), "bands")
+    unsettled = of.join(bands, "band")
+    wider = unsettled.groupBy("node").agg(F.max("best").alias("best"))
+    hubs = C.stored(of.join(bands.select("band"), "band").select("band", "node").join(wider.hint("merge"), "node").groupBy("band").agg(F.max("best").alias("best")).select("band", F.col("best.node").alias("hub")), "hubs")
+    around = C.stored(of.where("not head").join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "around")
     if not bands.limit(1).count():
-        C.discard(of, bands, around, links, pairs)
+        C.discard(of, bands, hubs, around, links, pairs)
         return label
     sides, texts = _texts_of(slim, around)
     apart = C.stored(sides.mapInArrow(_differences(idf, shingle), "a long, b long, similarity double, more double, less double, weight_a double, element array<long>, gap array<double>"), "apart")
-    C.discard(texts, of, bands)
+    C.discard(texts, of, bands, hubs)
     direct = apart.where(F.col("similarity") >= least - 1e-9).select("a", "b", "similarity")
     label = components(direct.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     t, c = (1 - share) * F.col("less") + share * F.col("more"), (1 - 2 * share) * F.col("weight_a")
