@@ -89,7 +89,8 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _run_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
+    """The run's folder: above the predictions, one file or a folder of parts, or the partition's value."""
+    return F.regexp_extract(path, r"/(?:exp_id=)?([^/]+)(?:/predictions\.jsonl)?/[^/]+$", 1)
 
 
 def load_results(spark: SparkSession, runs: str) -> DataFrame:
@@ -103,11 +104,11 @@ def load_states(spark: SparkSession, runs: str) -> DataFrame:
 
 
 def load_predictions(spark: SparkSession, runs: str) -> DataFrame:
-    """The predictions of all runs, with exp_id from the folder; damaged lines are left out."""
-    path = f"{runs}/*/predictions.jsonl"
-    if not exists(spark, path):
-        return spark.createDataFrame([], f"{PREDICTION}, exp_id string, ord long")
-    rows = spark.read.schema(PREDICTION).option("mode", "DROPMALFORMED").json(path).select("*", _run_of(F.col("_metadata.file_path")).alias("exp_id"))
+    """The predictions of all runs, with exp_id from the folder (as write_predictions names it, or the run's own); damaged lines are left out."""
+    paths = [p for p in (f"{runs}/*/predictions.jsonl", f"{runs}/exp_id=*") if exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], PREDICTION).withColumns({c: answer(F.col(c)) for c in ("gold", "pred", "exec_value")}).withColumns({"exp_id": F.lit(""), "ord": F.lit(0).cast("long")})
+    rows = spark.read.schema(PREDICTION).option("mode", "DROPMALFORMED").json(paths).select("*", _run_of(F.col("_metadata.file_path")).alias("exp_id"))
     return rows.withColumn("ord", F.monotonically_increasing_id()).withColumns({c: answer(F.col(c)) for c in ("gold", "pred", "exec_value")})
 
 
