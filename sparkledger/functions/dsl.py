@@ -1,16 +1,21 @@
-"""The arithmetic program language: parsed to steps and folded to a value, inside Catalyst.
+"""The arithmetic program language (D1-D9, J14, J15, W11): values by a parser over Arrow batches, all else inside Catalyst.
 
 A program is 'op(a, b), op(#0, c)'; '#k' is the result of step k. Programs are never executed as text.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import numbers as N
 from .tables import normalize_numbers
-from .text import strip
+from .text import SPACE, once, strip
 
 # The operations.
 SYMBOLS = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "exp": "**"}
@@ -41,73 +46,104 @@ def row_values(table: Column, name: Column) -> Column:
     return F.when((F.size(cells) > 0) & F.forall(cells, lambda v: v.isNotNull()), cells)
 
 
-def _operand(a: Column) -> Column:
-    """An argument as struct<ref, num>: the step it refers to (-1: no step), or its number."""
-    ref = F.when(F.startswith(a, F.lit("#")), F.coalesce(F.nullif(F.regexp_extract(a, r"^#([0-9]{1,8})$", 1), F.lit("")).try_cast("int"), F.lit(-1)))
-    return F.struct(ref.alias("ref"), F.when(~F.startswith(a, F.lit("#")), N.argument_number(a)).alias("num"))
-
-
-def prepared(df: DataFrame, program: Column, table: Column | None = None, name: str = "steps") -> DataFrame:
-    """Adds `name`: the program's steps with operands and rows of the table as numbers, so that the fold over them only computes.
-
-    A struct<source, bare, steps>: the stripped text, its number if it is only one, and the steps (null: malformed)."""
-    table = F.lit(None).cast("array<array<string>>") if table is None else table
-    source = strip(F.coalesce(program, F.lit("")))
-    made = df.withColumn("_source", source).withColumn("_parsed", steps(F.col("_source")))
-    ready = F.transform(
-        "_parsed",
-        lambda s: F.struct(s["n"].alias("n"), s["op"].alias("op"), _operand(s["a"]).alias("a"), _operand(s["b"]).alias("b"), F.when(s["op"].isin(TABLE_OPS), row_values(table, s["a"])).alias("row")),
-    )
-    bare = F.when(~F.contains("_source", F.lit("(")) & ~F.startswith("_source", F.lit("#")), N.argument_number(F.col("_source")))
-    return made.withColumn(name, F.struct(F.col("_source").alias("source"), bare.alias("bare"), ready.alias("steps"))).drop("_source", "_parsed")
-
-
-def value(name: str = "steps") -> Column:
-    """struct<num, text, error> of a prepared program: a number, or yes/no for `greater`; error says why there is none."""
-    source, bare, todo = F.col(f"{name}.source"), F.col(f"{name}.bare"), F.col(f"{name}.steps")
-
-    def step(acc: Column, s: Column) -> Column:
-        a, b = (F.when(s[k]["ref"].isNull(), s[k]["num"]).when(s[k]["ref"] >= 0, F.get(acc["done"], s[k]["ref"])) for k in "ab")
-        op, row = s["op"], s["row"]
-        num = (
-            F.when(op == "add", a + b).when(op == "subtract", a - b).when(op == "multiply", a * b).when(op == "divide", F.try_divide(a, b)).when(op == "exp", F.pow(a, b))
-            .when(op == "table_max", F.array_max(row)).when(op == "table_min", F.array_min(row))
-            .when(op.isin("table_sum", "table_average"), F.aggregate(row, F.lit(0.0), lambda x, y: x + y) / F.when(op == "table_sum", F.lit(1)).otherwise(F.size(row)))
-        )
-        word = F.when(op == "greater", F.when(a > b, "yes").when(a <= b, "no"))
-        is_table = op.isin(TABLE_OPS)
-        later = lambda k: (s[k]["ref"] < 0) | (s[k]["ref"] >= s["n"])
-        error = (
-            F.when(~(op.isin(*SYMBOLS, "greater") | is_table), F.concat(F.lit("unknown operation "), op))
-            .when(is_table & row.isNull(), F.lit("no numeric row of that name"))
-            .when(~is_table & F.coalesce(later("a") | later("b"), F.lit(False)), F.lit("reference to a later step"))
-            .when(~is_table & ((s["a"]["ref"].isNull() & s["a"]["num"].isNull()) | (s["b"]["ref"].isNull() & s["b"]["num"].isNull())), F.lit("argument is no number"))
-        )
-        return F.struct(F.concat(acc["done"], F.array(num)).alias("done"), word.alias("text"), F.coalesce(acc["error"], error).alias("error"))
-
-    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
-
-    def finish(acc: Column) -> Column:
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        num = F.when(~F.isnan(last) & (F.abs(last) < float("inf")), last)
-        error = F.coalesce(acc["error"], F.when(num.isNull() & acc["text"].isNull(), F.lit("no value")))
-        return F.struct(F.when(error.isNull(), num).alias("num"), F.when(error.isNull(), acc["text"]).alias("text"), error.alias("error"))
-
-    none = F.lit(None).cast("string")
-    folded = F.aggregate(todo, start, step, finish)
-    bad = lambda why: F.struct(F.lit(None).cast("double").alias("num"), none.alias("text"), F.lit(why).alias("error"))
-    return (
-        F.when(source == "", bad("empty program"))
-        .when(bare.isNotNull(), F.struct(bare.alias("num"), none.alias("text"), none.alias("error")))
-        .when(~F.contains(source, F.lit("(")), bad("no argument"))
-        .when(todo.isNull(), bad("malformed program"))
-        .otherwise(folded)
-    )
+# --- values of programs: an Arrow UDF per batch, as a fold over steps inside lambda functions runs uncompiled and costs some ten times as much ---
+
+_STEPS = re.compile(_STEP)
+_FLOAT = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_BEFORE_BRACKET = re.compile(r"[^(]*")
+
+
+def _float(t: str) -> float | None:
+    t = t.strip(SPACE)
+    return float(t) if _FLOAT.fullmatch(t) else None
+
+
+def argument_value(a: str) -> float | None:
+    """N16 for one argument, as numbers.argument_number has it."""
+    t = a.replace(",", "")
+    found = _float(t)
+    if found is None and "%" in t:
+        found = _float(t.replace("%", ""))
+        found = None if found is None else found / 100
+    c = t.strip(" ")
+    if found is None and c.startswith("const_"):
+        found = -1.0 if c == "const_m1" else _float(c[6:])
+    return found
+
+
+def _row(table: list | None, name: str) -> list[float] | None:
+    """D4 for one table, as row_values has it."""
+    rows = [r for r in table if r is not None and len(r) and r[0] is not None and r[0].strip(SPACE) == name] if table is not None else []
+    cells = [argument_value(_BEFORE_BRACKET.match(c.replace("$", "").strip(SPACE))[0].strip(SPACE)) if c is not None else None for c in rows[-1][1:]] if rows else []
+    return cells if cells and None not in cells else None
+
+
+def _power(a: float, b: float) -> float:
+    try:
+        return math.pow(a, b)
+    except OverflowError:
+        return math.inf
+    except ValueError:
+        return math.inf if a == 0 else math.nan
+
+
+_BINARY = {"add": float.__add__, "subtract": float.__sub__, "multiply": float.__mul__, "divide": lambda a, b: a / b if b else None, "exp": _power}
+_WHOLE_ROW = {"table_max": max, "table_min": min, "table_sum": sum, "table_average": lambda row: sum(row) / len(row)}
+
+
+def program_value(program: str | None, table: list | None = None) -> tuple[float | None, str | None, str | None]:
+    """Number, word and error of a program: a number, or yes/no for a last step `greater`; error says why there is none."""
+    source = (program or "").strip(SPACE)
+    if not source:
+        return None, None, "empty program"
+    if "(" not in source:
+        bare = None if source.startswith("#") else argument_value(source)
+        return (bare, None, None) if bare is not None else (None, None, "no argument")
+    found = _STEPS.findall(source)
+    if ", ".join(f"{op}({a}, {b})" for op, a, b in found) != source or len(source.split(", ")) != 2 * len(found):
+        return None, None, "malformed program"
+    done: list[float | None] = []
+    error = word = None
+    for n, (op, *arguments) in enumerate(found):
+        op, value, word, why = op.strip(_BLANK), None, None, None
+        arguments = [a.strip(_BLANK) for a in arguments]
+        if op in _WHOLE_ROW:
+            row = _row(table, arguments[0])
+            value, why = (None, "no numeric row of that name") if row is None else (_WHOLE_ROW[op](row), None)
+        elif op in _BINARY or op == "greater":
+            refs = [(int(a[1:]) if re.fullmatch("[0-9]{1,8}", a[1:]) else n) if a.startswith("#") else None for a in arguments]
+            if any(r is not None and r >= n for r in refs):
+                why = "reference to a later step"
+            else:
+                a, b = (argument_value(x) if r is None else done[r] for x, r in zip(arguments, refs))
+                if any(r is None and v is None for r, v in zip(refs, (a, b))):
+                    why = "argument is no number"
+                elif a is not None and b is not None:
+                    if op == "greater":
+                        word = "yes" if a > b else "no"
+                    else:
+                        value = _BINARY[op](a, b)
+        else:
+            why = f"unknown operation {op}"
+        done.append(value)
+        error = error or why
+    num = done[-1] if done[-1] is not None and math.isfinite(done[-1]) else None
+    error = error or ("no value" if num is None and word is None else None)
+    return (None, None, error) if error else (num, word, None)
+
+
+def _values(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for programs, grids in batches:
+        plain = grids.isna().all()
+        known = {p: program_value(p) for p in programs.unique()} if plain else {}
+        rows = [known[p] for p in programs] if plain else [program_value(p, g) for p, g in zip(programs, grids)]
+        yield pd.DataFrame(rows, columns=["num", "text", "error"]).astype({"num": "float64"})
 
 
 def evaluate(df: DataFrame, program: Column, table: Column | None = None, name: str = "value") -> DataFrame:
-    """Adds `name`: the value of each row's program."""
-    return prepared(df, program, table, "_steps").withColumn(name, value("_steps")).drop("_steps")
+    """Adds `name`: the value of each row's program, as struct<num, text, error>."""
+    table = F.lit(None).cast("array<array<string>>") if table is None else table
+    return df.withColumn(name, F.pandas_udf(_values, "num double, text string, error string")(program, table))
 
 
 def _argument_text(a: Column) -> Column:
@@ -161,12 +197,16 @@ def verified(value: Column, gold: N.Answer) -> Column:
 def _cells(table: Column, operands: Column, rows: Column) -> Column:
     """Cells right of the first column whose number is an operand, or whose row is used whole."""
 
-    def of_row(row: Column, r: Column) -> Column:
-        used = F.array_contains(rows, strip(F.get(row, F.lit(0))))
-        cells = F.transform(row, lambda c, i: F.struct(r.alias("row"), i.alias("col"), c.alias("text")))
-        return F.filter(cells, lambda c: (c["col"] > 0) & N.cell_number(c["text"]).isNotNull() & (F.coalesce(used, F.lit(False)) | F.array_contains(operands, N.cell_number(c["text"]))))
+    def found(used_numbers: Column, used_rows: Column) -> Column:
+        def of_row(row: Column, r: Column) -> Column:
+            whole = F.coalesce(F.array_contains(used_rows, strip(F.get(row, F.lit(0)))), F.lit(False))
+            cells = F.transform(row, lambda c, i: F.struct(r.alias("row"), i.alias("col"), c.alias("text"), N.cell_number(c).alias("num")))
+            kept = F.filter(cells, lambda c: (c["col"] > 0) & c["num"].isNotNull() & (F.array_contains(used_numbers, c["num"]) | whole))
+            return F.transform(kept, lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["text"].alias("text")))
+
+        return F.flatten(F.transform(table, of_row))
 
-    return F.flatten(F.transform(table, of_row))
+    return once(operands, lambda numbers: once(rows, lambda names: found(numbers, names)))
 
 
 def grounding_cells(table: Column, program: Column) -> Column:

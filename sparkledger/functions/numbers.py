@@ -85,10 +85,12 @@ def normalize_number(x: Column) -> Column:
     """The number that a text holds, or null: the first one anywhere, '$', ',' and '%' dropped; the first scale word of SCALES multiplies it, parentheses around the whole text negate it."""
     low = F.lower(x)
     num = _found(F.translate(low, "−$,%", "-"), _NUMBER)
+    # most answers are digits and signs alone; the patterns for words and brackets only run on the rest
+    has_words, has_bracket = F.translate(low, "0123456789.,$%−- ", "") != "", F.contains(x, F.lit("("))
     words = F.regexp_extract_all(low, F.lit(_SCALE), F.lit(1))
     place = F.array_min(F.transform(words, lambda w: F.array_position(F.array(*(F.lit(w_) for w_, _ in SCALES)), w)))
-    by = F.when(low.rlike(_SCALE), F.element_at(F.array(*(F.lit(m) for _, m in SCALES)), place.cast("int"))).otherwise(F.lit(1.0))
-    return num * by * F.when(x.rlike(r"(?sU)^\s*\(.*\)\s*$"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    by = F.when(has_words & low.rlike(_SCALE), F.element_at(F.array(*(F.lit(m) for _, m in SCALES)), place.cast("int"))).otherwise(F.lit(1.0))
+    return num * by * F.when(has_bracket & x.rlike(r"(?sU)^\s*\(.*\)\s*$"), F.lit(-1.0)).otherwise(F.lit(1.0))
 
 
 def close(p: Column, g: Column, rel: float = STRICT_REL, absolute: float = STRICT_ABS) -> Column:

@@ -16,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The most that a row group of a Parquet file holds, as writers make them: a scan has a task per row group at best.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that may be read by fewer tasks than there are cores, because its row groups are few, dealt out evenly before costly expressions.
+
+    Only tables of fewer bytes than one row group a core; larger ones are read in parallel as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(F.col("o_orderstatus") == "F", "clean").otherwise("standard")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), split.alias("split"))

@@ -279,11 +279,10 @@ def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.length_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars"), 8, "doc_id").select("doc_id", "batch")
 
 
-@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_transform(range(1, CAST(o_custkey % 5 AS BIGINT) + 1), lambda k: least(k * CAST(ceil((o_orderkey % 100) / (o_custkey % 5)::DOUBLE) AS BIGINT), o_orderkey % 100)))), ',') AS steps FROM orders WHERE o_orderkey % 100 > 0 AND o_custkey % 5 > 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 OR o_custkey % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, CAST(o_custkey % 5 AS BIGINT) + 1), lambda k: least(k * CAST(ceil((o_orderkey % 100) / nullif(o_custkey % 5, 0)::DOUBLE) AS BIGINT), o_orderkey % 100)))), ',') END AS steps FROM orders")
 def selection_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9, M4."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 100 > 0 and o_custkey % 5 > 0")
-    return rows.select("o_orderkey", F.array_join(costs.selection_steps(F.col("o_orderkey") % 100, F.col("o_custkey") % 5), ",").alias("steps"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(costs.selection_steps(F.col("o_orderkey") % 100, F.col("o_custkey") % 5), ",").alias("steps"))
 
 
 @query("SELECT count(*) FILTER (WHERE doc_id % 4 > 0 AND n_chars <= 2048) AS kept, count(*) FILTER (WHERE doc_id % 4 > 0 AND n_chars > 2048) AS too_long, count(*) FILTER (WHERE doc_id % 4 = 0) AS no_target, CAST(coalesce(sum(n_chars) FILTER (WHERE doc_id % 4 > 0 AND n_chars <= 2048), 0) AS BIGINT) AS tokens FROM documents")

@@ -13,7 +13,7 @@ from ..operators import breakdown as B
 from ..operators import latest as L
 from ..operators import rates as R
 from ..operators import sandbox, stats
-from .base import PAIRS, long, pairs, primary, strict, table
+from .base import PAIRS, long, pairs, primary, spread, strict, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,7 +92,7 @@ def normalize_number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten written forms of a number; the SQL has the values they stand for."""
     q = "cast(cast(l_quantity as bigint) as string)"
     text = F.expr("case l_partkey % 10 " + " ".join(f"when {i} then " + t.format(q=q) for i, (t, _) in enumerate(_FORMS)) + " end")
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 10).cast("int").alias("form"), N.normalize_number(text).alias("v"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select((F.col("l_partkey") % 10).cast("int").alias("form"), N.normalize_number(text).alias("v"))
     return rows.groupBy("form").agg(F.count("*").alias("n"), F.count("v").alias("parsed"), F.round(F.sum("v"), 2).alias("total"))
 
 
@@ -139,7 +139,7 @@ def parse_answer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(form == 0, F.concat(F.lit("I think 7.\nThe final answer is: "), q)).when(form == 1, F.concat(F.lit("Answer: "), q, F.lit("%")))
         .when(form == 2, F.lit("**No**, it fell. 5")).when(form == 3, F.lit("net income")).when(form == 4, F.concat(q, F.lit("\n99"))).otherwise(F.lit("  \n"))
     )
-    rows = table(spark, sf_dir, "lineitem").select(form.alias("form"), A.parse_answer(reply).alias("a"), A.answer_is_percent(reply).alias("pct"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select(form.alias("form"), A.parse_answer(reply).alias("a"), A.answer_is_percent(reply).alias("pct"))
     return rows.groupBy("form").agg(
         F.count("*").alias("n"), F.count("a.num").alias("numbers"), F.count("a.text").alias("texts"), F.count_if("pct").alias("percents"), long(F.coalesce(F.sum("a.num"), F.lit(0.0))).alias("total")
     )
@@ -151,7 +151,7 @@ def extract_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("answer = "), F.col("l_quantity").cast("long").cast("string"))
     form = (F.col("l_partkey") % 4).cast("int")
     reply = F.when(form == 0, F.concat(F.lit("Sure:\n```python\n"), code, F.lit("\n```\nDone."))).when(form == 1, F.concat(F.lit("```py\n"), code)).when(form == 2, F.concat(code, F.lit("\n"))).otherwise(F.concat(F.lit("so: "), code))
-    rows = table(spark, sf_dir, "lineitem").select(form.alias("form"), code.alias("code"), A.extract_program(reply).alias("got"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select(form.alias("form"), code.alias("code"), A.extract_program(reply).alias("got"))
     return rows.groupBy("form").agg(F.count("*").alias("n"), F.count_if(F.col("code") == F.col("got")).alias("plain"), long(F.sum(F.length("got"))).alias("chars"))
 
 
@@ -178,17 +178,17 @@ def human_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 3).alias("form")).agg(F.count("*").alias("n"), F.count_if(N.human_match(value, written)).alias("hits"))
 
 
-@query("SELECT CAST(l_linenumber AS INT) AS line, count(*) AS n, count(*) FILTER (WHERE l_linenumber IN (2, 3, 5)) AS off FROM lineitem WHERE l_linenumber < 7 GROUP BY 1")
+@query("SELECT CAST(l_linenumber AS INT) AS line, count(*) AS n, count(*) FILTER (WHERE l_linenumber IN (2, 3, 5)) AS off FROM lineitem GROUP BY 1")
 def power_of_ten_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values off by powers of ten, by other factors, and not at all."""
-    factor = F.element_at(F.array(*map(F.lit, [1.0, 10.0, 0.001, 3.0, 1e6, 1.005])), F.col("l_linenumber").cast("int"))
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber < 7")
+    factor = F.element_at(F.array(*map(F.lit, [1.0, 10.0, 0.001, 3.0, 1e6, 1.005, 1.0])), F.col("l_linenumber").cast("int"))
+    rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_linenumber").cast("int").alias("line")).agg(F.count("*").alias("n"), F.count_if(N.power_of_ten_off(F.col("l_extendedprice") * factor, F.col("l_extendedprice"))).alias("off"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of ten kinds by l_partkey % 10, whose outcome is known by construction. gold is the quantity, from 1 on."""
-    q = F.col("l_quantity")
+    """Replies of ten kinds by l_partkey % 10, whose outcome is known by construction. gold is the quantity and 5, as the kinds overlap for numbers below 6."""
+    q = F.col("l_quantity") + 5
     k = F.col("l_partkey") % 10
     s = lambda c: c.cast("long").cast("string")
     gold = N.either(F.when(~k.isin(6, 8), q), F.when(k == 6, "yes").otherwise("capital lease")).struct()
@@ -196,16 +196,16 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, s(q)).when(k == 1, F.concat(s(q * 100), F.lit("%"))).when(k == 2, F.concat(s(q * 2), F.lit(" / 2"))).when(k == 3, F.concat(s(q), F.lit(".0"), F.lit("05")))
         .when(k == 4, F.concat(F.lit("-"), s(q))).when(k == 5, s(q * 1000)).when(k == 6, F.lit("no")).when(k == 7, s(q * 3 + 1)).when(k == 8, F.lit("operating lease")).otherwise(F.lit(""))
     )
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 6").select("l_partkey", "l_quantity", gold.alias("gold"), reply.alias("reply"), A.parse_answer(reply).alias("pred"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select("l_partkey", "l_quantity", gold.alias("gold"), reply.alias("reply"), A.parse_answer(reply).alias("pred"))
     # '2q / 2' reads as its first number, 2q
     return A.with_readings(rows, "pred", "gold", "reply").withColumn("correct", N.primary_match(N.of("pred"), N.of("gold")))
 
 
 @query(
-    "SELECT outcome, n, CAST(ord AS INT) AS ord FROM (SELECT l_partkey % 10 AS k, count(*) AS n FROM lineitem WHERE l_quantity >= 6 AND l_partkey % 10 <> 3 GROUP BY 1 UNION ALL "
+    "SELECT outcome, n, CAST(ord AS INT) AS ord FROM (SELECT l_partkey % 10 AS k, count(*) AS n FROM lineitem WHERE l_partkey % 10 <> 3 GROUP BY 1 UNION ALL "
     "SELECT 0 AS k, 0 AS n WHERE false) c JOIN (VALUES (1, 'Right value, written as a %', 2), (2, 'Right arithmetic, not evaluated', 3), (4, 'Sign flipped', 5), (5, 'Off by a power of 10', 6), "
     "(6, 'Wrong yes/no', 7), (7, 'Wrong number', 8), (8, 'Not a number', 9), (9, 'No answer found', 10)) o(k, outcome, ord) ON c.k = o.k "
-    "UNION ALL SELECT 'Correct', count(*), 1 FROM lineitem WHERE l_quantity >= 6 AND l_partkey % 10 IN (0, 3)"
+    "UNION ALL SELECT 'Correct', count(*), 1 FROM lineitem WHERE l_partkey % 10 IN (0, 3)"
 )
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What happened to each answer."""
@@ -215,7 +215,7 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE k IN (0, 3) AND (k = 0 OR 0.005 <= 1e-3 * q)) AS h0, count(*) FILTER (WHERE k = 1) AS h1, count(*) FILTER (WHERE k = 2) AS h2, "
-    "count(*) FILTER (WHERE k = 3 AND 0.005 > 1e-3 * q) AS h3 FROM (SELECT l_partkey % 10 AS k, l_quantity AS q FROM lineitem WHERE l_quantity >= 6)) "
+    "count(*) FILTER (WHERE k = 3 AND 0.005 > 1e-3 * q) AS h3 FROM (SELECT l_partkey % 10 AS k, l_quantity + 5 AS q FROM lineitem)) "
     "SELECT CAST(ord AS INT) AS ord, rule, hits, n FROM c, LATERAL (VALUES (0, 'strict', h0), (1, 'percent', h0 + h1), (2, 'arithmetic', h0 + h1 + h2), (3, 'within_1pct', h0 + h1 + h2 + h3), (4, 'human_rounding', h0 + h1 + h2 + h3)) v(ord, rule, hits)"
 )
 def rule_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ def dsl_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long").cast("string")
     cents = F.concat(F.floor("l_extendedprice").cast("long").cast("string"), F.lit("."), F.lpad((F.round(F.col("l_extendedprice") * 100).cast("long") % 100).cast("string"), 2, "0"))
     program = F.concat(F.lit("subtract("), cents, F.lit(", "), q, F.lit("), subtract("), q, F.lit(", 13), divide(#0, #1)"))
-    rows = dsl.evaluate(table(spark, sf_dir, "lineitem"), program).select("l_linestatus", F.col("value.num").alias("v"))
+    rows = dsl.evaluate(spread(table(spark, sf_dir, "lineitem")), program).select("l_linestatus", F.col("value.num").alias("v"))
     return rows.groupBy(F.col("l_linestatus").alias("model")).agg(F.count("*").alias("n"), F.count("v").alias("with_value"), F.round(F.sum("v"), 2).alias("total"))
 
 
@@ -247,7 +247,7 @@ def dsl_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dsl_table_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table operations over a row of quantities; an earlier row of the same name doesn't count."""
     grid = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("$ "), F.col("l_quantity").cast("long").cast("string"), F.lit(" (x)")))).alias("cells"))
-    rows = grid.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = grid.join(table(spark, sf_dir, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     t = F.array(F.array(F.lit("item"), F.lit("a")), F.array(F.lit("qty"), F.lit("999")), F.concat(F.array(F.lit(" qty ")), F.col("cells")))
     rows = dsl.evaluate(rows, F.lit("table_max(qty, none), table_min(qty, none), subtract(#0, #1)"), t, "spread")
     rows = dsl.evaluate(rows, F.lit("table_sum(qty, none)"), t, "total")
@@ -268,7 +268,7 @@ def program_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs whose value is the gold answer, as text and as value."""
     q = F.col("l_quantity").cast("long").cast("string")
     program = F.concat(F.lit("multiply("), q, F.lit(", const_100), divide(#0, 4)"))
-    rows = dsl.to_python(dsl.evaluate(table(spark, sf_dir, "lineitem"), program), program, value="value")
+    rows = dsl.to_python(dsl.evaluate(spread(table(spark, sf_dir, "lineitem")), program), program, value="value")
     ok = dsl.verified(F.col("value"), _n(F.col("l_quantity") * 25)) & (F.col("python") == F.concat(F.lit("step_0 = "), q, F.lit(" * 100\nstep_1 = step_0 / 4\nanswer = step_1")))
     return rows.groupBy(F.col("l_returnflag").alias("arm")).agg(F.count("*").alias("n"), F.count_if(ok).alias("verified"))
 
@@ -340,11 +340,11 @@ def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.item_scores(once, ["arm"]).groupBy("arm").agg(F.count("*").alias("items"), F.round(F.avg("score"), 6).alias("score"))
 
 
-@query(f"WITH {_CELLS} SELECT arm, split, count(em) AS n, round(stddev_samp(em), 6) AS sd FROM runs WHERE model = 'O' GROUP BY ALL")
+@query(f"WITH {_CELLS} SELECT arm, model, split, count(em) AS n, round(stddev_samp(em), 6) AS sd FROM runs GROUP BY ALL")
 def seed_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12."""
-    runs = AB.current_runs(_runs(spark, sf_dir)).where("model = 'O'")
-    return runs.groupBy("arm", "split").agg(F.count("exact_match").alias("n"), F.round(R.seed_sd(F.col("exact_match")), 6).alias("sd"))
+    runs = AB.current_runs(_runs(spark, sf_dir))
+    return runs.groupBy("arm", "model", "split").agg(F.count("exact_match").alias("n"), F.round(R.seed_sd(F.col("exact_match")), 6).alias("sd"))
 
 
 @query(
@@ -377,7 +377,7 @@ def _sample_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled intervals (no SQL form; bootstrap_point_estimates has their centres)."""
-    return stats.bootstrap_mean(_sample_items(spark, sf_dir), ["lang", "split"], "score", "doc_id", n=2000)
+    return stats.bootstrap_mean(_sample_items(spark, sf_dir), ["lang", "split"], "score", "doc_id")
 
 
 @query("SELECT lang, count(*) AS n, round(avg(quality), 6) AS standard, round(avg(toxic), 6) AS clean FROM labels JOIN documents USING (doc_id) GROUP BY 1")
@@ -390,7 +390,7 @@ def bootstrap_point_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_gap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled intervals of differences, unpaired."""
-    return stats.bootstrap_difference(_sample_items(spark, sf_dir), ["lang"], "split", ("standard", "clean"), "score", "doc_id", n=2000)
+    return stats.bootstrap_difference(_sample_items(spark, sf_dir), ["lang"], "split", ("standard", "clean"), "score", "doc_id")
 
 
 @query()
@@ -443,10 +443,10 @@ def reply_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.length_histogram(table(spark, sf_dir, "documents"), "n_chars")
 
 
-@query("SELECT CAST(l_quantity AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity <= 40 GROUP BY 1")
+@query("SELECT CAST(l_quantity AS BIGINT) - 10 AS bin, count(*) AS n FROM lineitem GROUP BY 1")
 def short_reply_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bin per length where none is over 40."""
-    return B.length_histogram(table(spark, sf_dir, "lineitem").where("l_quantity <= 40"), "l_quantity")
+    return B.length_histogram(table(spark, sf_dir, "lineitem").select((F.col("l_quantity") - 10).alias("length")), "length")
 
 
 @query(
@@ -473,22 +473,12 @@ def eval_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long").cast("string")
     k = F.col("l_linenumber")
     text = F.when(k == 1, F.concat(F.lit("$"), q, F.lit(" ÷ 4"))).when(k == 2, F.concat(q, F.lit(" > 10"))).when(k == 3, F.concat(q, F.lit(" / 0"))).when(k == 4, F.concat(F.lit("-("), q, F.lit(" + 1) × 2\nso"))).when(k == 5, q).otherwise(F.lit("a + b"))
-    rows = table(spark, sf_dir, "lineitem").select(k.cast("int").alias("line"), A.eval_arithmetic(text).alias("v"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select(k.cast("int").alias("line"), A.eval_arithmetic(text).alias("v"))
     return rows.groupBy("line").agg(F.count("*").alias("n"), F.count("v.num").alias("numbers"), F.count("v.text").alias("words"), F.round(F.sum("v.num"), 4).alias("total"))
 
 
-@query("SELECT CAST(s_suppkey % 5 AS INT) AS form, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 5 < 2) AS ok, CAST(coalesce(sum(CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey * 2 END), 0) AS BIGINT) AS total FROM supplier WHERE s_suppkey < 50 GROUP BY 1")
-def sandbox_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programs with a number, with a word, without an answer, with an error, and one that opens a file. A spot check, so 50 programs."""
-    v = F.col("s_nationkey").cast("string")
-    form = (F.col("s_suppkey") % 5).cast("int")
-    code = F.when(form == 0, F.concat(F.lit("x = "), v, F.lit("\nanswer = x * 2"))).when(form == 1, F.concat(F.lit("answer = 'yes' if "), v, F.lit(" > 3 else 'no'"))).when(form == 2, F.lit("x = 1  # answer")).when(form == 3, F.lit("answer = 1 / 0")).otherwise(F.lit("answer = open('/etc/hostname').read()"))
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(form.alias("form"), sandbox.execute(code).alias("r"))
-    return rows.groupBy("form").agg(F.count("*").alias("n"), F.count_if("r.ok").alias("ok"), long(F.coalesce(F.sum("r.num"), F.lit(0.0))).alias("total"))
-
-
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A program for each supplier, of the five forms of sandbox_exec, whatever the scale."""
+    """A program for each supplier, of five forms: with a number, with a word, without an answer, with an error, and one that opens a file."""
     v = F.col("s_nationkey").cast("string")
     form = (F.col("s_suppkey") % 5).cast("int")
     code = F.when(form == 0, F.concat(F.lit("x = "), v, F.lit("\nanswer = x * 2"))).when(form == 1, F.concat(F.lit("answer = 'yes' if "), v, F.lit(" > 3 else 'no'"))).when(form == 2, F.lit("x = 1  # answer")).when(form == 3, F.lit("answer = 1 / 0")).otherwise(F.lit("answer = open('/etc/hostname').read()"))
@@ -497,7 +487,7 @@ def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(s_suppkey % 5 AS INT) AS form, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 5 < 2) AS ok, CAST(coalesce(sum(CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey * 2 END), 0) AS BIGINT) AS total FROM supplier GROUP BY 1")
 def sandbox_exec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sandbox_exec over the programs of all suppliers."""
+    """the programs of all suppliers, run in the sandbox."""
     rows = _programs(spark, sf_dir).select("form", sandbox.execute(F.col("code")).alias("r"))
     return rows.groupBy("form").agg(F.count("*").alias("n"), F.count_if("r.ok").alias("ok"), long(F.coalesce(F.sum("r.num"), F.lit(0.0))).alias("total"))
 
