@@ -238,14 +238,14 @@ def _differences(idf, shingle: int):
 def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFrame, links: DataFrame, idf, shingle: int, least: float) -> DataFrame:
     """node, label of all links within bands, where those to each band's first two heads are known.
 
-    Bands whose remaining rows are of one class are done. The others each get a hub, the row with the most links (often what the others were made
-    from) in the band or in any unsettled band that one of its rows is in too, so that bands of one group have one hub; their rows are compared with it. What a row has more or less of than its hub h is a weighted set D of its own. For rows x and y,
+    Bands whose remaining rows are of one class are done. In each of the others the row with the most links (often what the others were made
+    from) is the hub, and the rows are compared with it. What a row has more or less of than its hub h is a weighted set D of its own. For rows x and y,
         sum of min(x, y) = |h| - less(x) - less(y) + sum of min(D(x), D(y)),
     so x and y are similar by s just if, with k = s / (1 + s), t(x) = (1 - k) * less(x) + k * more(x) and c = (1 - 2 * k) * |h|,
         sum of min(D(x), D(y)) >= t(x) + t(y) - c,
     where t(x) > c just if x is not similar to h. Two rows that are not must share t(x) and t(y) of their differences at least (more than half of them), so by the
     prefix principle they share one of the rarest elements that hold the rest of D; edits that a row has to itself are the rarest and settle
-    most rows. With a row similar to h, a row that is not shares 1 / (1 - k) * (t(y) - c) at least, as D(x) <= t(x) / k. So pairs that share such an element are
+    most rows. With a row similar to h, a row that is not shares 1 / (1 - k) * (t(y) - c) at least, as D(x) <= t(x) / k. Pairs of one class need no look. So pairs that share such an element are
     verified and no other pair can be similar: no pair of a band is lost, and the pairs made do not grow with the square of a band."""
     share = least / (1 + least)
     label = components(links)
@@ -254,39 +254,39 @@ def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFram
     of = C.stored(of.select("band", "node", ((F.col("node") == F.col("h1")) | (F.col("node") == F.col("h2"))).alias("head"), F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "of")
     rest = F.when(~F.col("head"), F.col("label"))  # all pairs with a head are known
     bands = of.groupBy("band").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.max(F.struct("degree", F.xxhash64("node").alias("hash"), "node")).alias("best")).where("lo <> hi")
-    bands = C.stored(bands.select("band", "best"), "bands")
-    unsettled = of.join(bands, "band")
-    wider = unsettled.groupBy("node").agg(F.max("best").alias("best"))
-    hubs = C.stored(of.join(bands.select("band"), "band").select("band", "node").join(wider.hint("merge"), "node").groupBy("band").agg(F.max("best").alias("best")).select("band", F.col("best.node").alias("hub")), "hubs")
-    around = C.stored(of.where("not head").join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "around")
+    bands = C.stored(bands.select("band", F.col("best.node").alias("hub")), "bands")
+    around = C.stored(of.where("not head").join(bands, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "around")
     if not bands.limit(1).count():
-        C.discard(of, bands, hubs, around, links, pairs)
+        C.discard(of, bands, around, links, pairs)
         return label
     sides, texts = _texts_of(slim, around)
     apart = C.stored(sides.mapInArrow(_differences(idf, shingle), "a long, b long, similarity double, more double, less double, weight_a double, element array<long>, gap array<double>"), "apart")
-    C.discard(texts, of, bands, hubs)
+    C.discard(texts, of, bands)
     direct = apart.where(F.col("similarity") >= least - 1e-9).select("a", "b", "similarity")
     label = components(direct.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     t, c = (1 - share) * F.col("less") + share * F.col("more"), (1 - 2 * share) * F.col("weight_a")
-    rows = apart.select("a", "b", "element", "gap", t.alias("t"), (t - c).alias("over"), (F.col("more") + F.col("less")).alias("size"))
-    rows = rows.withColumn("far", F.col("over") > 0).withColumn("need", F.when(F.col("far"), F.least("t", F.col("over") / (1 - share))).otherwise(F.col("t")) - 1e-6 * (1 + F.col("size")))
-    each = rows.select("a", "b", F.explode(F.arrays_zip("element", "gap")).alias("e")).select("a", "b", "e.element", "e.gap")
-    often = C.stored(each.groupBy("a", "element").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    shared = each.join(often.hint("merge"), ["a", "element"])
+    label_of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    rows = apart.join(label_of("a").hint("merge"), "a", "left").join(label_of("b").hint("merge"), "b", "left").join(nodes.select(F.col("node").alias("b"), "weight").hint("merge"), "b")
+    rows = rows.select("a", "b", "weight", "element", "gap", F.coalesce("label_b", "b").alias("label"), F.coalesce("label_a", "a").alias("home"), t.alias("t"), (t - c).alias("over"), (F.col("more") + F.col("less")).alias("size"))
+    # of two rows in different classes one isn't in the hub's; only such a stranger can meet rows that are similar to the hub
+    rows = rows.withColumns({"far": F.col("over") > 0, "stranger": F.col("label") != F.col("home"), "slack": 1e-6 * (1 + F.col("size"))})
+    rows = C.stored(rows.withColumn("need", F.when(F.col("stranger"), F.least("t", F.col("over") / (1 - share))).otherwise(F.col("t")) - F.col("slack")), "rows")
+    each = rows.select("a", "b", "weight", "label", "t", "over", "size", "far", "stranger", "slack", "need", F.explode(F.arrays_zip("element", "gap")).alias("e")).select("*", "e.element", "e.gap").drop("e")
+    often = C.stored(each.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any")).where("n > 1 and any").drop("any"), "often")
     after = F.sum("gap").over(Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("element")))
-    rarest = C.stored(shared.withColumn("after", after).join(rows.drop("element", "gap").hint("merge"), ["a", "b"]).where("after >= need"), "rarest")
-    posts = rarest.join(label.withColumnRenamed("node", "b").hint("merge"), "b", "left").join(nodes.select(F.col("node").alias("b"), "weight").hint("merge"), "b")
-    posts = C.stored(posts.select("a", "element", "b", "t", "over", "size", "far", "weight", (F.col("far") & (F.col("after") >= F.col("t") - 1e-6 * (1 + F.col("size")))).alias("core"), F.coalesce("label", "b").alias("label")), "posts")
-    other = posts.select("a", "element", *(F.col(x).alias(x + "2") for x in ("b", "t", "over", "size", "far", "core", "weight", "label")))
+    rarest = C.stored(each.join(often.hint("merge"), ["a", "element"]).withColumn("after", after).where("after >= need").withColumn("core", F.col("far") & (F.col("after") >= F.col("t") - F.col("slack"))).drop("n", "gap", "after", "need"), "rarest")
+    met_there = C.stored(rarest.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any")).where("n > 1 and any").select("a", "element"), "met")
+    posts = C.stored(rarest.join(met_there.hint("merge"), ["a", "element"], "left_semi"), "posts")
+    other = posts.select("a", "element", *(F.col(x).alias(x + "2") for x in ("b", "t", "over", "size", "far", "stranger", "core", "weight", "label")))
     floor = F.col("t") + F.col("over2") - 1e-6 * (1 + F.col("size") + F.col("size2"))
-    new = posts.join(other.where("far2"), ["a", "element"]).where("label <> label2 and (not far or core and core2 and b < b2)")
+    new = posts.join(other.where("far2 and stranger2"), ["a", "element"]).where("label <> label2 and (not far or core and core2 and (not stranger or b < b2))")
     # two sets are no more similar than the lighter is to the heavier
     new = new.where((F.least("size", "size2") >= floor) & (F.least("weight", "weight2") >= least * F.greatest("weight", "weight2") - 1e-6))
     new = new.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
     new = C.stored(new.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     more = _links(slim, new, idf, shingle, least)
     label = components(more.select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    C.discard(around, apart, often, rarest, posts, new, more, links, pairs)
+    C.discard(around, apart, rows, often, rarest, met_there, posts, new, more, links, pairs)
     return label
 
 
