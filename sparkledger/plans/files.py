@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ablation as AB
 from ..operators import rates as R
+from ..session import new_folder
 from ..sources import raw, readers, sinks
 from .base import table
 
@@ -28,9 +28,7 @@ def query(sql: str):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; where none is set, as in tests, in the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    return new_folder(spark, "files")
 
 
 _EXAMPLES = "SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS numbers, round(sum(CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END), 2) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS words FROM orders GROUP BY 1"

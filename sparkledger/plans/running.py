@@ -11,6 +11,7 @@ from ..operators import breakdown as B
 from ..operators import latest as L
 from ..operators import planning as P
 from ..operators import predict, registry, roadmap
+from ..session import new_folder
 from ..streaming import runs as streams
 from .base import long, table
 
@@ -334,12 +335,7 @@ def predict_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over the log, upserted per key; the final snapshot."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledger-stream-")
-    import uuid
-
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     rows = streams.latest_snapshot(spark, f"{sf_dir}/events.parquet", schema, "user_id", ["ts", "event_id"], folder)
     return rows.select("user_id", "event_id", "event_type")

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder that all executors share, spark.checkpoint.dir; where that is unset, as in tests on one machine, it is set to a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="ledger-shared-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session(cpus: int | str = "*", shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution, UTC and ANSI mode left on."""
     n = os.cpu_count() if cpus == "*" else int(cpus)
