@@ -57,6 +57,8 @@ def word_symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """For each place the leftmost least of the `width` values from there on, as packed (36 bits of value, 28 bits of place)."""
+    if len(values) >= 1 << 28:
+        raise ValueError(f"a text of {len(values)} symbols: the most is {(1 << 28) - 1}")
     best = (values >> C.U64(28)) << C.U64(28) | np.arange(len(values), dtype=C.U64)
     have = 1
     while have * 2 <= width:

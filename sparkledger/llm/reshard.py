@@ -3,7 +3,7 @@
 Rows of an old shard are hashed into blocks; their sizes are a table of constant size, the only thing the driver sees. A minimum-cost flow
 between old and new shards (a byte that stays costs nothing) fixes how many bytes go where. A shard's bytes are laid out block by block, and the
 flows cut that line: whole blocks move, and a block that a cut goes through is divided row by row. So shards differ by less than
-a row's size from their capacity at each cut. Rewriting stores the rows of each new shard as files; shards that neither gain nor lose rows keep theirs.
+a row's size from their capacity at each cut. Rewriting stores the rows of every new shard as files. Rows of one text may go to different shards.
 
 Null texts have size 1. Repeated and null ids are rows like any others (a row's place in its block follows hashes of its id and text; equal rows are
 interchangeable). Empty tables give no rows. Extra columns stay in the files; columns of the result must not clash with theirs.
@@ -78,10 +78,11 @@ def size_of(text: str) -> Column:
 
 
 def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[list[int]]]:
-    """docs with _size, _old, _block, _part and shard; and the flows. old: the old shard of a row, 0 to shards - 1.
+    """docs with _size, _old, _block, _part and shard; and the flows. old: the old shard of a row, 0 to shards - 1; any other value is an error.
 
     A block is laid out in parts of about part_bytes, so that no task has more than a part, however large the corpus is."""
-    rows = docs.withColumns({"_size": size_of(text), "_old": old.cast("int"), "_hash": F.xxhash64(F.col(id_col), F.col(text))})
+    known = F.when(old.between(0, shards - 1), old.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no old shard: "), F.coalesce(old.cast("string"), F.lit("null")))).cast("int"))
+    rows = docs.withColumns({"_size": size_of(text), "_old": known, "_hash": F.xxhash64(F.col(id_col), F.col(text))})
     rows = rows.withColumn("_block", F.pmod("_hash", F.lit(blocks)).cast("int"))
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("_old", "_block").agg(F.sum("_size")).collect()}  # at most shards * blocks rows
     parts = max(1, -(-max(sizes.values(), default=0) // part_bytes))

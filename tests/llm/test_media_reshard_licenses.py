@@ -85,3 +85,15 @@ def test_licenses(spark):
     documents = docs.toPandas()  # noqa: F841  (DuckDB reads it by name)
     con.register("documents", documents)
     assert sorted(map(str, con.execute(licenses.oracle_sql()).fetchall())) == sorted(str((r.doc_id, r.digest, r.license_id)) for r in out.collect())
+
+
+def test_an_old_shard_out_of_range_is_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from sparkledger.llm import reshard
+
+    docs = spark.createDataFrame([(1, "a", 0), (2, "b", 99), (3, None, None)], "doc_id long, text string, old int")
+    for bad in (2, 3):
+        with pytest.raises(Exception, match="no old shard"):
+            reshard.plan(docs.where(F.col("doc_id").isin(1, bad)), F.col("old"))
