@@ -275,7 +275,10 @@ def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFram
     often = C.stored(each.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any")).where("n > 1 and any").drop("any"), "often")
     after = F.sum("gap").over(Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("element")))
     rarest = C.stored(each.join(often.hint("merge"), ["a", "element"]).withColumn("after", after).where("after >= need").withColumn("core", F.col("far") & (F.col("after") >= F.col("t") - F.col("slack"))).drop("n", "gap", "after", "need"), "rarest")
-    met_there = C.stored(rarest.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any")).where("n > 1 and any").select("a", "element"), "met")
+    # a changed word is in several shingles: elements that exactly the same rows share make the same pairs, so one of them stands for all
+    shared = [F.bit_xor(F.xxhash64("b", "core", F.lit(k))).alias(f"rows{k}") for k in (1, 2)]
+    met_there = rarest.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any"), *shared).where("n > 1 and any")
+    met_there = C.stored(met_there.groupBy("a", "n", "rows1", "rows2").agg(F.min("element").alias("element")).select("a", "element"), "met")
     posts = C.stored(rarest.join(met_there.hint("merge"), ["a", "element"], "left_semi"), "posts")
     other = posts.select("a", "element", *(F.col(x).alias(x + "2") for x in ("b", "t", "over", "size", "far", "stranger", "core", "weight", "label")))
     floor = F.col("t") + F.col("over2") - 1e-6 * (1 + F.col("size") + F.col("size2"))
