@@ -274,17 +274,17 @@ def _complete(slim: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFram
     each = rows.select("a", "b", "weight", "label", "t", "over", "size", "far", "stranger", "slack", "need", F.explode(F.arrays_zip("element", "gap")).alias("e")).select("*", "e.element", "e.gap").drop("e")
     often = C.stored(each.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any")).where("n > 1 and any").drop("any"), "often")
     after = F.sum("gap").over(Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("element")))
-    rarest = C.stored(each.join(often.hint("merge"), ["a", "element"]).withColumn("after", after).where("after >= need").withColumn("core", F.col("far") & (F.col("after") >= F.col("t") - F.col("slack"))).drop("n", "gap", "after", "need"), "rarest")
-    # a changed word is in several shingles: elements that exactly the same rows share make the same pairs, so one of them stands for all
+    rarest = C.stored(each.join(often.hint("merge"), ["a", "element"]).withColumn("after", after).where("after >= need").withColumn("core", F.col("far") & (F.col("after") >= F.col("t") - F.col("slack"))).withColumnRenamed("n", "common").drop("gap", "need"), "rarest")
+    # a changed word is in several shingles: elements that exactly the same rows share make the same pairs, so the rarest of them stands for all
     shared = [F.bit_xor(F.xxhash64("b", "core", F.lit(k))).alias(f"rows{k}") for k in (1, 2)]
-    met_there = rarest.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any"), *shared).where("n > 1 and any")
-    met_there = C.stored(met_there.groupBy("a", "n", "rows1", "rows2").agg(F.min("element").alias("element")).select("a", "element"), "met")
+    met_there = rarest.groupBy("a", "element").agg(F.count("*").alias("n"), F.max("stranger").alias("any"), F.max("common").alias("common"), *shared).where("n > 1 and any")
+    met_there = C.stored(met_there.groupBy("a", "n", "rows1", "rows2").agg(F.min(F.struct("common", "element")).alias("s")).select("a", "s.element"), "met")
     posts = C.stored(rarest.join(met_there.hint("merge"), ["a", "element"], "left_semi"), "posts")
-    other = posts.select("a", "element", *(F.col(x).alias(x + "2") for x in ("b", "t", "over", "size", "far", "stranger", "core", "weight", "label")))
+    other = posts.select("a", "element", *(F.col(x).alias(x + "2") for x in ("b", "t", "over", "size", "far", "stranger", "core", "weight", "label", "after")))
     floor = F.col("t") + F.col("over2") - 1e-6 * (1 + F.col("size") + F.col("size2"))
     new = posts.join(other.where("far2 and stranger2"), ["a", "element"]).where("label <> label2 and (not far or core and core2 and (not stranger or b < b2))")
-    # two sets are no more similar than the lighter is to the heavier
-    new = new.where((F.least("size", "size2") >= floor) & (F.least("weight", "weight2") >= least * F.greatest("weight", "weight2") - 1e-6))
+    # all that two rows share lies at or after their rarest shared element, and two sets are no more similar than the lighter is to the heavier
+    new = new.where((F.least("after", "after2") >= floor) & (F.least("weight", "weight2") >= least * F.greatest("weight", "weight2") - 1e-6))
     new = new.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
     new = C.stored(new.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     more = _links(slim, new, idf, shingle, least)
