@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_template, langid, licenses, media, minhash, packing, reshard, substring_dedup, suffix_dedup
+from . import decontaminate, html_template, langid, licenses, media, minhash, neighbours, packing, reshard, spelling, substring_dedup, suffix_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_template, op2_suffix_dedup, op3_decontaminate, op4_packing, op5_licenses, op6_minhash, op7_langid, op8_media, op9_reshard, op10_substring_dedup)
+    for f in (op1_html_template, op2_suffix_dedup, op3_decontaminate, op4_packing, op5_licenses, op6_minhash, op7_langid, op8_media, op9_reshard, op10_substring_dedup, op11_spelling, op12_neighbours, op13_whitening)
 }
-ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op11_spelling": spelling.oracle_sql()}
