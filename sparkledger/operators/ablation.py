@@ -38,8 +38,8 @@ def ablation_with_intervals(runs: DataFrame, items: DataFrame, metrics: list[str
     """The ablation table with bootstrap intervals per split and of the gap. items: exp_id, uid, correct."""
     marked = items.join(runs.select("exp_id", *KEY, "split"), "exp_id")
     scores = item_scores(marked, [*KEY, "split"])
-    intervals = bootstrap_mean(scores, [*KEY, "split"], "score", "uid").select(*KEY, "split", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
-    gaps = bootstrap_difference(scores, KEY, "split", ("standard", "clean"), "score", "uid").select(*KEY, F.round("lo", 4).alias("contamination_gap_lo"), F.round("hi", 4).alias("contamination_gap_hi"))
+    intervals = bootstrap_mean(scores, [*KEY, "split"], "score").select(*KEY, "split", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    gaps = bootstrap_difference(scores, KEY, "split", ("standard", "clean"), "score").select(*KEY, F.round("lo", 4).alias("contamination_gap_lo"), F.round("hi", 4).alias("contamination_gap_hi"))
     cells = per_split(runs, metrics).join(intervals, [*KEY, "split"], "left")
     return ablation(cells, metrics=metrics).join(gaps, KEY, "left").orderBy(*KEY)
 

@@ -1,7 +1,17 @@
-"""Resampling and tests."""
+"""Resampling and tests.
+
+A bootstrap draws items with replacement. All that a resample's mean depends on is how often each value was drawn, and these counts are multinomial. So items are
+counted by value first (a partial aggregate, whatever the number of items), and resamples are drawn from the counts: the same distribution as drawing
+items, with work that follows the number of different values. Values that are resampled together (systems on the same items) count as one value, a tuple.
+
+Different values are cut into pieces of `PIECE`. How many draws fall into each piece is multinomial too, so a group of any number of values is spread over
+tasks by piece and by block of resamples, and the sums of the pieces are added by Spark. Draws follow from the seed, the group and the place in it alone.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from math import lgamma
 
 import numpy as np
@@ -9,68 +19,138 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESAMPLES, ALPHA, CHUNK = 10_000, 0.05, 1_000_000
-
-
-def _means(rng: np.random.Generator, x: np.ndarray, n: int) -> np.ndarray:
-    """Means of n resamples, a bounded number of draws at a time (the same draws as all at once)."""
-    step = max(1, CHUNK // max(1, len(x)))
-    return np.concatenate([x[rng.integers(0, len(x), (min(step, n - a), len(x)))].mean(1) for a in range(0, n, step)])
+RESAMPLES, ALPHA = 10_000, 0.05
+#: Different values of a piece, and resamples of a block.
+PIECE, BLOCK = 4096, 500
 
 
-def mean_interval(x: np.ndarray, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> tuple[float, float, float]:
-    """Mean and percentile bootstrap interval; NaN for no values."""
-    if not len(x):
-        return (float("nan"),) * 3
-    low, high = np.quantile(_means(np.random.default_rng(seed), x, n), [alpha / 2, 1 - alpha / 2])
-    return float(x.mean()), float(low), float(high)
+def _draws(key: tuple, seed: int, *place: int) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), *place])
 
 
-def difference_interval(a: np.ndarray, b: np.ndarray, paired: bool = False, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> tuple[float, float, float]:
-    """Mean difference and its interval. Paired: the same items in both, resampled together; otherwise each by itself."""
-    if paired and len(a) != len(b):
-        raise ValueError("paired samples differ in size")
-    if not len(a) or not len(b):
-        return (float("nan"),) * 3
-    rng = np.random.default_rng(seed)
-    d = _means(rng, a - b, n) if paired else _means(rng, a, n) - _means(rng, b, n)
-    low, high = np.quantile(d, [alpha / 2, 1 - alpha / 2])
-    return float(a.mean() - b.mean()), float(low), float(high)
+def resampled_means(items: DataFrame, group: list[str], values: list[str], n: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """group, resample, and the mean of each value in it: n rows for each group. Values of one row are resampled together; rows without one of them are left out.
 
-
-def bootstrap_mean(items: DataFrame, group: list[str], value: str, order: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """Mean, lo and hi of a value in each group. Draws are by position, so rows are put in order first.
-
-    A group is one run's or one cell's test items: thousands, by the nature of a benchmark."""
+    The groups' columns and resample are the result's key, so statistics of several groups are joins on `resample`."""
     kinds = dict(items.dtypes)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        return pd.DataFrame([[*key, len(x), *mean_interval(x, n, alpha, seed)]], columns=[*group, "n", "mean", "lo", "hi"])
-
-    return items.select(*group, value, order).groupBy(*group).applyInPandas(one, ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", n long, mean double, lo double, hi double")
-
-
-def bootstrap_difference(items: DataFrame, group: list[str], side: str, sides: tuple, value: str, order: str, paired: bool = False, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """Difference of two sides in each group that has both."""
-    kinds = dict(items.dtypes)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a, b = (pdf.loc[pdf[side] == s, value].to_numpy(float) for s in sides)
-        out = pd.DataFrame([[*key, *difference_interval(a, b, paired, n, alpha, seed)]], columns=[*group, "difference", "lo", "hi"])
-        return out if len(a) and len(b) else out.iloc[:0]
-
-    return items.select(*group, side, value, order).groupBy(*group).applyInPandas(one, ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", difference double, lo double, hi double")
+    items = items.select(*group, *(F.col(v).cast("double").alias(v) for v in values)).dropna(subset=values)
+    counts = items.groupBy(*group, *values).agg(F.count("*").alias("_n"))
+    # Pieces by hash: their number follows the number of different values of the largest group.
+    most = counts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    pieces = -(-most // PIECE)
+    counts = counts.withColumn("_piece", F.pmod(F.xxhash64(*values), F.lit(max(1, pieces))))
+    keys = "".join(f"`{g}` {kinds[g]}, " for g in group)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1)))
+    schema = f"{keys}_block int, _total long, _sums array<array<double>>"
+
+    def shares(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """How many draws of each resample of a block fall into each piece of a group."""
+        pdf = pdf.sort_values("_piece")
+        block, total = int(key[-1]), int(pdf["_items"].sum())
+        of = _draws(key[:-1], seed, block).multinomial(total, pdf["_items"].to_numpy(float) / total, min(BLOCK, n - block * BLOCK))
+        return pd.DataFrame({**dict(zip(group, key)), "_block": block, "_piece": pdf["_piece"].to_numpy(), "_total": total, "_drawn": list(of.T)})
+
+    def sums(key: tuple, pdf: pd.DataFrame, drawn: list[tuple]) -> pd.DataFrame:
+        """Sums of the values that a piece's draws have, by resample."""
+        pdf = pdf.sort_values(values)
+        p, v = pdf["_n"].to_numpy(float), pdf[values].to_numpy(float)
+        each = lambda block, of: (_draws((*key, 0), seed, block, 1).multinomial(of, p / p.sum()) @ v).T.tolist()
+        return pd.DataFrame([[*key[: len(group)], block, total, each(block, of)] for block, total, of in drawn], columns=[*group, "_block", "_total", "_sums"])
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block, total = int(key[-1]), int(pdf["_n"].sum())
+        return sums(key[:-1], pdf, [(block, total, np.full(min(BLOCK, n - block * BLOCK), total))])
+
+    def piece(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return sums(key, left, [(int(b), int(t), np.asarray(of, np.int64)) for b, t, of in zip(right["_block"], right["_total"], right["_drawn"])])
+
+    if pieces <= 1:  # no group is cut: its draws all fall into one piece
+        each = counts.drop("_piece").select("*", blocks.alias("_block")).groupBy(*group, "_block").applyInPandas(whole, schema)
+    else:
+        sizes = counts.groupBy(*group, "_piece").agg(F.sum("_n").alias("_items")).select("*", blocks.alias("_block"))
+        drawn = sizes.groupBy(*group, "_block").applyInPandas(shares, f"{keys}_block int, _piece long, _total long, _drawn array<long>")
+        each = counts.groupBy(*group, "_piece").cogroup(drawn.groupBy(*group, "_piece")).applyInPandas(piece, schema)
+    one = each.select(*group, "_block", "_total", F.posexplode(F.arrays_zip(*(F.col("_sums")[i].alias(f"s{i}") for i in range(len(values))))).alias("_at", "_s"))
+    place, sums_of = (F.col("_block") * BLOCK + F.col("_at")).alias("resample"), [F.col(f"_s.s{i}") for i in range(len(values))]
+    if pieces <= 1:
+        return one.select(*group, place, *((x / F.col("_total")).alias(v) for v, x in zip(values, sums_of)))
+    return one.groupBy(*group, place).agg(*((F.sum(x) / F.max("_total")).alias(v) for v, x in zip(values, sums_of)))
+
+
+def interval(means: DataFrame, group: list[str], statistic: Column, alpha: float = ALPHA) -> DataFrame:
+    """lo and hi of a statistic of resampled means: its quantiles over the resamples, interpolated."""
+    return means.groupBy(*group).agg(F.percentile(statistic, [alpha / 2, 1 - alpha / 2]).alias("_q")).select(*group, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+
+
+def bootstrap_mean(items: DataFrame, group: list[str], value: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+    """N, mean, lo and hi of a value in each group."""
+    exact = items.dropna(subset=[value]).groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    return _joined(exact, interval(resampled_means(items, group, [value], n, seed), group, F.col(value), alpha), group)
+
+
+def _joined(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
+    return a.join(b, group) if group else a.crossJoin(b)
+
+
+def bootstrap_difference(items: DataFrame, group: list[str], side: str, sides: tuple, value: str, paired_by: str | None = None, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+    """Difference of two sides in each group that has both. paired_by: the same items in both sides are resampled together; an item that one side lacks is an error."""
+    a, b = sides
+    if paired_by:
+        pick = lambda s: F.max(F.when(F.col(side) == s, F.col(value).cast("double")))
+        both = items.where(F.col(side).isin(a, b)).groupBy(*group, paired_by).agg(pick(a).alias("_a"), pick(b).alias("_b"))
+        odd = F.raise_error(F.lit("paired samples differ in their items"))
+        both = both.withColumn("_a", F.when(F.col("_a").isNull() | F.col("_b").isNull(), odd).otherwise(F.col("_a")))
+        exact = both.groupBy(*group).agg((F.avg("_a") - F.avg("_b")).alias("difference"))
+        return _joined(exact, interval(resampled_means(both, group, ["_a", "_b"], n, seed), group, F.col("_a") - F.col("_b"), alpha), group)
+    rows = items.where(F.col(side).isin(a, b)).dropna(subset=[value])
+    exact = rows.groupBy(*group).agg((F.avg(F.when(F.col(side) == a, F.col(value).cast("double"))) - F.avg(F.when(F.col(side) == b, F.col(value).cast("double")))).alias("difference")).where("difference is not null")
+    means = resampled_means(rows, [*group, side], [value], n, seed)
+    wide = means.groupBy(*group, "resample").agg(*(F.max(F.when(F.col(side) == s, F.col(value))).alias(c) for s, c in ((a, "_a"), (b, "_b")))).where("_a is not null and _b is not null")
+    return _joined(exact, interval(wide, group, F.col("_a") - F.col("_b"), alpha), group)
+
+
+def gap_comparison(items: DataFrame, group: list[str], system: str, systems: tuple, split: str, value: str, item: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+    """Difference of two systems' gaps (standard less clean), and each system's gap in two parts: style (standard less control) and recency (control less clean).
+
+    Items are resampled within each split, and both systems by the same draws on the same items, so items that only one system has are left out.
+    group, measure, value, lo, hi; measures that lack a split are null."""
+    a, b = systems
+    pick = lambda s: F.max(F.when(F.col(system) == s, F.col(value).cast("double")))
+    cells = items.where(F.col(system).isin(a, b)).groupBy(*group, split, item).agg(pick(a).alias("_a"), pick(b).alias("_b")).where("_a is not null and _b is not null")
+    splits = ("standard", "control", "clean")
+
+    def wide(rows: DataFrame, by: list[str], mean: Callable) -> DataFrame:
+        cell = [mean(F.when(F.col(split) == s, F.col(c))).alias(f"_{s}{c}") for s in splits for c in ("_a", "_b")]
+        return rows.groupBy(*by).agg(*cell)
+
+    gap = lambda x, y, c: F.col(f"_{x}{c}") - F.col(f"_{y}{c}")
+    measures = {"gap_difference": gap("standard", "clean", "_a") - gap("standard", "clean", "_b")}
+    for name, c in (("first", "_a"), ("second", "_b")):
+        measures |= {f"gap_{name}": gap("standard", "clean", c), f"style_{name}": gap("standard", "control", c), f"recency_{name}": gap("control", "clean", c)}
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures.items()))).alias("m")
+    flat = lambda df: df.select(*group, rows).select(*group, "m.*")
+    exact = flat(wide(cells, group, F.avg))
+    drawn = flat(wide(resampled_means(cells, [*group, split], ["_a", "_b"], n, seed), [*group, "resample"], F.max))
+    return exact.join(interval(drawn, [*group, "measure"], F.col("value"), alpha), [*group, "measure"])
+
+
+def log_choose_sums(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log of the probability that n fair coins show at most k heads (k at most n / 2): terms that matter are those next to k, as each is smaller than the next by a factor."""
+    out = np.zeros(len(k))
+    for i, (a, m) in enumerate(zip(k.tolist(), n.tolist())):
+        top = lgamma(m + 1) - lgamma(a + 1) - lgamma(m - a + 1) - m * np.log(2)
+        total, term, j = 1.0, 1.0, a
+        while j > 0 and term > 1e-18 * total:
+            term *= j / (m - j + 1)
+            total += term
+            j -= 1
+        out[i] = top + np.log(total)
+    return out
 
 
 def binomial_two_sided(k: int, n: int) -> float:
     """Probability of a split of n fair coins at least as uneven as k to n - k, both ways."""
-    if n == 0:
-        return 1.0
-    k = min(k, n - k)
-    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * np.log(2) for i in range(k + 1)]
-    return min(1.0, 2 * float(np.exp(logs).sum()))
+    return float(min(1.0, 2 * np.exp(log_choose_sums(np.array([min(k, n - k)]), np.array([n]))[0]))) if n else 1.0
 
 
 def _p_value(a: pd.Series, b: pd.Series) -> pd.Series:

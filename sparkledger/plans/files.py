@@ -76,36 +76,68 @@ def results_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH last AS (SELECT l_returnflag || l_linestatus AS exp_id, l_orderkey, max((l_linenumber, l_quantity)) AS m FROM lineitem GROUP BY ALL) "
-    "SELECT exp_id, count(*) AS n, count(*) FILTER (WHERE struct_extract(m, 2) > 25) AS correct FROM last GROUP BY 1"
+    "WITH e AS (SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS v, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS small FROM orders), "
+    "l AS (SELECT 'small first' AS log, *, small AS batch FROM e UNION ALL SELECT 'large first', *, 1 - small FROM e) "
+    "SELECT log, o_custkey::VARCHAR AS exp_id, count(*) AS lines, arg_max(v, (batch, o_orderkey)) AS exact_match, max(batch + 1)::BIGINT AS commit FROM l GROUP BY ALL"
+)
+def log_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small and a large batch appended in either order, all lines with one timestamp: the later line of a run wins, by commit and by line."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("exp_id"), "o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("exact_match"), F.lit(1.0).alias("timestamp"))
+    found = []
+    for name, small in (("small first", True), ("large first", False)):
+        runs = _folder(spark)
+        for few in (small, not small):
+            batch = rows.where((F.col("o_orderstatus") == "P") == few)
+            sinks.append_runs(batch.drop("o_orderstatus"), runs, "o_orderkey", copies=False)
+        log = readers.load_results(spark, runs)
+        lines = log.groupBy("exp_id").agg(F.count("*").alias("lines"), F.max("ord.commit").alias("commit"))
+        found.append(AB.current_runs(log).join(lines, "exp_id").select(F.lit(name).alias("log"), "exp_id", "lines", "exact_match", "commit"))
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT s_nationkey::VARCHAR AS exp_id, count(*) AS n, round(arg_max(s_acctbal, s_suppkey), 2) AS exact_match FROM supplier GROUP BY 1")
+def run_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: each run's own copy of its last result; a batch that is appended again under its name changes neither the log nor the copies."""
+    runs = _folder(spark)
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("exp_id"), "s_suppkey", F.round("s_acctbal", 2).alias("exact_match"))
+    sinks.append_runs(rows, runs, "s_suppkey", batch="0")
+    sinks.append_runs(rows.withColumn("exact_match", F.lit(-1.0)), runs, "s_suppkey", batch="0")
+    counts = readers.load_results(spark, runs).groupBy("exp_id").agg(F.count("*").alias("n"))
+    return counts.join(readers.load_run_copies(spark, runs).select("exp_id", "exact_match"), "exp_id")
+
+
+@query(
+    "WITH last AS (SELECT l_returnflag || l_linestatus AS exp_id, l_orderkey, arg_max(l_quantity, (l_shipdate, l_linenumber, l_partkey)) AS q FROM lineitem GROUP BY ALL) "
+    "SELECT exp_id, count(*) AS n, count(*) FILTER (WHERE q > 25) AS correct FROM last GROUP BY 1"
 )
 def predictions_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of predictions per run, read back with the run from the folder; the last answer to a question counts."""
+    """A folder of predictions per run, read back with the run from the folder; the last answer to a question counts, by the lines that were stored."""
     runs = _folder(spark)
-    rows = table(spark, sf_dir, "lineitem").select((F.concat("l_returnflag", "l_linestatus")).alias("exp_id"), F.col("l_orderkey").cast("string").alias("uid"), (F.col("l_quantity") > 25).alias("correct"), F.col("l_linenumber").cast("long").alias("gen_tokens"), F.col("l_quantity").alias("pred"))
-    sinks.write_predictions(rows, runs)
-    found = readers.load_predictions(spark, runs).withColumn("ord", F.struct("gen_tokens", F.col("pred.num").alias("p")))
-    return readers.item_correctness(found).groupBy("exp_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("exp_id"), F.col("l_orderkey").cast("string").alias("uid"), (F.col("l_quantity") > 25).alias("correct"), "l_shipdate", "l_linenumber", "l_partkey")
+    sinks.write_predictions(rows, runs, "l_shipdate", "l_linenumber", "l_partkey")
+    return readers.item_correctness(readers.load_predictions(spark, runs)).groupBy("exp_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
 
 
-@query("SELECT n_name AS exp_id, CASE WHEN n_nationkey % 2 = 0 THEN 'completed' ELSE 'pending' END AS status, CAST(n_nationkey % 2 AS INT) AS attempts FROM nation")
+@query("SELECT c_custkey::VARCHAR AS exp_id, CASE WHEN c_custkey % 2 = 0 THEN 'completed' ELSE 'pending' END AS status, CAST(c_custkey % 2 AS INT) AS attempts FROM customer")
 def states_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of states, half of them replaced by an upsert into a new one."""
     old, new = _folder(spark), _folder(spark)
-    n = table(spark, sf_dir, "nation")
-    state = lambda rows, status, attempts: rows.select(F.col("n_name").alias("exp_id"), F.lit(status).alias("status"), attempts.cast("int").alias("attempts"))
-    sinks.write_lines(state(n, "pending", F.lit(1)), old)
-    sinks.upsert_states(readers.read_lines(spark, old, "exp_id string, status string, attempts int"), state(n.where("n_nationkey % 2 = 0"), "completed", F.lit(0)), new)
+    c = table(spark, sf_dir, "customer")
+    state = lambda rows, status, attempts: rows.select(F.col("c_custkey").cast("string").alias("exp_id"), F.lit(status).alias("status"), attempts.cast("int").alias("attempts"))
+    sinks.write_lines(state(c, "pending", F.lit(1)), old)
+    sinks.upsert_states(readers.read_lines(spark, old, "exp_id string, status string, attempts int"), state(c.where("c_custkey % 2 = 0"), "completed", F.lit(0)), new)
     return readers.read_lines(spark, new, "exp_id string, status string, attempts int")
 
 
-@query("SELECT r_name AS exp_id, 'failed' AS status, CAST(r_regionkey AS INT) AS attempts FROM region WHERE r_regionkey <> 2")
+@query("SELECT s_suppkey::VARCHAR AS exp_id, CASE WHEN s_suppkey % 3 = 0 THEN 'completed' ELSE 'failed' END AS status, CAST(s_suppkey % 7 AS INT) AS attempts FROM supplier")
 def state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One status file per run, of which one is damaged and left out."""
+    """A status file per run, saved in commits: a third of the runs twice; the last save of a run counts."""
     runs = _folder(spark)
-    for r in table(spark, sf_dir, "region").collect():  # five rows at any scale
-        text = json.dumps({"exp_id": r.r_name, "status": "failed", "attempts": r.r_regionkey}, indent=1)
-        spark.createDataFrame([(text[: -1 if r.r_regionkey == 2 else None],)], "value string").coalesce(1).write.text(f"{runs}/{r.r_regionkey}/status.json")
+    k = F.col("s_suppkey")
+    state = lambda rows, status, tries: rows.select(k.cast("string").alias("exp_id"), status.alias("status"), tries.cast("int").alias("attempts"))
+    all_runs = table(spark, sf_dir, "supplier")
+    sinks.save_states(state(all_runs, F.lit("failed"), k % 7), runs)
+    sinks.save_states(state(all_runs.where(k % 3 == 0), F.lit("completed"), k % 7), runs)
     return readers.load_states(spark, runs).select("exp_id", "status", "attempts")
 
 
@@ -226,12 +258,20 @@ def config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, str(v)) for k, v in made.items()], "field string, value string")
 
 
-@query("SELECT o_orderpriority AS kind, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1")
+_PATHS = ["result.json", "w.safetensors", "checkpoint-5/x.json", "old.zip", "last.ckpt", "checkpoints/step-1/a.json", "notes.ckpt.md", "my-checkpoints/a.json", "a/checkpoints", "w.bin/readme"]
+_PACKED = "(o_orderkey % 10 IN (0, 6, 7, 9))"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per order, of ten kinds."""
+    ends = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("o_orderkey") % len(_PATHS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), ends).alias("path"))
+
+
+@query(f"SELECT o_orderpriority AS kind, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE {_PACKED} GROUP BY 1")
 def packable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of a listing that go into a result archive."""
-    ends = F.element_at(F.array(*map(F.lit, ["result.json", "w.safetensors", "checkpoint-5/x.json", "old.zip"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    files = table(spark, sf_dir, "orders").select("o_orderpriority", F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), ends).alias("path"))
-    return sinks.packable(files).groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"))
+    """The files of a listing that go into a result archive; weights, archives and all below checkpoints don't."""
+    return sinks.packable(_listing(spark, sf_dir)).groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query(

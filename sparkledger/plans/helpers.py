@@ -166,16 +166,6 @@ def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("n")).crossJoin(drawn)
 
 
-@query(
-    "SELECT lang, count(*) AS n, 0.25::DOUBLE AS mean, 0.25::DOUBLE AS lo, 0.25::DOUBLE AS hi, 0.5::DOUBLE AS gap, 0.5::DOUBLE AS gap_lo, 0.5::DOUBLE AS gap_hi FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) FILTER (WHERE doc_id % 2 = 0) > 0 AND count(*) FILTER (WHERE doc_id % 2 = 1) > 0"
-)
-def bootstrap_of_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals whose ends are known: every resample of equal scores has their mean, and of two such sides their difference."""
-    docs = table(spark, sf_dir, "documents").where("lang is not null").select("lang", "doc_id", F.when(F.col("doc_id") % 2 == 0, "standard").otherwise("clean").alias("side"), F.lit(0.25).alias("v"))
-    gap = stats.bootstrap_difference(docs.withColumn("v", F.when(F.col("side") == "standard", 0.75).otherwise(0.25)), ["lang"], "side", ("standard", "clean"), "v", "doc_id")
-    return stats.bootstrap_mean(docs, ["lang"], "v", "doc_id").join(gap.select("lang", F.col(gap.columns[-3]).alias("gap"), F.col("lo").alias("gap_lo"), F.col("hi").alias("gap_hi")), "lang")
-
-
 @query("SELECT 'results' AS kind, least(count(*), 80) AS n FROM customer UNION ALL SELECT 'items', least(count(*), 1000) FROM orders")
 def shown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of a table people are shown: 80 results, 1000 items."""

@@ -329,13 +329,13 @@ def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PAIRS}, r AS (SELECT DISTINCT ON (arm, l_linenumber, l_partkey) arm, l_linenumber AS run, l_partkey AS uid, {primary()} AS correct FROM pairs WHERE l_linenumber <= 3), "
+    f"WITH {PAIRS}, r AS (SELECT DISTINCT ON (arm, l_linenumber, l_partkey) arm, l_linenumber AS run, l_partkey AS uid, {primary()} AS correct FROM pairs), "
     "n AS (SELECT arm, count(DISTINCT run) AS runs FROM r GROUP BY 1), s AS (SELECT arm, uid, avg(correct::INT) AS score, count(DISTINCT run) AS c FROM r GROUP BY ALL) "
     "SELECT arm, count(*) AS items, round(avg(score), 6) AS score FROM s JOIN n USING (arm) WHERE c = runs GROUP BY 1"
 )
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that all runs have, and their mean correctness. An item's correctness follows from its part."""
-    rows = pairs(spark, sf_dir).where("l_linenumber <= 3").select("arm", F.col("l_linenumber").alias("exp_id"), F.col("l_partkey").alias("uid"), N.primary_match(_n("pred"), _n("gold")).alias("correct"))
+    rows = pairs(spark, sf_dir).select("arm", F.col("l_linenumber").alias("exp_id"), F.col("l_partkey").alias("uid"), N.primary_match(_n("pred"), _n("gold")).alias("correct"))
     once = L.first_per_key(rows, ["arm", "exp_id", "uid"], F.lit(0))
     return R.item_scores(once, ["arm"]).groupBy("arm").agg(F.count("*").alias("items"), F.round(F.avg("score"), 6).alias("score"))
 
@@ -374,23 +374,49 @@ def _sample_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("lang", "doc_id", F.inline(F.array(F.struct(F.lit("standard").alias("split"), F.col("quality").cast("double").alias("score")), F.struct(F.lit("clean").alias("split"), F.col("toxic").cast("double").alias("score")))))
 
 
-@query()
-def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled intervals (no SQL form; bootstrap_point_estimates has their centres)."""
-    return stats.bootstrap_mean(_sample_items(spark, sf_dir), ["lang", "split"], "score", "doc_id")
+def _near(lo: str, hi: str, centre: str, se: F.Column, step: F.Column) -> F.Column:
+    """Whether an interval is the normal one, but for resampling and for the steps that means of few items take."""
+    slack = 0.006 + 0.1 * se + step
+    return (F.abs(F.col(centre) - 1.959964 * se - F.col(lo)) <= slack) & (F.abs(F.col(centre) + 1.959964 * se - F.col(hi)) <= slack)
 
 
-@query("SELECT lang, count(*) AS n, round(avg(quality), 6) AS standard, round(avg(toxic), 6) AS clean FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def bootstrap_point_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The means that the intervals are about."""
-    found = stats.bootstrap_mean(_sample_items(spark, sf_dir), ["lang", "split"], "score", "doc_id", n=10)
-    return found.groupBy("lang").agg(F.max("n").alias("n"), F.round(F.max(F.when(F.col("split") == "standard", F.col("mean"))), 6).alias("standard"), F.round(F.max(F.when(F.col("split") == "clean", F.col("mean"))), 6).alias("clean"))
+@query("SELECT lang, split, count(*) AS n, round(avg(v), 6) AS mean, true AS normal FROM (SELECT lang, unnest(['standard', 'clean']) AS split, unnest([quality, toxic]) AS v FROM labels JOIN documents USING (doc_id)) GROUP BY ALL")
+def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resampled intervals, held against the normal ones."""
+    found = stats.bootstrap_mean(_sample_items(spark, sf_dir), ["lang", "split"], "score")
+    se = F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n"))
+    return found.select("lang", "split", "n", F.round("mean", 6).alias("mean"), _near("lo", "hi", "mean", se, 1 / F.col("n")).alias("normal"))
 
 
-@query()
+@query("SELECT lang, round(avg(quality) - avg(toxic), 6) AS difference, true AS normal, true AS paired_normal FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def bootstrap_gap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled intervals of differences, unpaired."""
-    return stats.bootstrap_difference(_sample_items(spark, sf_dir), ["lang"], "split", ("standard", "clean"), "score", "doc_id")
+    """Resampled intervals of differences, unpaired and paired, held against the normal ones."""
+    items = _sample_items(spark, sf_dir)
+    score = lambda s: F.max(F.when(F.col("split") == s, F.col("score")))
+    both = items.groupBy("lang", "doc_id").agg(score("standard").alias("a"), score("clean").alias("b"))
+    spreads = both.groupBy("lang").agg(F.count("*").alias("n"), (F.var_pop("a") + F.var_pop("b")).alias("free"), F.var_pop(F.col("a") - F.col("b")).alias("tied"))
+    sides = ("standard", "clean")
+    free = stats.bootstrap_difference(items, ["lang"], "split", sides, "score")
+    tied = stats.bootstrap_difference(items, ["lang"], "split", sides, "score", paired_by="doc_id").select("lang", F.col("lo").alias("tied_lo"), F.col("hi").alias("tied_hi"))
+    found, step = free.join(tied, "lang").join(spreads, "lang"), 1 / F.col("n")
+    normal = _near("lo", "hi", "difference", F.sqrt(F.col("free") / F.col("n")), step)
+    paired = _near("tied_lo", "tied_hi", "difference", F.sqrt(F.col("tied") / F.col("n")), step)
+    return found.select("lang", F.round("difference", 6).alias("difference"), normal.alias("normal"), paired.alias("paired_normal"))
+
+
+@query(
+    "WITH c AS (SELECT lang, avg(quality) FILTER (WHERE doc_id % 3 = 0) AS sa, avg(quality) FILTER (WHERE doc_id % 3 = 1) AS ca, avg(quality) FILTER (WHERE doc_id % 3 = 2) AS ka, "
+    "avg(toxic) FILTER (WHERE doc_id % 3 = 0) AS sb, avg(toxic) FILTER (WHERE doc_id % 3 = 1) AS cb, avg(toxic) FILTER (WHERE doc_id % 3 = 2) AS kb FROM labels JOIN documents USING (doc_id) GROUP BY 1), "
+    "m AS (SELECT lang, unnest(['gap_difference', 'gap_first', 'style_first', 'recency_first', 'gap_second', 'style_second', 'recency_second']) AS measure, "
+    "unnest([sa - ka - (sb - kb), sa - ka, sa - ca, ca - ka, sb - kb, sb - cb, cb - kb]) AS value FROM c) SELECT lang, measure, round(value, 6) AS value, value IS NOT NULL AS covered FROM m"
+)
+def gap_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems' gaps, their parts and their difference, with intervals that hold the value: both systems resampled by the same draws within each split."""
+    split = F.element_at(F.array(*map(F.lit, ["standard", "control", "clean"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    items = _sample_items(spark, sf_dir).withColumnRenamed("split", "system").withColumn("split", split)
+    found = stats.gap_comparison(items, ["lang"], "system", ("standard", "clean"), "split", "score", "doc_id")
+    covered = F.coalesce((F.col("lo") <= F.col("value") + 1e-12) & (F.col("value") <= F.col("hi") + 1e-12), F.lit(False))
+    return found.select("lang", "measure", F.round("value", 6).alias("value"), covered.alias("covered"))
 
 
 @query()

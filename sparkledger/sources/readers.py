@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ledger
+
 EXAMPLE = (
     "uid string, question string, context string, answer variant, gold_program string, table_cells array<struct<row:int,col:int,text:string>>,"
     " meta struct<dataset:string,source_split:string,answer_text:string,gold_inds:array<string>,program_dsl:string,program_verified:boolean,filename:string,table:array<array<string>>,"
@@ -93,23 +95,63 @@ def _run_of(path: Column) -> Column:
     return F.regexp_extract(path, r"/(?:exp_id=)?([^/]+)(?:/predictions\.jsonl)?/[^/]+$", 1)
 
 
+def _counted(spark: SparkSession, runs: str, rows: DataFrame) -> DataFrame:
+    """Rows of files that the ledger committed, and of files that it didn't write; `ord` is a row's place (see ledger.place)."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), ledger.PART, 1)
+    commits = ledger.parts(spark, runs, exists(spark, f"{runs}/{ledger.COMMITS}/*.json"))
+    # The place is taken before the join: a row's number in its block is only known where the block is read.
+    placed = rows.select("*", part.alias("part"), ledger.place(F.col("line")).alias("_place"))
+    joined = placed.join(commits, "part", "left").where("part = '' or commit is not null")
+    return joined.withColumn("ord", F.col("_place").withField("commit", F.coalesce("commit", F.lit(0).cast("long")))).drop("part", "_place", "commit", "line")
+
+
 def load_results(spark: SparkSession, runs: str) -> DataFrame:
-    """The log of runs; `ord` is a line's place in it."""
-    return read_lines(spark, f"{runs}/results.jsonl", RUN).withColumn("ord", F.monotonically_increasing_id())
+    """The log of runs, appended by the ledger or a plain file; `ord` is a line's place in it, whatever the sizes of its files."""
+    if not exists(spark, f"{runs}/results.jsonl"):
+        return spark.createDataFrame([], f"{RUN}, ord {ledger.PLACE}")
+    return _counted(spark, runs, spark.read.schema(f"{RUN}, line bigint").option("mode", "FAILFAST").json(f"{runs}/results.jsonl"))
+
+
+def load_run_copies(spark: SparkSession, runs: str) -> DataFrame:
+    """K1: each run's own copy of its result, the last one committed."""
+    if not exists(spark, f"{runs}/*/result/*.json"):
+        return spark.createDataFrame([], RUN)
+    found = _counted(spark, runs, spark.read.schema(f"{RUN}, line bigint").json(f"{runs}/*/result/*.json"))
+    return _newest(found)
+
+
+def _newest(found: DataFrame) -> DataFrame:
+    rest = [c for c in found.columns if c != "ord"]
+    return found.groupBy("exp_id").agg(F.max_by(F.struct(*rest), "ord").alias("_row")).select("_row.*")
 
 
 def load_states(spark: SparkSession, runs: str) -> DataFrame:
-    """The state files of all runs; damaged ones are left out."""
-    return read_document(spark, f"{runs}/*/status.json", STATE).orderBy("exp_id")
+    """The state of every run: the last one that the ledger committed, or else a plain status file; damaged ones are left out."""
+    damaged = "_damaged string"
+    read = lambda path, more: spark.read.schema(f"{STATE}, {more}{damaged}").option("multiLine", True).option("columnNameOfCorruptRecord", "_damaged").json(path)
+    found = []
+    if exists(spark, f"{runs}/*/status/*.json"):
+        found.append(_counted(spark, runs, read(f"{runs}/*/status/*.json", "line bigint, ")))
+    if exists(spark, f"{runs}/*/status.json"):
+        found.append(_counted(spark, runs, read(f"{runs}/*/status.json", "").withColumn("line", F.lit(None).cast("long"))))
+    if not found:
+        return spark.createDataFrame([], STATE)
+    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return _newest(both.where("_damaged is null").drop("_damaged"))
 
 
 def load_predictions(spark: SparkSession, runs: str) -> DataFrame:
-    """The predictions of all runs, with exp_id from the folder (as write_predictions names it, or the run's own); damaged lines are left out."""
+    """The predictions of all runs, with exp_id from the folder (as write_predictions names it, or the run's own); damaged lines are left out.
+
+    `ord` is a line's place: the line that write_predictions stored, or else the file's path, the block and the row in it."""
     paths = [p for p in (f"{runs}/*/predictions.jsonl", f"{runs}/exp_id=*") if exists(spark, p)]
+    kinds = {c: answer(F.col(c)) for c in ("gold", "pred", "exec_value")}
     if not paths:
-        return spark.createDataFrame([], PREDICTION).withColumns({c: answer(F.col(c)) for c in ("gold", "pred", "exec_value")}).withColumns({"exp_id": F.lit(""), "ord": F.lit(0).cast("long")})
-    rows = spark.read.schema(PREDICTION).option("mode", "DROPMALFORMED").json(paths).select("*", _run_of(F.col("_metadata.file_path")).alias("exp_id"))
-    return rows.withColumn("ord", F.monotonically_increasing_id()).withColumns({c: answer(F.col(c)) for c in ("gold", "pred", "exec_value")})
+        return spark.createDataFrame([], f"{PREDICTION}, exp_id string, ord struct<line:bigint,path:string,block:bigint,row:bigint>").withColumns(kinds)
+    rows = spark.read.schema(f"{PREDICTION}, line bigint").option("mode", "DROPMALFORMED").json(paths)
+    own = lambda c: F.when(F.col("line").isNull(), c)
+    at = F.struct("line", own(F.col("_metadata.file_path")).alias("path"), own(F.col("_metadata.file_block_start")).alias("block"), own(F.monotonically_increasing_id()).alias("row"))
+    return rows.select("*", _run_of(F.col("_metadata.file_path")).alias("exp_id"), at.alias("ord")).drop("line").withColumns(kinds)
 
 
 def item_correctness(predictions: DataFrame) -> DataFrame:

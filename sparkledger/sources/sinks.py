@@ -7,20 +7,28 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ledger
+
 ROWS_SHOWN = 1000
 
 
-def append_runs(runs: DataFrame, folder: str) -> None:
-    """K1: rows added to the log of runs."""
-    runs.write.mode("append").json(f"{folder}/results.jsonl")
+def append_runs(runs: DataFrame, folder: str, *order: Column | str, batch: str = "", copies: bool = True) -> None:
+    """K1: rows added to the log of runs in one commit, and a copy in each run's folder; a batch that was added before adds nothing."""
+    ledger.append(runs, folder, "result", order, batch, copies)
+
+
+def write_predictions(predictions: DataFrame, folder: str, *order: Column | str) -> None:
+    """K2: one folder per run, replaced; other runs stay. Lines are numbered by `order`, or as the rows come."""
+    numbered = (predictions.orderBy(*order) if order else predictions).withColumn("line", F.monotonically_increasing_id())
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exp_id").json(folder)
 
 
-def write_predictions(predictions: DataFrame, folder: str) -> None:
-    """K2: one folder per run, replaced; other runs stay."""
-    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exp_id").json(folder)
+def save_states(states: DataFrame, folder: str, batch: str = "") -> None:
+    """K4: a status file per run, all of them or none; each run's last one counts."""
+    ledger.append(states, folder, "status", (), batch)
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -99,6 +107,6 @@ def deterministic_zip(files: dict[str, bytes]) -> bytes:
 
 
 def packable(files: DataFrame, path: str = "path") -> DataFrame:
-    """Files that go into a result archive: no weights, checkpoints or archives."""
+    """Files that go into a result archive: no weights or archives, nothing in a folder of checkpoints. Paths are relative to the folder of runs."""
     p = F.col(path)
-    return files.where(~p.rlike(r"\.(safetensors|bin|pt|pth|zip)$") & ~p.rlike(r"(^|/)checkpoint-[^/]*(/|$)"))
+    return files.where(~p.rlike(r"[^/]\.(safetensors|bin|pt|pth|ckpt|zip)$") & ~p.rlike(r"(^|/)(checkpoints(/|$)|checkpoint-)"))

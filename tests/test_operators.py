@@ -29,28 +29,6 @@ def test_empty_rates(spark):
     assert tuple(r) == (0.0, 0.0, None, None, None)
 
 
-def test_bootstrap_matches_normal():
-    x = np.array([1.0] * 200 + [0.0] * 200)
-    m, lo, hi = stats.mean_interval(x)
-    assert m == 0.5 and abs((hi - lo) / 2 - 1.96 * np.sqrt(0.25 / 400)) < 0.006
-    assert all(np.isnan(stats.mean_interval(np.array([]))))
-    a, lo, hi = stats.difference_interval(x, x, paired=True)
-    assert a == lo == hi == 0
-    with pytest.raises(ValueError):
-        stats.difference_interval(x, x[:3], paired=True)
-
-
-def test_chunked_draws_equal_one_draw():
-    x = np.arange(50.0)
-    rng = np.random.default_rng(0)
-    whole = x[rng.integers(0, 50, (1000, 50))].mean(1)
-    old, stats.CHUNK = stats.CHUNK, 700
-    try:
-        assert np.array_equal(stats._means(np.random.default_rng(0), x, 1000), whole)
-    finally:
-        stats.CHUNK = old
-
-
 def test_mcnemar_and_holm(spark):
     assert stats.binomial_two_sided(0, 0) == 1 and stats.binomial_two_sided(1, 10) == pytest.approx(22 / 1024)
     tests = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03)], "i int, p double")
