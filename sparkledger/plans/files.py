@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ablation as AB
 from ..operators import rates as R
 from ..session import new_folder
-from ..sources import raw, readers, sinks
+from ..sources import archives, raw, readers, sinks
 from .base import table
 
 QUERIES: dict = {}
@@ -31,6 +31,16 @@ def _folder(spark: SparkSession) -> str:
     return new_folder(spark, "files")
 
 
+_PATHS = ["result.json", "w.safetensors", "checkpoint-5/x.json", "old.zip", "last.ckpt", "checkpoints/step-1/a.json", "notes.ckpt.md", "my-checkpoints/a.json", "a/checkpoints", "w.bin/readme"]
+_PACKED = "(o_orderkey % 10 IN (0, 6, 7, 9))"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per order, of ten kinds."""
+    ends = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("o_orderkey") % len(_PATHS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), ends).alias("path"))
+
+
 _EXAMPLES = "SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS numbers, round(sum(CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END), 2) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS words FROM orders GROUP BY 1"
 
 
@@ -241,14 +251,29 @@ def raw_tatqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT n_name AS uid, 'q' AS question, CAST(n_nationkey AS DOUBLE) AS num FROM nation")
+@query("SELECT c_custkey::VARCHAR AS uid, c_mktsegment AS question, round(c_acctbal, 2) AS num FROM customer")
 def raw_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The builder that is registered for a data set, over a file that is one JSON array."""
+    """Raw files of one JSON array each, written into zip archives and read back as the examples of the builder that is registered for them."""
+    at = _folder(spark)
+    report = [F.lit("f").alias("filename"), F.array(F.lit("")).alias("pre_text"), F.array(F.lit("")).alias("post_text"), F.array(F.array(F.lit("x"))).alias("table")]
+    qa = F.struct(F.col("c_mktsegment").alias("question"), F.lit("").alias("program"), F.round("c_acctbal", 2).alias("exe_ans"), F.lit("").alias("answer"))
+    record = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), *report, qa.alias("qa")))
+    # Each file holds the customers of one nation; a block of keys bounds what one file gathers.
+    files = table(spark, sf_dir, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / 10_000).alias("block"), record.alias("r")).groupBy("c_nationkey", "block")
+    content = F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]"))
+    archives.write_members(files.agg(content.alias("content")).select(F.concat_ws("/", "c_nationkey", F.concat("block", F.lit(".json"))).alias("path"), "content"), at)
+    return archives.build(spark, "finqa", at, zipped=True).select("uid", "question", F.col("answer.num").alias("num"))
+
+
+@query(f"SELECT o_orderpriority AS kind, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE {_PACKED} GROUP BY 1")
+def packed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packable files of a listing in archives, read back member by member."""
     at = _folder(spark)
-    records = [{"id": r.n_name, "filename": "f", "pre_text": [], "post_text": [], "table": [["", "x"]], "qa": {"question": "q", "program": "", "exe_ans": float(r.n_nationkey), "gold_inds": {}}} for r in table(spark, sf_dir, "nation").collect()]  # 25 rows at any scale
-    spark.createDataFrame([(json.dumps(records),)], "value string").coalesce(1).write.text(at)
-    build, schema = raw.BUILDERS["finqa"]
-    return build(raw.read_array(spark, at, schema)).select("uid", "question", F.col("answer.num").alias("num"))
+    files = _listing(spark, sf_dir).select("path", F.concat_ws("|", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("content"))
+    archives.pack_outputs(files, at, 4)
+    said = F.split(F.col("content").cast("string"), r"\|")
+    found = archives.read_members(spark, at).select(said[0].alias("kind"), said[1].cast("long").alias("key"), F.split("member", "/")[0].cast("long").alias("folder"))
+    return found.where("key = folder").groupBy("kind").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
 
 
 @query("SELECT 'epochs' AS field, '3' AS value UNION ALL SELECT 'flag', 'False' UNION ALL SELECT 'rate', '0.0002' UNION ALL SELECT 'teacher', '7'")
@@ -258,16 +283,6 @@ def config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, str(v)) for k, v in made.items()], "field string, value string")
 
 
-_PATHS = ["result.json", "w.safetensors", "checkpoint-5/x.json", "old.zip", "last.ckpt", "checkpoints/step-1/a.json", "notes.ckpt.md", "my-checkpoints/a.json", "a/checkpoints", "w.bin/readme"]
-_PACKED = "(o_orderkey % 10 IN (0, 6, 7, 9))"
-
-
-def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per order, of ten kinds."""
-    ends = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("o_orderkey") % len(_PATHS) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), ends).alias("path"))
-
-
 @query(f"SELECT o_orderpriority AS kind, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE {_PACKED} GROUP BY 1")
 def packable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a listing that go into a result archive; weights, archives and all below checkpoints don't."""

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,21 +78,5 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_zipped(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
-    """A JSON array inside zip archives. Members are opened where the archive is read and leave as records, not as one text."""
-    import json
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = json.loads(z.read(member))
-                for a in range(0, len(rows), 1000):
-                    yield pd.DataFrame({"value": [json.dumps(r) for r in rows[a : a + 1000]]})
-
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, "value string")
-    return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-
-
 #: Builders and the schemas of what they read.
 BUILDERS = {"finqa": (finqa, FINQA), "convfinqa": (convfinqa, CONVFINQA), "tatqa": (tatqa, TATQA)}

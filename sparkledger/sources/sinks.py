@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import html
-import io
 import json
-import zipfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,15 +95,6 @@ def dataset_card(items: DataFrame, title: str, version: str, commit: str) -> str
     return f"# {title}\n\nPrepared with version {version}, code {commit}.\n\n{markdown_table(counts)}\n"
 
 
-def deterministic_zip(files: dict[str, bytes]) -> bytes:
-    """K7: the same members give the same archive: sorted, with one fixed time."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name in sorted(files):
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), files[name], zipfile.ZIP_DEFLATED)
-    return out.getvalue()
-
-
 def packable(files: DataFrame, path: str = "path") -> DataFrame:
     """Files that go into a result archive: no weights or archives, nothing in a folder of checkpoints. Paths are relative to the folder of runs."""
     p = F.col(path)

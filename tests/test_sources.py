@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sparkledger.sources import raw, readers, sinks
+from sparkledger.sources import archives, raw, readers, sinks
 
 REPORT = {"filename": "f", "pre_text": ["Sales were 1,234 ."], "post_text": ["End"], "table": [["", "2009", "2008"], ["revenue", "$ 5829", "5735"]]}
 
@@ -63,7 +63,7 @@ def test_convfinqa(spark, tmp_path):
     turn = {"id": "Single_x_1", **REPORT, "annotation": {"cur_dial": ["q0", "q1"], "exe_ans_list": [5829.0, 94.0], "cur_program": "subtract(5829, 5735)", "exe_ans": 94.0, "cur_type": "program", "qa_split": False}}
     with zipfile.ZipFile(tmp_path / "data.zip", "w") as z:
         z.writestr("data/dev_turn.json", json.dumps([turn]))
-    r = raw.convfinqa(raw.read_zipped(spark, f"file://{tmp_path}/data.zip", "data/dev_turn.json", raw.CONVFINQA)).first()
+    r = raw.convfinqa(archives.read_records(spark, f"file://{tmp_path}/data.zip", raw.CONVFINQA, "data/dev_turn.json")).first()
     assert r.question == "q1" and r.extra.turn_index == 1 and r.extra.conversation_id == "Single_x" and r.program_verified
     assert [(h.question, h.answer.num) for h in r.extra.history] == [("q0", 5829.0)]
 
@@ -85,11 +85,10 @@ def test_sinks(spark, tmp_path):
     assert "a|b" in sinks.html_table(df)
     page, text = sinks.report("T<", {"One": df, "None": df.limit(0)})
     assert "T&lt;" in page and "## One" in text and "None" not in text
-    assert sinks.deterministic_zip({"b": b"1", "a": b"2"}) == sinks.deterministic_zip({"a": b"2", "b": b"1"})
     sinks.write_csv(df, f"file://{tmp_path}/c")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").columns == ["dataset", "arm", "em", "em_hi", "em_lo", "note"]
-    files = spark.createDataFrame([("a/result.json",), ("a/w.safetensors",), ("a/checkpoint-5/x.json",)], "path string")
-    assert [r.path for r in sinks.packable(files).collect()] == ["a/result.json"]
+    files = spark.createDataFrame([("a/result.json",), ("a/w.safetensors",), ("a/checkpoint-5/x.json",), ("a/last.ckpt",), ("a/checkpoints/s/x.json",), (".zip",), ("a/my.checkpoints/x",)], "path string")
+    assert [r.path for r in sinks.packable(files).collect()] == ["a/result.json", ".zip", "a/my.checkpoints/x"]
     items = spark.createDataFrame([("finqa", "dev", "p"), ("finqa", "dev", None)], "dataset string, split string, gold_program string")
     assert "| finqa | dev | 2 | 1 |" in sinks.dataset_card(items, "Data", "1", "abc")
     assert json.loads(sinks.manifest(items, "1", "abc"))["datasets"] == {"finqa": {"dev": {"n": 2, "n_verified": 1}}}
@@ -99,3 +98,35 @@ def test_nested_values(spark):
     df = spark.sql("""select parse_json('{"gpu": {"n_gpus": 2}, "s": "x"}') as v""")
     r = df.select(readers.nested(F.col("v"), "gpu.n_gpus", "int").alias("a"), readers.nested(F.col("v"), "gpu.train_seconds", "double", 0.0).alias("b"), readers.nested(F.col("v"), "s", "int", 7).alias("c")).first()
     assert tuple(r) == (2, 0.0, 7)
+
+
+def test_archives(spark, tmp_path):
+    at = f"file://{tmp_path}/z"
+    files = spark.createDataFrame([(f"r{i:03d}/{n}", f"{i}{n}é".encode()) for i in range(50) for n in ("a.json", "w.bin", "checkpoints/c.json")] + [("empty", None)], "path string, content binary")
+    for again in ("one", "two"):
+        archives.pack_outputs(files.repartition(5 if again == "one" else 2), f"{at}/{again}", 3)
+    names = sorted(p.name for p in (tmp_path / "z/one").iterdir() if not p.name.startswith("."))
+    assert names == sorted(p.name for p in (tmp_path / "z/two").iterdir() if not p.name.startswith(".")) and 1 < len(names) <= 3
+    assert all((tmp_path / "z/one" / n).read_bytes() == (tmp_path / "z/two" / n).read_bytes() for n in names)
+    found = archives.read_members(spark, f"{at}/one", partitionbytes=20)
+    got = {r.member: bytes(r.content) for r in found.collect()}
+    assert got == {**{f"r{i:03d}/a.json": f"{i}a.jsoné".encode() for i in range(50)}, "empty": b""} and found.rdd.getNumPartitions() > 10
+    broken = files.withColumn("content", F.when(F.col("path") == "r030/a.json", F.raise_error(F.lit("on purpose"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="on purpose"):
+        archives.write_members(broken, f"{at}/three")
+    assert not list((tmp_path / "z").glob("three/*.zip"))
+    (tmp_path / "z/none").mkdir()
+    assert archives.read_members(spark, f"{at}/none").count() == 0
+
+
+def test_arrays_are_read_in_blocks():
+    import io
+
+    values = [1, "a,]b", {"x": [1, 2, {"y": "é"}]}, None, -2.5e3, [], "z" * 100, 12345678901]
+    for size in (1, 3, 7, 1000):
+        for text in (json.dumps(values), json.dumps(values, indent=2, ensure_ascii=False) + "\n"):
+            assert [json.loads(x) for x in archives.array_elements(io.BytesIO(text.encode()), size)] == values
+    assert list(archives.array_elements(io.BytesIO(b" [ ] "))) == []
+    for bad in (b"{}", b"[1, 2", b"[1] 2", b"[1, x]", b""):
+        with pytest.raises(ValueError):
+            list(archives.array_elements(io.BytesIO(bad), 2))
