@@ -100,3 +100,16 @@ def decide(configs: DataFrame, decisions: DataFrame, ready: DataFrame) -> DataFr
     lacks = F.size(F.coalesce("missing", F.array().cast("array<string>"))) > 0
     run = F.coalesce("run", F.lit(True))
     return both.withColumns({"reason": F.when(run & lacks, F.concat(F.lit("missing data: "), F.array_join("missing", ", "))).otherwise(F.coalesce("reason", F.lit("new"))), "run": run & ~lacks})
+
+
+def within_budget(plan: DataFrame, need: str, order: str, budget: str, *by: str, block: int = 4096) -> DataFrame:
+    """Adds `before` (what the runs ahead of a run need) and `starts`: whether the session's time is enough for it and all runs ahead. What doesn't start waits, without using an attempt.
+
+    need: a run's seconds; order: its place in the plan, from 0 without gaps; budget: the session's seconds (null: no limit); by: the session.
+    The running sum is taken in blocks of the plan, then over the blocks' sums, so that no task sorts a whole plan."""
+    blocks = plan.withColumn("_block", F.floor(F.col(order) / block))
+    sums = blocks.groupBy(*by, "_block").agg(F.sum(need).alias("_sum"))
+    ahead = sums.select(*by, "_block", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    inside = F.coalesce(F.sum(need).over(Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = blocks.join(ahead, [*by, "_block"]).withColumn("before", F.col("_ahead") + inside)
+    return found.withColumn("starts", F.col(budget).isNull() | (F.col("before") + F.col(need) <= F.col(budget))).drop("_block", "_ahead")

@@ -13,6 +13,7 @@ from ..operators import planning as P
 from ..operators import predict, registry, roadmap
 from ..session import new_folder
 from ..streaming import runs as streams
+from ..streaming import sessions
 from .base import long, table
 
 QUERIES: dict = {}
@@ -346,3 +347,64 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of event time, over the whole table."""
     rows = table(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
     return streams.tumbling_counts(rows, "time", "1 hour", "event_type").select(F.expr("timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', cast(start as timestamp_ntz))").alias("start"), "event_type", "n")
+
+
+_SILENT_S = 6 * 3600
+_SILENT = (
+    "e AS (SELECT user_id AS exp_id, epoch_us(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'not_ready' ELSE 'reset' END AS ev FROM events), "
+    "f AS (SELECT exp_id, 0::BIGINT AS i, 'pending' AS status, 0 AS attempts, 0::BIGINT AS last, 0 AS pauses FROM (SELECT DISTINCT exp_id FROM e) UNION ALL "
+    "SELECT exp_id, i, CASE ev WHEN 'running' THEN 'running' WHEN 'completed' THEN 'completed' WHEN 'failed' THEN CASE WHEN a >= 2 THEN 'permanently_failed' ELSE 'failed' END ELSE 'pending' END, "
+    "CASE ev WHEN 'running' THEN a + 1 WHEN 'not_ready' THEN greatest(a - 1, 0) WHEN 'reset' THEN 0 ELSE a END, ts, pauses + gap FROM ("
+    f"SELECT f.exp_id, e.i, e.ts, ev, pauses, CASE WHEN status = 'running' AND ts - last > {_SILENT_S * 1_000_000} THEN greatest(attempts - 1, 0) ELSE attempts END AS a, (status = 'running' AND ts - last > {_SILENT_S * 1_000_000})::INT AS gap "
+    "FROM f JOIN e ON e.exp_id = f.exp_id AND e.i = f.i + 1)), "
+    f"s AS (SELECT f.*, (SELECT max(epoch_us(ts)) FROM events) - last >= {_SILENT_S * 1_000_000} AS silent FROM f JOIN (SELECT exp_id, max(i) AS i FROM e GROUP BY 1) m ON f.exp_id = m.exp_id AND f.i = m.i)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_SILENT} SELECT exp_id::VARCHAR AS exp_id, CASE WHEN status = 'running' AND silent THEN 'paused' ELSE status END AS status, (CASE WHEN status = 'running' AND silent THEN greatest(attempts - 1, 0) ELSE attempts END)::INT AS attempts, "
+    "(pauses + (status = 'running' AND silent)::INT)::INT AS pauses FROM s"
+)
+def stream_silent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events; a run that is silent for six hours is paused by its timer, and its attempt is given back."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+    def events() -> DataFrame:
+        kind = F.col("event_type")
+        event = F.when(kind == "view", "running").when(kind == "purchase", "completed").when(kind == "error", "failed").when(kind == "click", "not_ready").otherwise("reset")
+        return streams.read_events(spark, f"{sf_dir}/events.parquet", schema).select(F.col("user_id").alias("exp_id"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("ord"), event.alias("event"))
+
+    return sessions.final_states(spark, events, _SILENT_S, new_folder(spark, "silent")).select("exp_id", "status", "attempts", "pauses")
+
+
+@query("SELECT user_id AS key, list_reduce(list_prepend(0.0::DOUBLE, list(abs(value) + 0.013 ORDER BY event_id)), lambda a, x: round(a + x, 1)) AS seconds FROM events WHERE value IS NOT NULL GROUP BY 1")
+def stream_gpu_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of sessions added up per key by a stream, rounded to tenths after each; every batch is delivered twice, which changes nothing."""
+    folder = new_folder(spark, "seconds")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    add = sessions.seconds_sink(spark, folder)
+
+    def twice(rows: DataFrame, number: int) -> None:
+        add(rows, number)
+        add(rows, number)
+
+    rows = streams.read_events(spark, f"{sf_dir}/events.parquet", schema).where("value is not null").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), (F.abs("value") + 0.013).alias("seconds"))
+    rows.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sessions.read_totals(spark, folder).select("key", "seconds")
+
+
+@query(
+    "WITH p AS (SELECT o_orderstatus AS session, o_orderkey, o_custkey % 97 + 1 AS need, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders), "
+    "b AS (SELECT session, CASE WHEN session = 'P' THEN NULL ELSE sum(need) // 3 END AS budget FROM p GROUP BY 1), "
+    "s AS (SELECT p.*, budget, sum(need) OVER (PARTITION BY session ORDER BY place) AS upto FROM p JOIN b USING (session)) "
+    "SELECT session, o_orderkey, (upto - need)::BIGINT AS before, budget IS NULL OR upto <= budget AS starts FROM s"
+)
+def budget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which runs of three sessions' plans start within their time, by the running sum of what they need; one session has no limit."""
+    from pyspark.sql import Window
+
+    plan = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("session"), "o_orderkey", (F.col("o_custkey") % 97 + 1).alias("need"), (F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderdate", "o_orderkey")) - 1).alias("place")
+    )
+    budgets = plan.groupBy("session").agg(F.when(F.first("session") != "P", F.floor(F.sum("need") / 3)).alias("budget"))
+    return P.within_budget(plan.join(budgets, "session"), "need", "place", "budget", "session", block=64).select("session", "o_orderkey", "before", "starts")
