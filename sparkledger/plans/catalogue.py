@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, helpers, running, scoring
+from . import checks, files, helpers, running, scoring
 
-QUERIES: dict = {**scoring.QUERIES, **running.QUERIES, **files.QUERIES, **helpers.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scoring.SQL, **running.SQL, **files.SQL, **helpers.SQL}
+QUERIES: dict = {**scoring.QUERIES, **running.QUERIES, **files.QUERIES, **helpers.QUERIES, **checks.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scoring.SQL, **running.SQL, **files.SQL, **helpers.SQL, **checks.SQL}
