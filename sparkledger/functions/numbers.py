@@ -174,14 +174,14 @@ def cell_number(x: Column) -> Column:
     return _found(F.translate(x.cast("string"), ",$", ""), r"(-?[0-9]+(?:\.[0-9]+)?)")
 
 
-def _fixed(v: Column, digits: int) -> Column:
+def fixed(v: Column, digits: int) -> Column:
     return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
 
 
 def format_number(v: Column) -> Column:
     """Integers without a point, other numbers with at most 5 decimals."""
     whole = (F.floor(v) == v) & (F.abs(v) < 1e15)
-    trimmed = F.regexp_replace(F.regexp_replace(_fixed(v, 5), "0+$", ""), r"\.$", "")
+    trimmed = F.regexp_replace(F.regexp_replace(fixed(v, 5), "0+$", ""), r"\.$", "")
     return F.when(whole, v.cast("long").cast("string")).otherwise(trimmed)
 
 
@@ -199,17 +199,17 @@ def literal(v: Column) -> Column:
 
 def si(v: Column, digits: int = 2) -> Column:
     """A number with the prefix E, P, T, G or M; '-' for null."""
-    out = _fixed(v, digits)
+    out = fixed(v, digits)
     for size, name in ((1e6, "M"), (1e9, "G"), (1e12, "T"), (1e15, "P"), (1e18, "E")):
-        out = F.when(F.abs(v) >= size, F.concat(_fixed(v / size, digits), F.lit(" " + name))).otherwise(out)
+        out = F.when(F.abs(v) >= size, F.concat(fixed(v / size, digits), F.lit(" " + name))).otherwise(out)
     return F.coalesce(out, F.lit("-"))
 
 
 def percent_text(v: Column, digits: int = 1) -> Column:
     """A share as a percentage; '-' for null."""
-    return F.coalesce(F.concat(_fixed(v * 100, digits), F.lit("%")), F.lit("-"))
+    return F.coalesce(F.concat(fixed(v * 100, digits), F.lit("%")), F.lit("-"))
 
 
 def minutes_text(seconds: Column) -> Column:
     """Minutes from a minute on, else seconds; '-' for null."""
-    return F.coalesce(F.when(seconds >= 60, F.concat(_fixed(seconds / 60, 1), F.lit(" min"))).otherwise(F.concat(_fixed(seconds, 0), F.lit(" s"))), F.lit("-"))
+    return F.coalesce(F.when(seconds >= 60, F.concat(fixed(seconds / 60, 1), F.lit(" min"))).otherwise(F.concat(fixed(seconds, 0), F.lit(" s"))), F.lit("-"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions.answers import OUTCOMES, RULES
-from ..functions.text import last_line
+from ..functions.text import first_line, last_line
 from .rates import share
 
 
@@ -106,3 +107,29 @@ def session_verdict(states: DataFrame, since: Column) -> DataFrame:
     """P10: states touched since a time, with a text for each status and the last line of its error."""
     say = F.when(F.col("status") == "completed", "finished").when(F.col("status") == "pending", "waiting").when(F.col("status") == "running", "interrupted or running").otherwise(F.concat(F.lit("failed: "), last_line(F.col("last_error"))))
     return states.where(F.col("last_update") >= since).select("exp_id", "status", "last_update", say.alias("verdict"))
+
+
+# What people are shown of a long text.
+QUESTION_CHARS, REPLY_CHARS, ITEMS_SHOWN = 140, 60, 80
+
+
+def shown_results(runs: DataFrame) -> DataFrame:
+    """Each run's numbers as people read them; a missing one is a dash."""
+    dash = lambda x: F.coalesce(x, F.lit("-"))
+    ci = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.concat(N.percent_text(F.col("lo")), F.lit("-"), N.percent_text(F.col("hi"))))
+    return runs.select(
+        F.col("name").alias("experiment"), N.percent_text(F.col("exact_match")).alias("exact_match"), dash(ci).alias("ci"), N.percent_text(F.col("exact_match_strict")).alias("strict"), F.col("n_examples").cast("string").alias("n"),
+        N.percent_text(F.col("execution_accuracy")).alias("exec_acc"), N.percent_text(F.col("faithfulness_primary")).alias("faithfulness"), dash(N.fixed(F.col("train_loss"), 3)).alias("train_loss"),
+        dash(F.when(F.col("tokens_per_s") != 0, F.format_number("tokens_per_s", 0))).alias("tok_s"), N.minutes_text(F.col("wall_time_s")).alias("wall"), N.si(F.col("train_flops")).alias("train_flops"), N.si(F.col("infer_flops")).alias("infer_flops"),
+        F.coalesce("git_commit", F.lit("")).alias("code"),
+    )
+
+
+def shown_items(items: DataFrame, by: list[str], *order: str, limit: int = ITEMS_SHOWN) -> DataFrame:
+    """The first items of each group (a run) as people read them: number, question, gold, human answer, the reply's first line and the outcome."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = items.withColumn("no", place).where(F.col("no") <= limit)
+    return first.select(
+        *by, "no", F.substring(F.coalesce(F.nullif("question", F.lit("")), "uid", F.lit("")), 1, QUESTION_CHARS).alias("question"), F.coalesce("gold", F.lit("None")).alias("gold"), F.coalesce("answer_text", F.lit("")).alias("human_answer"),
+        F.substring(first_line(F.col("reply")), 1, REPLY_CHARS).alias("reply"), "outcome",
+    )

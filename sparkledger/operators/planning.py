@@ -24,6 +24,20 @@ def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     return df
 
 
+def grid_of(axes: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """As grid, with axes from tables: name -> (table, column to order by); each axis is the table's distinct values of the column `name`.
+
+    An axis is one row (its values as an array) that the combinations so far are joined with, so the product is written out where it is used, in as many tasks as it has rows for."""
+    out = None
+    for name, (df, order) in axes.items():
+        values = df.groupBy(name).agg(F.min(order).alias("_o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(name).alias("v")))), lambda x: x["v"]).alias("_values"))
+        row = values if out is None else out.repartition("ord").crossJoin(F.broadcast(values))
+        place = F.lit(0).cast("long") if out is None else F.col("ord") * F.size("_values")
+        kept = [] if out is None else [c for c in out.columns if c != "ord"]
+        out = row.select(*kept, place.alias("_p"), F.posexplode("_values").alias("_i", name)).withColumn("ord", F.col("_p") + F.col("_i")).drop("_p", "_i")
+    return out
+
+
 def priorities(levels: DataFrame) -> DataFrame:
     """Arm -> priority, from rows of a level and its arms."""
     return levels.select(F.explode("arms").alias("arm"), F.col("level").alias("priority"))
@@ -31,7 +45,7 @@ def priorities(levels: DataFrame) -> DataFrame:
 
 def compatible(combos: DataFrame, arms: DataFrame, models: DataFrame, phase: int = 1, priority: DataFrame | None = None) -> DataFrame:
     """Combinations whose arm fits the model's tier (both default to student), without second-phase models in phase 1 and without further seeds of arms that don't train."""
-    out = combos.join(F.broadcast(arms), "arm", "left").join(F.broadcast(models), "model", "left")
+    out = combos.join(arms, "arm", "left").join(models, "model", "left")  # short tables by nature; Spark broadcasts them if they are
     out = out.where(F.coalesce("role", F.lit("student")) == F.coalesce("tier", F.lit("student")))
     if phase == 1:
         out = out.where(~F.coalesce("phase2_only", F.lit(False)))
@@ -41,13 +55,18 @@ def compatible(combos: DataFrame, arms: DataFrame, models: DataFrame, phase: int
     return out.withColumn("priority", F.coalesce("priority", F.lit(""))) if priority is not None else out
 
 
-def run_order(configs: DataFrame) -> DataFrame:
+def run_order(configs: DataFrame, block: int = 1 << 16) -> DataFrame:
     """One row per experiment_id (the first), with position by priority, seed and first place.
 
-    A plan has as many rows as a suite has experiments, so one task orders it."""
+    Rows are numbered inside blocks of a priority, a seed and a range of places, and blocks by their counts, so no task orders a whole plan."""
     once = first_per_key(configs, ["experiment_id"], F.col("ord"))
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PRIORITIES.items() for x in kv)), F.col("priority")), F.lit(3))
-    return once.withColumn("position", F.row_number().over(Window.orderBy(rank, "seed", "ord")) - 1)
+    keys = ["_rank", "_seed", "_block"]
+    rows = once.withColumns({"_rank": rank, "_seed": F.coalesce(F.col("seed").cast("long"), F.lit(-(1 << 62))), "_block": F.floor(F.col("ord") / block)})
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ahead = counts.select(*keys, (F.sum("_n").over(Window.orderBy(*keys)) - F.col("_n")).alias("_ahead"))  # a row for each block
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1
+    return rows.withColumn("_i", inside).join(ahead, keys).withColumn("position", (F.col("_ahead") + F.col("_i")).cast("int")).drop(*keys, "_i", "_ahead")
 
 
 def union_suites(suites: list[DataFrame]) -> DataFrame:

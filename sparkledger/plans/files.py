@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import costs
 from ..operators import ablation as AB
 from ..operators import rates as R
 from ..session import new_folder
@@ -162,32 +161,36 @@ def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+_TOP = "(SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)"
+
+
 @query(
-    "SELECT 'markdown' AS kind, '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS text FROM region "
-    "UNION ALL SELECT 'html', '<table><tr><th>r_regionkey</th><th>r_name</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>', '' ORDER BY r_regionkey) || '</table>' FROM region "
-    "UNION ALL SELECT 'report', '# T' || chr(10) || chr(10) || '## Regions' || chr(10) || chr(10) || '| n |' || chr(10) || '|---|' || chr(10) || '| ' || count(*) || ' |' || chr(10) FROM region "
-    "UNION ALL SELECT 'card', '# Cards' || chr(10) || chr(10) || 'Prepared with version 1, code abc.' || chr(10) || chr(10) || '| dataset | split | questions | verified programs |' || chr(10) || '|---|---|---|---|' || chr(10) || '| finqa | dev | ' || count(*) || ' | ' || count(*) FILTER (WHERE r_regionkey > 1) || ' |' || chr(10) FROM region"
+    "SELECT c_nationkey::BIGINT AS nation, 'markdown' AS kind, '| name | n | em |' || chr(10) || '|---|---|---|' || coalesce(string_agg(chr(10) || '| ' || replace(c_name, '#', '/') || ' | ' || c_custkey || ' | 0.500 [0.250, 0.750] |', '' ORDER BY i) FILTER (WHERE i <= 5), '') AS text "
+    f"FROM {_TOP} GROUP BY 1 UNION ALL SELECT c_nationkey::BIGINT, 'html', '<table><tr><th>seg</th><th>k</th></tr>' || string_agg('<tr><td>&lt;' || c_mktsegment || '&gt; &amp; &quot;&#x27;</td><td>' || c_custkey || '</td></tr>', '' ORDER BY i) FILTER (WHERE i <= 5) || '</table>' FROM {_TOP} GROUP BY 1"
 )
 def rendered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small table as Markdown and as HTML, a report without its empty section, and a data set's card."""
-    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
-    _, text = sinks.report("T", {"Regions": regions.agg(F.count("*").alias("n")), "None": regions.limit(0)})
-    items = regions.select(F.lit("finqa").alias("dataset"), F.lit("dev").alias("split"), F.when(F.col("r_regionkey") > 1, "p").alias("gold_program"))
-    rows = [("markdown", sinks.markdown_table(regions)), ("html", sinks.html_table(regions)), ("report", text), ("card", sinks.dataset_card(items, "Cards", "1", "abc"))]
-    return spark.createDataFrame(rows, "kind string, text string")
+    """A table for people of each nation's first customers, as Markdown with intervals, written and read back, and as escaped HTML."""
+    c = table(spark, sf_dir, "customer")
+    order = ["n"]
+    rows = c.select(F.col("c_nationkey").alias("nation"), F.replace(F.col("c_name"), F.lit("#"), F.lit("|")).alias("name"), F.col("c_custkey").alias("n"), F.lit(0.5).alias("em"), F.lit(0.25).alias("em_lo"), F.lit(0.75).alias("em_hi"))
+    at = _folder(spark)
+    sinks.write_md(sinks.markdown_tables(rows, ["nation"], order, 5), at, "nation")
+    found = spark.read.text(at, wholetext=True).select(F.col("nation").cast("long").alias("nation"), F.lit("markdown").alias("kind"), F.rtrim("value", F.lit("\n")).alias("text"))
+    page = c.select(F.col("c_nationkey").cast("long").alias("nation"), F.concat(F.lit("<"), "c_mktsegment", F.lit("> & \"'")).alias("seg"), F.col("c_custkey").alias("k"))
+    return found.unionByName(sinks.html_tables(page, ["nation"], ["k"], 5).select("nation", F.lit("html").alias("kind"), "text"))
 
 
 @query(
-    "SELECT o_orderstatus AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'dev' ELSE 'test' END AS split, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_verified FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2 "
-    "UNION ALL SELECT 'P', 'old', 1, 1"
+    "SELECT o_orderstatus AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'dev' ELSE 'test' END AS split, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_verified FROM orders GROUP BY 1, 2 "
+    "UNION ALL SELECT o_orderpriority, 'old', count(*), 0 FROM orders GROUP BY 1"
 )
 def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of what was built now, over an earlier one of which one data set stays."""
-    built = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderstatus").alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, "dev").otherwise("test").alias("split"), F.when(F.col("o_orderkey") % 3 == 0, "p").alias("gold_program"))
-    found = json.loads(sinks.manifest(built, "1", "abc"))["datasets"]
-    schema = "dataset string, split string, n long, n_verified long"
-    new = spark.createDataFrame([(d, s, c["n"], c["n_verified"]) for d, splits in found.items() for s, c in splits.items()], schema)
-    return readers.manifest_update(spark.createDataFrame([("P", "old", 1, 1), ("F", "old", 9, 9)], schema), new)
+    """The manifest of what was built now, over an earlier one, of which the data sets that weren't built stay."""
+    orders = table(spark, sf_dir, "orders")
+    program = lambda every: F.when(F.col("o_orderkey") % every == 0, "p").alias("gold_program")
+    built = orders.select(F.col("o_orderstatus").alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, "dev").otherwise("test").alias("split"), program(3))
+    before = orders.select(F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("dataset"), F.lit("old").alias("split"), F.lit(None).cast("string").alias("gold_program"))
+    return readers.manifest_update(sinks.manifest_rows(before), sinks.manifest_rows(built))
 
 
 @query("SELECT 'processed/finqa/dev.jsonl' AS file, sha256(string_agg('{\"uid\":\"' || r_name || '\"}' || chr(10), '' ORDER BY r_name)) AS sha256, '7' AS preprocess_version, 'abc' AS code_commit, CAST(1 AS BIGINT) AS files FROM region")
@@ -276,17 +279,42 @@ def packed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("key = folder").groupBy("kind").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
 
 
-@query("SELECT 'epochs' AS field, '3' AS value UNION ALL SELECT 'flag', 'False' UNION ALL SELECT 'rate', '0.0002' UNION ALL SELECT 'teacher', '7'")
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 1 END::INT AS epochs, CASE WHEN p_partkey % 2 = 0 THEN (p_retailprice::VARCHAR || 'e-4')::DOUBLE ELSE 0.1::DOUBLE END AS rate, p_partkey % 5 > 0 AS flag, CASE WHEN p_partkey % 7 = 0 THEN p_brand END AS teacher FROM part"
+)
 def config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A config over its defaults; number texts take the default's type, unknown fields drop."""
-    made = readers.config_row({"epochs": 1, "rate": 0.1, "flag": True, "teacher": None}, {"epochs": "3", "rate": "2e-4", "flag": False, "teacher": "7", "odd": 1})
-    return spark.createDataFrame([(k, str(v)) for k, v in made.items()], "field string, value string")
+    """Configs over their defaults; number texts take the default's type, unknown fields drop."""
+    k, s = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    given = F.map_filter(
+        F.map_from_arrays(
+            F.array(*map(F.lit, ["epochs", "rate", "flag", "teacher", "odd"])),
+            F.array(F.when(k % 3 == 0, F.concat(s("p_size"), F.lit(".0"))), F.when(k % 2 == 0, F.concat((F.col("p_retailprice")).cast("string"), F.lit("e-4"))), F.when(k % 5 == 0, F.lit("false")), F.when(k % 7 == 0, F.col("p_brand")), F.lit("x")),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    found = table(spark, sf_dir, "part").select("p_partkey", *readers.config_fields(given, {"epochs": 1, "rate": 0.1, "flag": True, "teacher": None}))
+    return found
 
 
-@query(f"SELECT o_orderpriority AS kind, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE {_PACKED} GROUP BY 1")
-def packable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of a listing that go into a result archive; weights, archives and all below checkpoints don't."""
-    return sinks.packable(_listing(spark, sf_dir)).groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+@query(
+    "SELECT s_name AS model, s_suppkey % 3 = 0 AS large, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 4) / 4::DOUBLE END AS usd, CASE WHEN s_suppkey % 5 > 0 THEN (s_suppkey % 5) / 8::DOUBLE ELSE 0.1 END AS answers_per_s, count(*) AS parts FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY ALL"
+)
+def setting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price, speed and model tables as settings files, loaded and joined to runs; a run whose model isn't in the table would be an error."""
+    at, k = _folder(spark), F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier")
+    one = lambda head, entry: suppliers.agg(F.concat(F.lit(f"# a comment: not: a key\n{head}:   # below\n"), F.array_join(F.array_sort(F.collect_list(entry)), "\n"), F.lit("\n")).alias("value"))
+    name = F.col("s_name")
+    price = F.when(k % 4 > 0, (k % 4 / 4).cast("string")).otherwise("null")
+    one("gpus", F.concat(F.lit("  "), name, F.lit(":\n    usd_per_gpu_hour: "), price, F.lit('\n    source: ""  # none'))).write.text(f"{at}/pricing")
+    one("answers_per_s", F.concat(F.lit("  "), name, F.lit(": "), F.when(k % 5 > 0, F.concat(F.lit("{answer: "), (k % 5 / 8).cast("string"), F.lit(",  cot: 9}"))).otherwise("{}"))).write.text(f"{at}/speeds")
+    one("models", F.concat(F.lit("  "), name, F.lit(':\n    tier: "'), F.when(k % 3 == 0, "large").otherwise("student"), F.lit("\"\n    size_b: 3.0"))).write.text(f"{at}/models")
+    runs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("parts")).join(suppliers.select("s_suppkey", name.alias("model")), "s_suppkey")
+    found = readers.with_model(runs, readers.load_models(spark, f"{at}/models"))
+    prices = readers.load_prices(spark, f"{at}/pricing").select(F.col("gpu_key").alias("model"), F.col("usd_per_gpu_hour").alias("usd"))
+    rate = costs.answer_speed(F.coalesce("speeds", F.create_map().cast("map<string,double>")), F.lit("pot"))
+    both = found.join(prices, "model", "left").join(readers.load_speeds(spark, f"{at}/speeds"), "model", "left")
+    return both.select("model", (F.col("fields")["tier"] == "large").alias("large"), "usd", rate.alias("answers_per_s"), "parts")
 
 
 @query(

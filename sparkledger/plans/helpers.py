@@ -166,8 +166,29 @@ def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("n")).crossJoin(drawn)
 
 
-@query("SELECT 'results' AS kind, least(count(*), 80) AS n FROM customer UNION ALL SELECT 'items', least(count(*), 1000) FROM orders")
+@query(
+    "SELECT o_orderstatus AS run, no::INT AS no, question, gold, human_answer, reply, outcome FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS no, repeat(o_orderpriority || ' ', 20)[1:140] AS question, "
+    "round(o_totalprice, 2)::VARCHAR AS gold, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS human_answer, ('line ' || o_custkey || repeat('x', 70))[1:60] AS reply, CASE WHEN o_orderkey % 3 = 0 THEN 'Correct' ELSE 'Wrong number' END AS outcome FROM orders) WHERE no <= 80"
+)
 def shown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows of a table people are shown: 80 results, 1000 items."""
-    shown = lambda name, most: sinks.markdown_table(table(spark, sf_dir, name).select(F.lit(1).alias("x")), most).count("| 1 |")
-    return spark.createDataFrame([("results", shown("customer", 80)), ("items", shown("orders", 1000))], "kind string, n long")
+    """The first items of each run, as people are shown them."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("run"), "o_orderdate", "o_orderkey", F.expr("repeat(o_orderpriority || ' ', 20)").alias("question"), k.cast("string").alias("uid"), F.round("o_totalprice", 2).cast("string").alias("gold"),
+        F.when(k % 2 == 0, F.col("o_orderpriority")).alias("answer_text"), F.concat(F.lit(" \nline "), F.col("o_custkey").cast("string"), F.expr("repeat('x', 70)"), F.lit("\nmore")).alias("reply"), F.when(k % 3 == 0, OUTCOMES[0]).otherwise(OUTCOMES[7]).alias("outcome"),
+    )
+    return B.shown_items(rows, ["run"], "o_orderdate", "o_orderkey")
+
+
+@query(
+    "SELECT c_name AS experiment, '50.0%' AS exact_match, CASE WHEN c_custkey % 2 = 0 THEN '40.0%-60.0%' ELSE '-' END AS ci, '-' AS strict, c_nationkey::VARCHAR AS n, '-' AS exec_acc, '25.0%' AS faithfulness, CASE WHEN c_custkey % 3 = 0 THEN '0.125' ELSE '-' END AS train_loss, "
+    "CASE WHEN c_nationkey > 0 THEN format('{:,}', c_nationkey * 1000) ELSE '-' END AS tok_s, CASE WHEN c_custkey % 4 = 0 THEN '30 s' ELSE '2.5 min' END AS wall, '3.00 T' AS train_flops, '-' AS infer_flops, c_mktsegment AS code FROM customer"
+)
+def shown_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's numbers, as people are shown them."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("double")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.lit(0.5).alias("exact_match"), F.when(k % 2 == 0, 0.4).alias("lo"), F.lit(0.6).alias("hi"), none.alias("exact_match_strict"), F.col("c_nationkey").alias("n_examples"), none.alias("execution_accuracy"), F.lit(0.25).alias("faithfulness_primary"),
+        F.when(k % 3 == 0, 0.125).alias("train_loss"), (F.col("c_nationkey") * 1000.0).alias("tokens_per_s"), F.when(k % 4 == 0, 30.0).otherwise(150.0).alias("wall_time_s"), F.lit(3e12).alias("train_flops"), none.alias("infer_flops"), F.col("c_mktsegment").alias("git_commit"),
+    )
+    return B.shown_results(rows)

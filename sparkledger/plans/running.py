@@ -76,11 +76,11 @@ def restore_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.restore(own, ["path"]).select("path", "src", "status")
 
 
-@query("SELECT DISTINCT ON (k) k, part FROM (SELECT o_custkey AS k, 0 AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 1 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT c_custkey, 2 FROM customer) ORDER BY k, part")
+@query("SELECT DISTINCT ON (k) k, part FROM (SELECT o_custkey AS k, 0 AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 1 FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT c_custkey, 2 FROM customer) ORDER BY k, part")
 def suite_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of three lists, each key once, from the first list that has it."""
     orders = table(spark, sf_dir, "orders")
-    parts = [orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("experiment_id"), F.col("o_orderkey").alias("ord")) for s in ("F", "O")]
+    parts = [orders.where(side).select(F.col("o_custkey").alias("experiment_id"), F.col("o_orderkey").alias("ord")) for side in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'")]
     parts.append(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("experiment_id"), F.col("c_custkey").alias("ord")))
     return P.union_suites(parts).select(F.col("experiment_id").alias("k"), F.col("position._part").alias("part"))
 
@@ -135,63 +135,77 @@ def price_lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", costs.answer_speed(F.coalesce(entries, F.create_map().cast("map<string,double>")), F.lit("pot")).alias("rate"))
 
 
-_ARMS = [("A1", "student", "zeroshot"), ("A3", "large", "zeroshot"), ("A5", "student", "greedy"), ("A7", "student", "greedy")]
-_MODELS = [("small", "student", False, 3.0), ("big", "large", False, 32.0), ("huge", "large", True, 72.0)]
-_AXES = {"arm": ["A5", "A1", "A3", "A7"], "model": ["small", "big", "huge"], "seed": [0, 1], "split": ["standard", "clean"]}
+#: Arms that take part, with their priority; the rest have none.
+_LEVELS = [("M", ["A5", "A6"]), ("S", ["A1", "A3"])]
 
 
-def _plan(spark: SparkSession) -> DataFrame:
-    arms = spark.createDataFrame(_ARMS, "arm string, role string, inference string")
-    models = spark.createDataFrame(_MODELS, "model string, tier string, phase2_only boolean, size_b double")
-    priority = P.priorities(spark.createDataFrame([("M", ["A5"]), ("S", ["A1", "A3"])], "level string, arms array<string>"))
-    found = P.compatible(P.grid(spark, _AXES), arms, models, 1, priority)
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan from the tables: arms from customers, models from suppliers, seeds from line numbers, splits from order statuses."""
+    arm = F.concat(F.lit("A"), (F.col("c_nationkey") % 8 + 1).cast("string")).alias("arm")
+    k = F.col("s_suppkey")
+    tier = F.when(k % 3 == 0, "large").when(k % 3 == 1, "student")
+    arms = table(spark, sf_dir, "customer").select(arm, "c_nationkey")
+    models = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("model"), tier.alias("tier"), (k % 10 == 9).alias("phase2_only"), (k % 40).cast("double").alias("size_b"), (F.lit(100.0) + k % 50).alias("train_tokens_per_s"), "s_suppkey")
+    seeds = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).alias("seed"))
+    splits = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "clean").when(F.col("o_orderstatus") == "O", "standard").otherwise("dev").alias("split"))
+    axes = {"arm": (arms, "arm"), "model": (models, "s_suppkey"), "seed": (seeds, "seed"), "split": (splits, "split")}
+    role = F.when(F.col("arm").isin("A3", "A4"), "large").otherwise("student")
+    roles = arms.select("arm").distinct().withColumns({"role": role, "inference": F.when(F.col("arm").isin("A2", "A4"), "fewshot").otherwise("greedy")})
+    priority = P.priorities(spark.createDataFrame(_LEVELS, "level string, arms array<string>"))
+    found = P.compatible(P.grid_of(axes), roles, models.drop("s_suppkey"), 1, priority)
     return found.withColumns({"experiment_id": F.concat_ws("-", "arm", "model", "seed", "split"), "training_id": F.concat_ws("-", "arm", "model", "seed")})
 
 
 _GRID = (
-    "g AS (SELECT a.i * 12 + m.i * 4 + s * 2 + p.i AS ord, a.arm, role, inference, m.model, tier, s AS seed, split FROM (VALUES (0, 'A5', 'student', 'greedy'), (1, 'A1', 'student', 'zeroshot'), (2, 'A3', 'large', 'zeroshot'), (3, 'A7', 'student', 'greedy')) a(i, arm, role, inference), "
-    "(VALUES (0, 'small', 'student', false), (1, 'big', 'large', false), (2, 'huge', 'large', true)) m(i, model, tier, later), range(2) t(s), (VALUES (0, 'standard'), (1, 'clean')) p(i, split) "
-    "WHERE role = tier AND NOT later AND (arm IN ('A5', 'A7') OR s = 0))"
+    "a AS (SELECT arm, row_number() OVER (ORDER BY arm) - 1 AS i FROM (SELECT DISTINCT 'A' || (c_nationkey % 8 + 1) AS arm FROM customer)), "
+    "m AS (SELECT s_name AS model, s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), "
+    "s AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS i FROM (SELECT DISTINCT l_linenumber - 1 AS seed FROM lineitem)), "
+    "p AS (SELECT split, row_number() OVER (ORDER BY split) - 1 AS i FROM (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 'clean' WHEN 'O' THEN 'standard' ELSE 'dev' END AS split FROM orders)), "
+    "g AS (SELECT ((a.i * (SELECT count(*) FROM m) + m.i) * (SELECT count(*) FROM s) + s.i) * (SELECT count(*) FROM p) + p.i AS ord, arm, model, k, seed, split, arm || '-' || model || '-' || seed || '-' || split AS experiment_id, "
+    "CASE WHEN arm IN ('A5', 'A6') THEN 'M' WHEN arm IN ('A1', 'A3') THEN 'S' ELSE '' END AS priority FROM a, m, s, p "
+    "WHERE (arm IN ('A3', 'A4')) = (k % 3 = 0) AND k % 10 <> 9 AND (arm IN ('A5', 'A6', 'A7', 'A8') OR seed = 0))"
 )
 
 
-@query(f"WITH {_GRID} SELECT CAST(ord AS BIGINT) AS ord, arm, model, CAST(seed AS INT) AS seed, split, CASE WHEN arm = 'A5' THEN 'M' WHEN arm IN ('A1', 'A3') THEN 'S' ELSE '' END AS priority FROM g")
+@query(f"WITH {_GRID} SELECT ord::BIGINT AS ord, arm, model, seed::BIGINT AS seed, split, priority FROM g")
 def grid_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combinations of a plan that fit together."""
-    return _plan(spark).select("ord", "arm", "model", "seed", "split", "priority")
+    return _plan(spark, sf_dir).select("ord", "arm", "model", F.col("seed").cast("long").alias("seed"), "split", "priority")
 
 
-@query(f"WITH {_GRID} SELECT arm || '-' || model || '-' || seed || '-' || split AS experiment_id, CAST(row_number() OVER (ORDER BY CASE WHEN arm = 'A5' THEN 0 WHEN arm IN ('A1', 'A3') THEN 1 ELSE 3 END, seed, ord) - 1 AS INT) AS position FROM g")
+@query(f"WITH {_GRID} SELECT experiment_id, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'M' THEN 0 WHEN 'S' THEN 1 ELSE 3 END, seed, ord) - 1 AS INT) AS position FROM g")
 def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run order of a plan."""
-    return P.run_order(_plan(spark)).select("experiment_id", "position")
+    return P.run_order(_plan(spark, sf_dir), 1000).select("experiment_id", "position")
 
 
 @query(
-    f"WITH {_GRID}, t AS (SELECT count(DISTINCT (arm, model, seed)) AS a FROM g WHERE arm IN ('A5', 'A7')), e AS (SELECT count(*) AS n FROM g) SELECT CAST(a AS BIGINT) AS adapters, n AS evaluations, "
-    "round(a * (1100.0::DOUBLE * 6000 * 2 / 310 / 3600 + 4 * 200 / 0.5::DOUBLE / 3600 + 0.03), 1) AS train, round(n * (1147 / 0.5::DOUBLE / 3600 + 0.03), 1) AS eval, "
-    "round(a * (1100.0::DOUBLE * 6000 * 2 / 310 / 3600 + 4 * 200 / 0.5::DOUBLE / 3600 + 0.03) + n * (1147 / 0.5::DOUBLE / 3600 + 0.03), 1) AS total FROM t, e"
+    f"WITH {_GRID}, t AS (SELECT count(*) AS a, sum(1100.0::DOUBLE * 6000 * 2 / (100.0::DOUBLE + k % 50) / 3600 + 4 * 200 / 0.5::DOUBLE / 3600 + 0.03) AS h FROM (SELECT DISTINCT arm, model, k, seed FROM g WHERE arm IN ('A5', 'A6', 'A7', 'A8'))), "
+    "e AS (SELECT count(*) AS n, sum(1147 / (0.5::DOUBLE * CASE WHEN arm IN ('A2', 'A4') THEN 0.35 ELSE 1 END) / 3600 + 0.03) AS h FROM g) "
+    "SELECT a AS adapters, n AS evaluations, round(t.h, 1) AS train, round(e.h, 1) AS eval, round(t.h + e.h, 1) AS total FROM t, e"
 )
 def plan_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours of a plan; each adapter is trained once."""
     none = F.lit(None).cast("double")
-    fields = {"tokens_per_question": none, "train_examples": F.lit(None).cast("int"), "train_questions": F.lit(None).cast("int"), "epochs": F.lit(2), "train_tokens_per_s": F.lit(310.0), "selection_checks": F.lit(4), "dev_examples": F.lit(200), "answers_per_s": F.lit(0.5), "eval_examples": F.lit(None).cast("int"), "eval_items": F.lit(1147)}
-    return P.estimate(_plan(spark).withColumns(fields)).select("adapters", "evaluations", "train", "eval", "total")
+    fields = {"tokens_per_question": none, "train_examples": F.lit(None).cast("int"), "train_questions": F.lit(None).cast("int"), "epochs": F.lit(2), "selection_checks": F.lit(4), "dev_examples": F.lit(200), "answers_per_s": F.lit(0.5), "eval_examples": F.lit(None).cast("int"), "eval_items": F.lit(1147)}
+    return P.estimate(_plan(spark, sf_dir).withColumns(fields)).select("adapters", "evaluations", "train", "eval", "total")
 
 
-@query(f"WITH {_GRID} SELECT arm || '-' || model || '-' || seed || '-' || split AS experiment_id FROM g WHERE arm IN ('A1', 'A3', 'A5') AND split = 'clean'")
+@query(f"WITH {_GRID} SELECT experiment_id FROM g WHERE priority <> '' AND split = 'clean'")
 def select_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters of a plan; experiments without a priority never pass a priority filter."""
-    return P.select_plan(_plan(spark), "MS", split="clean").select("experiment_id")
+    return P.select_plan(_plan(spark, sf_dir), "MS", split="clean").select("experiment_id")
 
 
-@query(f"WITH {_GRID} SELECT arm || '-' || model || '-' || seed || '-' || split AS experiment_id, seed = 0 AS run, CASE WHEN seed = 1 THEN 'already completed' ELSE 'new' END AS reason FROM g WHERE split = 'standard' UNION ALL SELECT arm || '-' || model || '-' || seed || '-' || split, false, CASE WHEN seed = 1 THEN 'already completed' ELSE 'missing data: clean' END FROM g WHERE split = 'clean'")
+@query(
+    f"WITH {_GRID} SELECT experiment_id, seed <> 1 AND split <> 'clean' AS run, CASE WHEN seed = 1 THEN 'already completed' WHEN split = 'clean' THEN 'missing data: clean' ELSE 'new' END AS reason FROM g"
+)
 def plan_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of a plan runs, and why not: some is done, some lacks its data."""
-    configs = _plan(spark).withColumn("dataset", F.lit("finqa"))
+    configs = _plan(spark, sf_dir).withColumn("dataset", F.lit("finqa"))
     states = configs.where("seed = 1").select("experiment_id", F.lit("completed").alias("status"), F.lit(1).alias("attempts"), F.lit(2).alias("max_attempts"), F.lit(0.0).alias("last_update"))
     decisions = registry.should_run(states, F.lit(100.0)).select("experiment_id", "run", "reason")
-    have = spark.createDataFrame([("finqa", "standard"), ("finqa", "train")], "dataset string, split string")
+    have = spark.createDataFrame([("finqa", "standard"), ("finqa", "dev"), ("finqa", "train")], "dataset string, split string")
     ready = P.preflight(configs, have, F.array(F.col("split"), F.lit("train")))
     return P.decide(configs, decisions, ready).select("experiment_id", "run", "reason")
 
@@ -325,10 +339,10 @@ def roadmap_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roadmap.parallel_phases(roadmap.phases(_roadmap(spark, sf_dir)))
 
 
-@query()
+@query("SELECT conv_id, turn, coalesce(regexp_extract_all(coalesce(text, '') || ' ' || CASE WHEN turn % 2 = 0 THEN turn::VARCHAR ELSE '' END, '-?\\d+(?:\\.\\d+)?')[-1], '0')::DOUBLE AS value, false AS percent_form FROM conversations")
 def predict_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch prediction by the stand-in model (no SQL form: the model is Python)."""
-    prompts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("text"), F.lit(" "), F.col("turn").cast("string")).alias("prompt"))
+    """Batch prediction by the stand-in model, which answers with a prompt's last number, and what its replies say."""
+    prompts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")).otherwise("")).alias("prompt"))
     done = predict.finish(predict.generate(prompts, predict.echo_predictor), "answer")
     return done.select("conv_id", "turn", N.of("pred").value.alias("value"), "percent_form")
 

@@ -104,18 +104,21 @@ def array_elements(f, size: int = 1 << 20) -> Iterator[str]:
             started, text = True, text[1:]
             continue
         if started and text[:1] == "]":
-            if text[1:].strip() or f.read(1):
+            if (text[1:] + decode.decode(f.read(), True)).strip():
                 raise ValueError("text behind the array")
             return
         if started and text:
             body = text[1:].lstrip() if text[0] == "," else text
             try:
                 value, stop = read(body)
-                # A number at the end of the block may go on in the next one.
-                if stop < len(body) or ended:
+                # A number at the end of the block may go on in the next one, so what ends an element has to be seen.
+                rest = body[stop:].lstrip()
+                if rest[:1] in (",", "]"):
                     yield json.dumps(value, ensure_ascii=False)
-                    text = body[stop:]
+                    text = rest
                     continue
+                if rest and rest[0] not in ".eE+-0123456789":
+                    raise ValueError("no comma between elements")
             except json.JSONDecodeError:
                 if ended:
                     raise

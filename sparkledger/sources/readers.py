@@ -5,7 +5,7 @@ Files are read with fixed schemas, so unknown fields drop and missing ones are n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ledger
@@ -192,6 +192,68 @@ def config_row(defaults: dict, given: dict) -> dict:
     return out
 
 
+def config_fields(given: Column, defaults: dict) -> list[Column]:
+    """As config_row, for a column of given fields (map<string,string>): a column for each default, of its type; text where the default is null."""
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string", type(None): "string"}
+
+    def field(name: str, d: object) -> Column:
+        v = F.try_element_at(given, F.lit(name))
+        typed = v.cast("double").cast("int") if type(d) is int else v.cast(kinds[type(d)])
+        return F.coalesce(typed, F.lit(d).cast(kinds[type(d)])).alias(name)
+
+    return [field(k, d) for k, d in defaults.items()]
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of settings files (indented `key: value` lines, as price, speed and model tables are written): path, n (the line), k1, k2, k3 and value.
+
+    An inline map gives an entry for each of its keys. Comments, quotes and empty values are taken off; a key without a value heads those below it."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    bare = F.regexp_extract("line", r"""^((?:[^"'#]|"[^"]*"|'[^']*'|(?<=\S)#)*)""", 1)
+    found = lines.select("path", "n", F.length(F.regexp_extract(bare, r"^( *)", 1)).alias("depth"), F.regexp_extract(bare, r"^ *([^\s:#][^:]*):(?:\s|$)", 1).alias("key"), F.trim(F.regexp_extract(bare, r"^ *[^\s:#][^:]*:(?:\s+(.*))?$", 1)).alias("v")).where("key <> ''")
+    level = F.when(F.col("depth") == 0, 1).when(F.col("depth") <= 2, 2).otherwise(3)
+    above = Window.partitionBy("path").orderBy("n")
+    heads = found.withColumn("level", level)
+    k1 = F.last(F.when(F.col("level") == 1, F.col("key")), True).over(above)
+    k2 = F.last(F.when(F.col("level") == 2, F.col("key")), True).over(above)
+    named = heads.select("path", "n", "level", "key", "v", k1.alias("k1"), F.when(F.col("level") >= 2, k2).alias("k2"))
+    inline = F.regexp_extract("v", r"^\{(.*)\}$", 1)
+    pairs = F.transform(F.split(inline, ","), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring_index(x, ":", -1)).alias("v")))
+    own = F.array(F.struct(F.when(F.col("level") == 3, F.col("key")).alias("k"), F.col("v").alias("v")))
+    flat = named.select("path", "n", "k1", "k2", F.explode(F.when(inline != "", pairs).otherwise(own)).alias("e"))
+    value = F.regexp_replace("e.v", "^[\"'](.*)[\"']$", "$1")
+    return flat.select("path", "n", "k1", "k2", F.col("e.k").alias("k3"), F.when(~value.isin("", "null", "~", "{}"), value).alias("value"))
+
+
+def load_prices(spark: SparkSession, path: str) -> DataFrame:
+    """gpu_key, usd_per_gpu_hour (null: not priced) and ord of a price list; none if there is no such file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "gpu_key string, usd_per_gpu_hour double, ord int")
+    rows = settings(spark, path).where("k1 = 'gpus' and k2 is not null")
+    return rows.groupBy(F.col("k2").alias("gpu_key")).agg(F.max(F.when(F.col("k3") == "usd_per_gpu_hour", F.col("value").cast("double"))).alias("usd_per_gpu_hour"), F.min("n").alias("ord"))
+
+
+def load_speeds(spark: SparkSession, path: str, table: str = "answers_per_s") -> DataFrame:
+    """Model and its speeds by style (map<string,double>; the key is '' where there is one speed) of a table of speeds."""
+    rows = settings(spark, path).where((F.col("k1") == table) & F.col("k2").isNotNull() & F.col("value").isNotNull())
+    return rows.groupBy(F.col("k2").alias("model")).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("k3", F.lit("")), F.col("value").cast("double")))).alias("speeds"))
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """Model and its fields (map<string,string>) of a model table."""
+    rows = settings(spark, path).where("k1 = 'models' and k3 is not null")
+    return rows.groupBy(F.col("k2").alias("model")).agg(F.map_from_entries(F.collect_list(F.struct("k3", "value"))).alias("fields"))
+
+
+def with_model(rows: DataFrame, models: DataFrame, model: str = "model") -> DataFrame:
+    """Rows with the fields of their model; a model that isn't in the table is an error that names those that are. A model table is short, so it is one broadcast row."""
+    known = models.agg(F.map_from_entries(F.collect_list(F.struct("model", "fields"))).alias("_models"))
+    names = F.array_join(F.array_sort(F.map_keys("_models")), ", ")
+    missing = F.raise_error(F.concat(F.lit("unknown model '"), F.coalesce(F.col(model), F.lit("")), F.lit("'; known: "), names))
+    found = F.try_element_at("_models", F.col(model))
+    return rows.crossJoin(F.broadcast(known)).withColumn("fields", F.when(found.isNull(), missing).otherwise(found)).drop("_models")
+
+
 def manifest_update(old: DataFrame, new: DataFrame) -> DataFrame:
     """The previous manifest's rows (dataset, split, ...), replaced for the data sets that were built now."""
     return old.join(new.select("dataset").distinct(), "dataset", "left_anti").unionByName(new)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from . import ledger
 
 ROWS_SHOWN = 1000
@@ -49,27 +50,72 @@ def write_csv(df: DataFrame, path: str) -> None:
     ordered_columns(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def _cell(x: object) -> str:
-    return "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+def _cells(df: DataFrame, heads: list[str]) -> list[Column]:
+    """Values as people read them: numbers with fractions to three decimals, nothing for null; a value with _lo and _hi columns is shown with its interval."""
+    kinds = dict(df.dtypes)
+    shown = lambda c: F.coalesce(N.fixed(F.col(f"`{c}`"), 3) if kinds[c] in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit(""))
 
+    def value(c: str) -> Column:
+        lo, hi = f"{c}_lo", f"{c}_hi"
+        if lo not in kinds or hi not in kinds:
+            return shown(c)
+        known = F.col(f"`{lo}`").isNotNull() & F.col(f"`{hi}`").isNotNull()
+        return F.concat(shown(c), F.when(known, F.concat(F.lit(" ["), shown(lo), F.lit(", "), shown(hi), F.lit("]"))).otherwise(""))
+
+    return [value(c) for c in heads]
+
+
+def _numbered(df: DataFrame, by: list[str], order: list[Column | str], limit: int) -> DataFrame:
+    """The first `limit` rows of each group, by place; without groups and order, the first rows as they are."""
+    if order:
+        return df.withColumn("_at", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))).where(F.col("_at") <= limit)
+    return df.limit(limit).withColumn("_at", F.monotonically_increasing_id())
+
+
+def _text(rows: DataFrame, by: list[str], line: Column, first: str, last: str, between: str) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_at", line.alias("x")))), lambda r: r["x"])
+    return rows.groupBy(*by).agg(F.concat(F.lit(first), F.array_join(lines, between), F.lit(last)).alias("text"))
+
+
+def markdown_tables(df: DataFrame, by: list[str] = (), order: list[Column | str] = (), limit: int = ROWS_SHOWN) -> DataFrame:
+    """By, text: a Markdown table of each group's first `limit` rows (what people are shown); pipes become slashes."""
+    by, plain = list(by), lambda x: F.translate(x, "|", "/")
+    heads = [c for c in df.columns if not c.endswith(("_lo", "_hi")) and c not in by]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(plain(c) for c in _cells(df, heads))), F.lit(" |"))
+    top = "| " + " | ".join(h.replace("|", "/") for h in heads) + " |\n|" + "---|" * len(heads)
+    made = _text(_numbered(df, by, list(order), limit), by, F.concat(F.lit("\n"), line), top, "", "")
+    return made
 
-def markdown_table(df: DataFrame, limit: int = ROWS_SHOWN) -> str:
-    """At most `limit` rows as Markdown; pipes become slashes, and a value with _lo and _hi columns is shown with its interval."""
-    rows = [r.asDict() for r in df.limit(limit).collect()]
-    heads = [c for c in df.columns if not c.endswith(("_lo", "_hi"))]
 
-    def value(r: dict, c: str) -> str:
-        lo, hi = r.get(f"{c}_lo"), r.get(f"{c}_hi")
-        return _cell(r[c]) + (f" [{_cell(lo)}, {_cell(hi)}]" if lo is not None and hi is not None else "")
+def html_tables(df: DataFrame, by: list[str] = (), order: list[Column | str] = (), limit: int = ROWS_SHOWN) -> DataFrame:
+    """By, text: an HTML table of each group's first `limit` rows, escaped."""
+    by = list(by)
+    heads = [c for c in df.columns if c not in by]
 
-    line = lambda xs: "| " + " | ".join(x.replace("|", "/") for x in xs) + " |"
-    return "\n".join([line(heads), "|" + "---|" * len(heads), *(line([value(r, c) for c in heads]) for r in rows)])
+    def escaped(x: Column) -> Column:
+        for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            x = F.replace(x, F.lit(c), F.lit(e))
+        return F.concat(F.lit("<td>"), x, F.lit("</td>"))
+
+    kinds = dict(df.dtypes)
+    cells = [F.coalesce(N.fixed(F.col(f"`{c}`"), 3) if kinds[c] in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("")) for c in heads]
+    top = "<table><tr>" + "".join(f"<th>{html.escape(h)}</th>" for h in heads) + "</tr>"
+    return _text(_numbered(df, by, list(order), limit), by, F.concat(F.lit("<tr>"), *(escaped(c) for c in cells), F.lit("</tr>")), top, "</table>", "")
+
+
+def markdown_table(df: DataFrame, limit: int = ROWS_SHOWN) -> str:
+    """At most `limit` rows as Markdown, for a page that the driver writes."""
+    return markdown_tables(df, limit=limit).first().text
 
 
 def html_table(df: DataFrame, limit: int = ROWS_SHOWN) -> str:
-    """At most `limit` rows as escaped HTML."""
-    row = lambda xs, tag: "<tr>" + "".join(f"<{tag}>{html.escape(_cell(x))}</{tag}>" for x in xs) + "</tr>"
-    return "<table>" + row(df.columns, "th") + "".join(row(r, "td") for r in df.limit(limit).collect()) + "</table>"
+    """At most `limit` rows as HTML, for a page that the driver writes."""
+    return html_tables(df, limit=limit).first().text
+
+
+def write_md(tables: DataFrame, folder: str, *by: str) -> None:
+    """K6: texts of tables as files, in a folder for each group."""
+    (tables.write.partitionBy(*by) if by else tables.coalesce(1).write).mode("overwrite").option("lineSep", "\n").text(folder)
 
 
 def report(title: str, sections: dict[str, DataFrame]) -> tuple[str, str]:
@@ -80,11 +126,15 @@ def report(title: str, sections: dict[str, DataFrame]) -> tuple[str, str]:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{page}</body></html>", f"# {title}\n\n{text}\n"
 
 
+def manifest_rows(items: DataFrame) -> DataFrame:
+    """Dataset, split, n, n_verified: what a manifest counts."""
+    return items.groupBy("dataset", "split").agg(F.count("*").alias("n"), F.count("gold_program").alias("n_verified"))
+
+
 def manifest(items: DataFrame, version: str, commit: str) -> str:
-    """Counts per data set and split, as JSON."""
-    counts = items.groupBy("dataset", "split").agg(F.count("*").alias("n"), F.count("gold_program").alias("n_verified")).orderBy("dataset", "split").collect()
+    """Counts per data set and split, as JSON; data sets and their splits are a handful."""
     splits: dict = {}
-    for r in counts:
+    for r in manifest_rows(items).orderBy("dataset", "split").collect():
         splits.setdefault(r.dataset, {})[r.split] = {"n": r.n, "n_verified": r.n_verified}
     return json.dumps({"preprocess_version": version, "code_commit": commit, "datasets": splits}, indent=2, sort_keys=True)
 

@@ -130,3 +130,36 @@ def test_arrays_are_read_in_blocks():
     for bad in (b"{}", b"[1, 2", b"[1] 2", b"[1, x]", b""):
         with pytest.raises(ValueError):
             list(archives.array_elements(io.BytesIO(bad), 2))
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "pricing.yaml").write_text('# prices: none\ngpus:\n  T4:\n    usd_per_gpu_hour: null\n    source: ""   # later\n  A100:\n    usd_per_gpu_hour: 1.5\n    source: "a: b"\n')
+    (tmp_path / "speeds.yaml").write_text("train_tokens_per_s:   # x\n  q-3b: 310   # measured\nanswers_per_s:\n  q-3b:   {answer: 1.0,  pot: 0.4}    # y\n  l.1: {answer: 0.38}\nload_hours: 0.03\n")
+    (tmp_path / "models.yaml").write_text('models:\n  q-3b:\n    size_b: 3.0\n    tier: student\n\n  l.1:\n    cutoff: "2024-09-19"    # release\n    tier: large\n')
+    at = f"file://{tmp_path}"
+    assert [(r.gpu_key, r.usd_per_gpu_hour) for r in readers.load_prices(spark, f"{at}/pricing.yaml").orderBy("ord").collect()] == [("T4", None), ("A100", 1.5)]
+    assert readers.load_prices(spark, f"{at}/none.yaml").count() == 0
+    assert {r.model: r.speeds for r in readers.load_speeds(spark, f"{at}/speeds.yaml").collect()} == {"q-3b": {"answer": 1.0, "pot": 0.4}, "l.1": {"answer": 0.38}}
+    assert {r.model: r.speeds for r in readers.load_speeds(spark, f"{at}/speeds.yaml", "train_tokens_per_s").collect()} == {"q-3b": {"": 310.0}}
+    models = readers.load_models(spark, f"{at}/models.yaml")
+    assert {r.model: r.fields for r in models.collect()} == {"q-3b": {"size_b": "3.0", "tier": "student"}, "l.1": {"cutoff": "2024-09-19", "tier": "large"}}
+    rows = spark.createDataFrame([("q-3b",), ("other",)], "model string")
+    assert readers.with_model(rows.limit(1), models).first().fields["tier"] == "student"
+    with pytest.raises(Exception, match="unknown model 'other'; known: l.1, q-3b"):
+        readers.with_model(rows, models).collect()
+
+
+def test_config_fields_as_config_row(spark):
+    defaults = {"epochs": 1, "rate": 0.1, "flag": True, "teacher": None}
+    given = {"epochs": "3", "rate": "2e-4", "teacher": "7", "odd": "1"}
+    df = spark.createDataFrame([(given,), ({},)], "g map<string,string>")
+    a, b = (r.asDict() for r in df.select(*readers.config_fields(F.col("g"), defaults)).collect())
+    assert a == readers.config_row(defaults, given) and b == defaults
+
+
+def test_rendered_by_group(spark):
+    df = spark.createDataFrame([("a", 2, "x|<y>"), ("a", 1, None), ("b", 3, "z")], "g string, n int, t string")
+    got = {r.g: r.text for r in sinks.markdown_tables(df, ["g"], ["n"], 1).collect()}
+    assert got == {"a": "| n | t |\n|---|---|\n| 1 |  |", "b": "| n | t |\n|---|---|\n| 3 | z |"}
+    assert sinks.html_tables(df.where("n = 2"), ["g"], ["n"]).first().text == "<table><tr><th>n</th><th>t</th></tr><tr><td>2</td><td>x|&lt;y&gt;</td></tr></table>"
+    assert sinks.markdown_table(df.limit(0)) == "| g | n | t |\n|---|---|---|"
