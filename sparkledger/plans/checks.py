@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..operators import agreement, overlap
-from .base import spread, table
+from ..operators import rates as R
+from ..sources import raw
+from .base import NEAR, STRICT, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,3 +69,50 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + k).alias("at"), F.when(k < 6, F.floor(F.col("l_quantity") / 10) + F.lit(0.0004) * (k % 3)).alias("num"), F.when(k == 6, " Yes").alias("text"))
     return agreement.vote(rows, ["l_suppkey"], "at", "num", "text")
+
+
+_MATCH = f"({STRICT.format(p='pred', g='gold')} OR {NEAR.format(p='pred', g='gold')})"
+
+
+@query(
+    "WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_returnflag AS arm, l_orderkey AS k, l_linenumber AS i, l_quantity AS gold, l_quantity * CASE l_linenumber % 3 WHEN 0 THEN 1.004::DOUBLE WHEN 1 THEN 1 ELSE 1.5::DOUBLE END AS pred FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey), "
+    "v AS (SELECT *, CASE WHEN i = 3 THEN NULL WHEN i % 2 = 0 THEN pred * 1.0005::DOUBLE ELSE pred * 1.2::DOUBLE END AS x, gold <= 20 OR k % 2 = 0 AND abs(gold - 20) <= 1e-3::DOUBLE * 20 AS grounded FROM l), "
+    f"f AS (SELECT *, {_MATCH} AS correct, x IS NOT NULL AND {STRICT.format(p='x', g='pred')} AS fits FROM v) "
+    "SELECT arm, count(*) AS n, count(*) FILTER (WHERE correct) AS correct, round(avg(fits::INT) FILTER (WHERE correct), 6) AS faithful, round(avg((fits AND grounded)::INT) FILTER (WHERE correct), 6) AS grounded FROM f GROUP BY 1"
+)
+def faithful_and_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, A6, §2.13: items from predictions, gold answers and the grounding of their programs; faithfulness with and without it. Cells up to 20 are in the table."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_returnflag", "l_quantity"), F.struct("l_partkey", "l_suppkey")).alias("r"))
+    q, i = F.col("r.l_quantity"), F.col("l_linenumber")
+    pred = q * F.when(i % 3 == 0, 1.004).when(i % 3 == 1, 1.0).otherwise(1.5)
+    value = F.when(i != 3, F.when(i % 2 == 0, pred * 1.0005).otherwise(pred * 1.2))
+    uid = F.concat_ws("/", F.col("l_orderkey").cast("string"), i.cast("string")).alias("uid")
+    base = rows.select(uid, F.col("r.l_returnflag").alias("arm"), q.alias("q"), pred.alias("p"), value.alias("x"), "l_orderkey")
+    predictions = base.select("uid", N.number(F.col("p")).struct().alias("pred"), N.number(F.col("x")).struct().alias("exec_value"), F.lit(False).alias("percent_form"))
+    program = F.concat(F.lit("answer = "), F.col("q").cast("string"), F.lit(" * 100 / 100"))
+    grounding = agreement.grounded(base.select("uid", program.alias("program")), base.select("uid", F.when(F.col("q") <= 20, F.col("q")).alias("cell")), "uid", "program", "cell")
+    items = R.faith_items(predictions, base.select("uid", N.number(F.col("q")).struct().alias("gold")), grounding).join(base.select("uid", "arm"), "uid")
+    known = lambda g: F.round(R.program_faithfulness(F.col("correct"), N.of("exec_value"), N.of("pred"), g), 6)
+    return items.groupBy("arm").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"), known(None).alias("faithful"), known(F.col("grounded")).alias("grounded"))
+
+
+@query(
+    "SELECT l_suppkey::VARCHAR AS doc, count(*) AS questions, sum(l_linenumber)::DOUBLE AS total, count(DISTINCT l_orderkey * 8 + l_linenumber)::BIGINT AS ids, string_agg(l_linenumber::VARCHAR, '' ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS in_order FROM lineitem GROUP BY 1"
+)
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with many questions become a record a question, each with its place in the document."""
+    from pyspark.sql import Window
+
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).alias("place"))
+    uid = F.concat_ws("/", F.col("place").cast("string"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"))
+    q = F.struct(
+        uid.alias("uid"), F.col("place").alias("order"), F.lit("?").alias("question"), F.parse_json(F.concat(F.lit('"'), F.col("l_linenumber").cast("string"), F.lit('"'))).alias("answer"), F.lit("").alias("derivation"), F.lit("count").alias("answer_type"), F.lit("text").alias("answer_from"),
+        F.lit("").alias("scale"), F.lit(False).alias("req_comparison"),
+    )
+    documents = lines.groupBy("l_suppkey").agg(F.shuffle(F.collect_list(q)).alias("questions")).select(
+        F.struct(F.col("l_suppkey").cast("string").alias("uid"), F.array(F.array(F.lit("a"), F.lit("1"))).alias("table")).alias("table"), F.array(F.struct(F.lit("p").alias("uid"), F.lit(1).alias("order"), F.lit("t").alias("text"))).alias("paragraphs"), "questions"
+    )
+    made = raw.tatqa(documents)
+    part = F.split("uid", "/")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part[0].cast("int").alias("i"), F.col("answer.num").cast("int").alias("x")))), lambda r: r["x"].cast("string")), "")
+    return made.groupBy(F.col("extra.table_uid").alias("doc")).agg(F.count("*").alias("questions"), F.sum("answer.num").alias("total"), F.countDistinct(part[1]).alias("ids"), said.alias("in_order"))

@@ -13,6 +13,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the folder that all executors share, spark.checkpoint.dir; where that is unset, as in tests on one machine, it is set to a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ledger-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
