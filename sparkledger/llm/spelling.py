@@ -28,8 +28,8 @@ from . import common as C
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LENGTH, LEAST_COUNT, FACTOR, DAMAGE = 6, 5, 5, 199
-#: Words of a cell at most; larger ones are cut.
-CELL = 4000
+#: Words of a cell at most; larger ones are cut. Words whose cells make a task.
+CELL, TASK = 4000, 10_000
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", damage: int | None = DAMAGE) -> DataFrame:
@@ -115,7 +115,9 @@ def pairs(found: DataFrame, cell: int = CELL) -> DataFrame:
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["a", "n_a", "b", "n_b"])
 
-    dealt = cells(found, cell).repartition("cell").sortWithinPartitions("cell").select("cell", "m", "w", "n", "side")
+    # Merging costs much more time than its input has bytes, so tasks are sized by words; a given number isn't coalesced by size.
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK))
+    dealt = cells(found, cell).repartition(tasks, "cell").sortWithinPartitions("cell").select("cell", "m", "w", "n", "side")
     return dealt.mapInArrow(merge, "a string, n_a long, b string, n_b long")
 
 
