@@ -62,7 +62,7 @@ def length_batches(examples: DataFrame, length: Column, size: int, *order: str)
     counts = rows.groupBy("_len").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_len").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))  # distinct lengths only
     rank = F.row_number().over(Window.partitionBy("_len").orderBy(*order)) - 1
-    return rows.join(F.broadcast(before), "_len").withColumn("batch", F.floor((F.col("_before") + rank) / size).cast("long")).drop("_len", "_c", "_before")
+    return rows.join(before, "_len").withColumn("batch", F.floor((F.col("_before") + rank) / size).cast("long")).drop("_len", "_c", "_before")
 
 
 def training_records(examples: DataFrame, tokens: Column, limit: int, supervision: str) -> DataFrame:

@@ -61,3 +61,8 @@ def status_counts(states: DataFrame) -> DataFrame:
 def failed(states: DataFrame) -> DataFrame:
     """P5."""
     return states.where(F.col("status").isin("failed", "permanently_failed"))
+
+
+def latest_first(states: DataFrame, n: int) -> DataFrame:
+    """The n states that changed last, the newest first; ties by run."""
+    return states.orderBy(F.desc_nulls_last("last_update"), "exp_id").limit(n)

@@ -265,6 +265,12 @@ def should_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.should_run(states, F.lit(4e9)).select("exp_id", "run")
 
 
+@query(f"WITH RECURSIVE {_FOLD} SELECT s.exp_id, status, last FROM s JOIN (SELECT user_id, epoch_us(max(ts)) AS last FROM events GROUP BY 1) ON s.exp_id = user_id ORDER BY last DESC, s.exp_id LIMIT 50")
+def recent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty states that changed last."""
+    return registry.latest_first(registry.fold(_events(spark, sf_dir)), 50).select("exp_id", "status", F.col("last_update").alias("last"))
+
+
 @query(f"WITH RECURSIVE {_FOLD} SELECT status, count(*) AS n FROM s GROUP BY 1")
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A25, S21."""

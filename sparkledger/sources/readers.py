@@ -126,7 +126,7 @@ def _newest(found: DataFrame) -> DataFrame:
 
 
 def load_states(spark: SparkSession, runs: str) -> DataFrame:
-    """The state of every run: the last one that the ledger committed, or else a plain status file; damaged ones are left out."""
+    """The state of every run, by run: the last one that the ledger committed, or else a plain status file; damaged ones are left out."""
     damaged = "_damaged string"
     read = lambda path, more: spark.read.schema(f"{STATE}, {more}{damaged}").option("multiLine", True).option("columnNameOfCorruptRecord", "_damaged").json(path)
     found = []
@@ -137,7 +137,7 @@ def load_states(spark: SparkSession, runs: str) -> DataFrame:
     if not found:
         return spark.createDataFrame([], STATE)
     both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return _newest(both.where("_damaged is null").drop("_damaged"))
+    return _newest(both.where("_damaged is null").drop("_damaged")).orderBy("exp_id")
 
 
 def load_predictions(spark: SparkSession, runs: str) -> DataFrame:
