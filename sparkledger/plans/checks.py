@@ -57,7 +57,7 @@ def program_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS pos, CASE WHEN l_linenumber < 6 THEN floor(l_quantity / 10) + 0.0004::DOUBLE * (l_linenumber % 3) END AS num, CASE l_linenumber WHEN 6 THEN 'yes' END AS text FROM lineitem), "
+    "WITH s AS (SELECT l_suppkey, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 64 + l_quantity::BIGINT AS pos, CASE WHEN l_linenumber < 6 THEN floor(l_quantity / 10) + 0.0004::DOUBLE * (l_linenumber % 3) END AS num, CASE l_linenumber WHEN 6 THEN 'yes' END AS text FROM lineitem), "
     "k AS (SELECT *, CASE WHEN num - lag(num) OVER w <= 1e-3::DOUBLE * greatest(abs(lag(num) OVER w), 1) OR num IS NULL AND text = lag(text) OVER w THEN 0 ELSE 1 END AS fresh FROM s WHERE num IS NOT NULL OR text IS NOT NULL "
     "WINDOW w AS (PARTITION BY l_suppkey ORDER BY num NULLS LAST, text NULLS LAST, pos)), "
     "g AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY num NULLS LAST, text NULLS LAST, pos ROWS UNBOUNDED PRECEDING) AS grp FROM k), "
@@ -67,7 +67,7 @@ def program_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.13: the answer that most samples of a question agree on within the tolerance; numbers, words and missing answers."""
     k = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + k).alias("at"), F.when(k < 6, F.floor(F.col("l_quantity") / 10) + F.lit(0.0004) * (k % 3)).alias("num"), F.when(k == 6, " Yes").alias("text"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (((F.col("l_orderkey") * 8 + k) * 100_000 + F.col("l_partkey")) * 64 + F.col("l_quantity").cast("long")).alias("at"), F.when(k < 6, F.floor(F.col("l_quantity") / 10) + F.lit(0.0004) * (k % 3)).alias("num"), F.when(k == 6, " Yes").alias("text"))
     return agreement.vote(rows, ["l_suppkey"], "at", "num", "text")
 
 
@@ -75,14 +75,14 @@ _MATCH = f"({STRICT.format(p='pred', g='gold')} OR {NEAR.format(p='pred', g='gol
 
 
 @query(
-    "WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_returnflag AS arm, l_orderkey AS k, l_linenumber AS i, l_quantity AS gold, l_quantity * CASE l_linenumber % 3 WHEN 0 THEN 1.004::DOUBLE WHEN 1 THEN 1 ELSE 1.5::DOUBLE END AS pred FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey), "
-    "v AS (SELECT *, CASE WHEN i = 3 THEN NULL WHEN i % 2 = 0 THEN pred * 1.0005::DOUBLE ELSE pred * 1.2::DOUBLE END AS x, gold <= 20 OR k % 2 = 0 AND abs(gold - 20) <= 1e-3::DOUBLE * 20 AS grounded FROM l), "
+    "WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_returnflag AS arm, l_orderkey AS k, l_linenumber AS i, l_quantity AS gold, l_quantity * CASE l_linenumber % 3 WHEN 0 THEN 1.004::DOUBLE WHEN 1 THEN 1 ELSE 1.5::DOUBLE END AS pred FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag), "
+    "v AS (SELECT *, CASE WHEN i = 3 THEN NULL WHEN i % 2 = 0 THEN pred * 1.0005::DOUBLE ELSE pred * 1.2::DOUBLE END AS x, gold <= 20 AS grounded FROM l), "
     f"f AS (SELECT *, {_MATCH} AS correct, x IS NOT NULL AND {STRICT.format(p='x', g='pred')} AS fits FROM v) "
     "SELECT arm, count(*) AS n, count(*) FILTER (WHERE correct) AS correct, round(avg(fits::INT) FILTER (WHERE correct), 6) AS faithful, round(avg((fits AND grounded)::INT) FILTER (WHERE correct), 6) AS grounded FROM f GROUP BY 1"
 )
 def faithful_and_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2, A6, §2.13: items from predictions, gold answers and the grounding of their programs; faithfulness with and without it. Cells up to 20 are in the table."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_returnflag", "l_quantity"), F.struct("l_partkey", "l_suppkey")).alias("r"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_returnflag", "l_quantity"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")).alias("r"))
     q, i = F.col("r.l_quantity"), F.col("l_linenumber")
     pred = q * F.when(i % 3 == 0, 1.004).when(i % 3 == 1, 1.0).otherwise(1.5)
     value = F.when(i != 3, F.when(i % 2 == 0, pred * 1.0005).otherwise(pred * 1.2))

@@ -116,14 +116,14 @@ def run_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH last AS (SELECT l_returnflag || l_linestatus AS exp_id, l_orderkey, arg_max(l_quantity, (l_shipdate, l_linenumber, l_partkey)) AS q FROM lineitem GROUP BY ALL) "
+    "WITH last AS (SELECT l_returnflag || l_linestatus AS exp_id, l_orderkey, arg_max(l_quantity, (l_shipdate, l_linenumber, l_partkey, l_quantity)) AS q FROM lineitem GROUP BY ALL) "
     "SELECT exp_id, count(*) AS n, count(*) FILTER (WHERE q > 25) AS correct FROM last GROUP BY 1"
 )
 def predictions_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of predictions per run, read back with the run from the folder; the last answer to a question counts, by the lines that were stored."""
     runs = _folder(spark)
-    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("exp_id"), F.col("l_orderkey").cast("string").alias("uid"), (F.col("l_quantity") > 25).alias("correct"), "l_shipdate", "l_linenumber", "l_partkey")
-    sinks.write_predictions(rows, runs, "l_shipdate", "l_linenumber", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("exp_id"), F.col("l_orderkey").cast("string").alias("uid"), (F.col("l_quantity") > 25).alias("correct"), "l_shipdate", "l_linenumber", "l_partkey", "l_quantity")
+    sinks.write_predictions(rows, runs, "l_shipdate", "l_linenumber", "l_partkey", "l_quantity")
     return readers.item_correctness(readers.load_predictions(spark, runs)).groupBy("exp_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
 
 
