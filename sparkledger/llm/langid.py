@@ -2,8 +2,12 @@
 
 Subwords are the byte n-grams (2 to 4) of a text's letters, with everything else as one space. An n-gram is a hashed row of an embedding table;
 a text is their mean; a linear layer and softmax give probabilities. The model is trained by stochastic gradient descent in numpy, on
-the driver, from about `sample` (never over twice as many) labelled rows, of each a window of at most `window` characters at a hashed place. A fifth of them is kept back
-to fit the temperature and the rejection threshold. Prediction reads every whole text, with one table of class scores per n-gram.
+the driver, from the whole texts of about `sample` (never over twice as many) labelled rows. Tasks count a text's n-grams per bucket, so the driver takes at most
+8 bytes for each of a row's buckets, whatever the text's length. A fifth of the rows is kept back
+to fit the temperature and the rejection threshold. N-grams of a language that isn't learned fall into buckets like thrown dice, so one more class is
+learned from thrown buckets, as many examples as a language has on average: `unknown`, which takes probability and is never predicted. A text is rejected
+if its language's probability lies below the threshold: the least one that keeps the precision wanted over the rows kept back, examples of `unknown`
+among them as wrong, and at most 0.5, so that a language with most of the probability always stays. Prediction reads every whole text, with one table of class scores per n-gram.
 
 Null texts and texts without a letter are `und` with score 0, and rejected. With no labelled row, everything is. Rows with a null
 label are predicted, not learned from. Repeated rows get equal results; an empty table gives no rows; extra columns are kept by `add_language`.
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, WINDOW, BUCKETS, DIMENSIONS, EPOCHS, RATE, PRECISION = 4000, 1500, 1 << 16, 16, 15, 5.0, 0.99
+SAMPLE, BUCKETS, DIMENSIONS, EPOCHS, RATE, PRECISION = 4000, 1 << 16, 16, 15, 5.0, 0.99
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -58,14 +62,14 @@ def _ngrams(data: np.ndarray, off: np.ndarray, buckets: int) -> Iterator[tuple[n
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # class scores of each bucket
+    table: np.ndarray  # scores of each bucket for the languages and, last, for unknown
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
-        total, count = np.zeros((n, len(self.languages))), np.zeros(n)
+        total, count = np.zeros((n, len(self.bias))), np.zeros(n)
         for bucket, at in _ngrams(data, off, len(self.table)):
             size = np.diff(at)
             some = np.flatnonzero(size)
@@ -75,7 +79,8 @@ class Model:
         return total / np.maximum(count, 1)[:, None] + self.bias
 
     def probabilities(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return _softmax(self.logits(data, off) / self.temperature)
+        """Of each language; what is left to 1 is unknown's."""
+        return _softmax(self.logits(data, off) / self.temperature)[:, :-1]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -83,24 +88,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, precision: float = PRECISION, seed: int = 7) -> Model | None:
-    """Fits the model; None without a labelled text that has a letter."""
-    pairs = [(t, y) for t, y in zip(texts, labels) if has_letter(t)]
+def bucket_counts(data: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and how many fall in each."""
+    total = np.zeros(buckets, np.int64)
+    for bucket, _ in _ngrams(data, np.array([0, len(data)]), buckets):
+        total += np.bincount(bucket, minlength=buckets)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.int32)
+
+
+def _thrown(weights: np.ndarray, buckets: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """An example of unknown: thrown buckets with a text's weights, or with some of them only, as few letters make few n-grams."""
+    some = rng.permutation(weights)[: max(1, int(len(weights) ** rng.uniform(0.3, 1)))]
+    return rng.choice(buckets, len(some), replace=False), some / some.sum()
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, precision: float = PRECISION, seed: int = 7) -> Model | None:
+    """Fits the model to texts' bucket counts; None without a text that has n-grams."""
+    pairs = [(c, y) for c, y in zip(counts, labels) if len(c[0])]
     if not pairs:
         return None
-    texts, labels = zip(*pairs)
+    features, labels = [(ids, (n / n.sum()).astype(np.float32)) for (ids, n), _ in pairs], [y for _, y in pairs]
     names = tuple(sorted(set(labels)))
-    y = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    features = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        got = np.concatenate([b for b, _ in _ngrams(raw, np.array([0, len(raw)]), buckets)])
-        ids, n = np.unique(got, return_counts=True)
-        features.append((ids, (n / max(1, n.sum())).astype(np.float32)))
-    held = rng.permutation(len(texts)) % 5 == 0 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    unknown = -(-len(labels) // len(names))
+    features += [_thrown(features[i][1], buckets, rng) for i in rng.integers(0, len(labels), unknown)]
+    y = np.array([names.index(x) for x in labels] + [len(names)] * unknown)
+    held = rng.permutation(len(y)) % 5 == 0 if len(labels) >= 50 else np.zeros(len(y), bool)
     embed = (rng.random((buckets, dimensions), np.float32) - 0.5) / dimensions
-    weight, bias = np.zeros((dimensions, len(names)), np.float32), np.zeros(len(names), np.float32)
+    weight, bias = np.zeros((dimensions, len(names) + 1), np.float32), np.zeros(len(names) + 1, np.float32)
     todo = np.flatnonzero(~held)
     for epoch in range(epochs):
         rate = np.float32(RATE * (1 - epoch / epochs))
@@ -117,11 +133,11 @@ def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dimension
             embed[ids] -= rate * w[:, None] * g
     table = embed @ weight
     logits = np.stack([w @ table[ids] + bias for ids, w in features])
-    judge = held if held.any() else np.ones(len(texts), bool)
+    judge = held if held.any() else np.ones(len(y), bool)
     grid = np.geomspace(0.1, 10, 41)
     loss = [-np.log(np.maximum(_softmax(logits[judge] / t)[np.arange(judge.sum()), y[judge]], 1e-12)).mean() for t in grid]
     heat = float(grid[int(np.argmin(loss))])
-    p = _softmax(logits[judge] / heat)
+    p = _softmax(logits[judge] / heat)[:, :-1]
     score, right = p.max(1), p.argmax(1) == y[judge]
     order = np.argsort(-score, kind="stable")
     good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision
@@ -138,16 +154,35 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, window: int = WINDOW) -> Model | None:
-    """Trains on about `sample` rows with a label and an id that isn't held out: those whose hashes of id and text lie below the share of rows that is wanted.
+def _count(text_col: str, label: str, buckets: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in C.pieces(batch, text_col):
+                labels = part.column(part.schema.get_field_index(label))
+                for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                    if has_letter(data[a:b].tobytes().decode()):
+                        ids, n = bucket_counts(data[a:b], buckets)
+                        yield pa.RecordBatch.from_arrays([labels.slice(i, 1), pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["label", "ids", "n"])
+
+    return count
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, buckets: int = BUCKETS) -> Model | None:
+    """Trains on the whole texts of about `sample` rows with a label and an id that isn't held out: those whose hashes of id and text lie below the share of rows that is wanted.
 
     So tasks send the driver only what it takes. Repeated rows count once."""
-    can = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(id_col, text, label)
+    can = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
     n = can.count()
-    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.greatest(F.length(text) - window, F.lit(1))) + 1
-    some = can.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1_000_000_007)) < int(1_000_000_007 * min(1.0, sample / max(1, n)) + 1))
-    rows = some.select(F.substring(F.col(text), spot.cast("int"), F.lit(window)).alias("t"), F.col(label).alias("l")).distinct().orderBy(F.xxhash64("t"), "t", "l").limit(2 * sample).collect()
-    return train([r.t for r in rows], [r.l for r in rows])
+    share = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1_000_000_007)) < int(1_000_000_007 * min(1.0, sample / max(1, n)) + 1)
+    rows = can.where(share).select(F.col(text).alias("t"), F.col(label).cast("string").alias("l")).distinct()
+    some = C.stored(rows.select("t", "l", F.xxhash64("t", "l").alias("h")), "training")
+    C.small_batches(docs.sparkSession)
+    least = [r.h for r in some.select("h").orderBy("h").limit(2 * sample).collect()]
+    if not least:
+        return None
+    counted = some.where(F.col("h") <= least[-1]).orderBy("h", "t", "l").select("t", "l").mapInArrow(_count("t", "l", buckets), "label string, ids binary, n binary").collect()
+    C.discard(some)
+    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32)) for r in counted], [r.label for r in counted], buckets)
 
 
 def _predict(model, text_col: str):

@@ -54,3 +54,24 @@ def test_labels_are_no_inputs(docs):
     one = {r.doc_id: (r._lang, r._score) for r in langid.add_language(docs, model).collect()}
     other = {r.doc_id: (r._lang, r._score) for r in langid.add_language(docs.withColumn("lang", F.lit("zz")), model).collect()}
     assert one == other
+
+
+def test_learns_from_whole_texts(spark, docs):
+    """What tells the languages apart comes after 5000 characters that all of them share; repeated rows are one; no limit on a text's length."""
+    lead = "xylo zzz " * 600
+    rng = random.Random(5)
+    rows = [(i, lead + " ".join(rng.choice(WORDS[list(WORDS)[i % 3]]) for _ in range(5000)), list(WORDS)[i % 3]) for i in range(90)] + [(90, "the of and " * 400_000, "en")]
+    long = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string").repartition(2)
+    out = langid.identify(long).collect()
+    assert len(out) == 182 and all(r.lang_pred == ("en" if r.doc_id == 90 else list(WORDS)[r.doc_id % 3]) and not r.rejected for r in out)
+    ids, n = langid.bucket_counts(langid.np.frombuffer(b"Ab, ab", langid.np.uint8), 1 << 16)
+    assert n.sum() == 4 + 3 + 2 and len(ids) == 8  # ab_ab: ab twice
+
+
+def test_unknown_letters_are_rejected(spark, docs):
+    """Texts of letters that no learned language has get a low score and go; texts of the learned languages stay."""
+    rng = random.Random(3)
+    junk = spark.createDataFrame([(5000 + i, " ".join("".join(rng.choice("жщцыюящъэ") for _ in range(rng.randint(3, 9))) for _ in range(40)), "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert langid.add_language(junk, model).where("_reject").count() == 40
+    assert langid.add_language(docs.where("truth != 'und'"), model).where("_reject").count() <= 3
