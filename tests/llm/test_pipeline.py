@@ -54,12 +54,21 @@ def test_entry():
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_whole_tables(spark, name):
-    """A row for each row of the table (pieces: at least one; leaks: some)."""
+    """A row for each row of the table (pieces: at least one; leaks and words: some; neighbours: 20 a query; components: 32 a vector)."""
     out = queries.QUERIES[name](spark, SF)
-    n = spark.read.parquet(f"{SF}/{'pages' if name.startswith('op1_') else 'documents'}.parquet").count()
-    if name.startswith("op3_"):
+    op = name.split("_")[0]
+    table = spark.read.parquet(f"{SF}/{ {'op1': 'pages', 'op12': 'embeddings', 'op13': 'embeddings'}.get(op, 'documents') }.parquet")
+    n = table.count()
+    if op == "op3":
         assert 0 < out.count() < n
-    elif name.startswith("op4_"):
+    elif op == "op4":
         assert out.select("doc_id").distinct().count() == n
+    elif op == "op11":
+        assert 0 < out.count() == out.select("word").distinct().count()
+    elif op == "op12":
+        assert out.count() == 20 * table.where("vec_id % 20 = 0").count()
+    elif op == "op13":
+        vectors = out.groupBy("vec_id").count().collect()
+        assert len(vectors) == n and {r["count"] for r in vectors} == {32}
     else:
         assert out.count() == n
