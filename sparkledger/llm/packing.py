@@ -5,8 +5,9 @@ rests are placed under three limits at once: ids, segments and loss-bearing ids
 the piece that fits and has the largest dot product with what the sequence has left, each dimension weighted by total demand over capacity.
 
 Pieces are dealt by hash into groups of about `group` rows that are packed apart: memory and time of a task are bounded, at the
-cost of less than one part-filled sequence a group. Null and empty texts are documents of just the end id. Repeated rows, also with
-a null id, are packed as rows of their own. An empty table gives no rows. Extra columns play no part.
+cost of less than one part-filled sequence a group. The hash takes a number for each row in, so repeated rows are spread over all groups.
+Null and empty texts are documents of just the end id. Repeated rows, also with a null id, are packed as rows of their own. A piece that
+breaks a limit by itself is an error. An empty table gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -159,14 +160,16 @@ def pack(pieces: DataFrame, size: int = SIZE, segments: int = SEGMENTS, loss_tok
     groups = max(1, -(-pieces.count() // group))
     fields = pieces.columns
     loss_limit = size if loss_tokens is None else loss_tokens
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*fields), F.lit(groups)))
+    dealt = C.with_row_key(pieces, "_nth").withColumn("_group", F.pmod(F.xxhash64("_nth", *fields), F.lit(groups))).drop("_nth")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(fields, kind="stable").reset_index(drop=True)
         n = pdf[length].to_numpy(np.int64)
         cost = pdf[loss].fillna(0).to_numpy(np.int64) if loss else np.maximum(n - 1, 0)
-        demand = np.stack([n, np.ones_like(n), np.minimum(cost, loss_limit)], 1)
-        bins, rank = place(demand, np.array([size, segments, loss_limit], np.int64))
+        demand, capacity = np.stack([n, np.ones_like(n), cost], 1), np.array([size, segments, loss_limit], np.int64)
+        if (demand > capacity).any():
+            raise ValueError(f"a piece of {n.max()} ids, {cost.max()} of them loss-bearing, breaks the limits {size} and {loss_limit}: cut it first")
+        bins, rank = place(demand, capacity)
         out = pdf.assign(sequence_id=int(pdf["_group"].iloc[0]) << 32 | bins, segment=rank).sort_values(["sequence_id", "segment"])
         out["offset"] = out.groupby("sequence_id")[length].cumsum() - out[length]
         return out.drop(columns="_group")

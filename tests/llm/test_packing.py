@@ -57,5 +57,28 @@ def test_instruction_columns(spark):
     assert len(out) == 500 and by.length.sum().max() <= 128 and by.size().max() <= 4 and by.loss.sum().max() <= 40
 
 
+def test_only_the_loss_limit_binds(spark):
+    """Short pieces, almost all loss: with the limit on loss alone tight, sequences are full of loss and far from full of ids."""
+    pieces = spark.createDataFrame([(i, 10, 9) for i in range(400)], "id long, length long, loss long")
+    out = packing.pack(pieces, size=4096, segments=1000, loss_tokens=36, loss="loss").toPandas()
+    by = out.groupby("sequence_id")
+    assert len(by) == 100 and (by.loss.sum() == 36).all() and by.length.sum().max() == 40
+
+
+def test_a_piece_above_a_limit_is_an_error(spark):
+    pieces = spark.createDataFrame([(1, 10, 3), (2, 10, 41)], "id long, length long, loss long")
+    with pytest.raises(Exception, match="breaks the limits"):
+        packing.pack(pieces, size=128, loss_tokens=40, loss="loss").collect()
+    with pytest.raises(Exception, match="breaks the limits"):
+        packing.pack(pieces, size=8).collect()
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    pieces = spark.range(3000).selectExpr("1L AS id", "10L AS length")
+    out = packing.pack(pieces, size=100, group=100).toPandas()
+    assert len(out) == 3000 and out.groupby("sequence_id").length.sum().max() <= 100
+    assert out.groupby(out.sequence_id // 2**32).size().max() < 200
+
+
 def test_empty(docs):
     assert packing.pack_documents(docs.select("doc_id", "text").limit(0), tokenizer_path()).count() == 0
