@@ -1,4 +1,6 @@
 import hashlib
+import os
+import textwrap
 import zlib
 
 import duckdb
@@ -87,6 +89,33 @@ def test_licenses(spark):
     assert sorted(map(str, con.execute(licenses.oracle_sql()).fetchall())) == sorted(str((r.doc_id, r.digest, r.license_id)) for r in out.collect())
 
 
+PUBLISHED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{PUBLISHED}/GPL-3"), reason="no published texts on this machine")
+def test_longer_licences(spark):
+    """Whole texts as published, filled in, wrapped anew or in capitals, and texts with a word more or less, which are none."""
+    read = lambda name: open(f"{PUBLISHED}/{name}", encoding="utf-8").read()
+    apache, gpl, mpl = read("Apache-2.0"), read("GPL-3"), read("MPL-2.0")
+    filled = apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2024 Some One")
+    terms = apache[: apache.index("END OF TERMS") + len("END OF TERMS AND CONDITIONS")]
+    texts = [("Apache-2.0", apache), ("Apache-2.0", filled), ("Apache-2.0", textwrap.fill(terms, 60)), ("GPL-3.0", gpl.upper()), ("GPL-3.0", gpl.replace("https://", "http://")), ("MPL-2.0", " ".join(mpl.split()))]
+    texts += [(None, apache.replace("royalty-free", "royalty", 1)), (None, "Note. " + gpl)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(texts)}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: r[2] for r in con.execute(licenses.oracle_sql()).fetchall()} == got
+
+
+def test_a_table_of_licences(spark):
+    own = spark.createDataFrame([("House", "Use it as you like."), ("Blank", " "), ("Also", "use it: as YOU like")], "name string, body string")
+    docs = spark.createDataFrame([(1, "(c) 2020 X\nUse it, as you like!"), (2, "Use it")], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.digests_of(own, "name", "body")).collect()}
+    assert got == {1: "Also", 2: None}
+
+
 def test_an_old_shard_out_of_range_is_an_error(spark):
     import pytest
     from pyspark.sql import functions as F
