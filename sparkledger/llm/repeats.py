@@ -55,10 +55,13 @@ def word_symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return C.word_hashes(data, starts, stops), woff
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each place the leftmost least of the `width` values from there on, as packed (36 bits of value, 28 bits of place)."""
-    if len(values) >= 1 << 28:
-        raise ValueError(f"a text of {len(values)} symbols: the most is {(1 << 28) - 1}")
+def sliding_argmin(values: np.ndarray, width: int, most: int = 1 << 24) -> np.ndarray:
+    """For each place the leftmost least (by its upper 36 bits) of the `width` values from there on.
+
+    Values are packed with their places in 28 bits, so a longer array is taken in runs of `most` values that overlap by a width."""
+    if len(values) > most:
+        step = most - width + 1
+        return np.concatenate([a + sliding_argmin(values[a : a + most], width, most) for a in range(0, len(values) - width + 1, step)])
     best = (values >> C.U64(28)) << C.U64(28) | np.arange(len(values), dtype=C.U64)
     have = 1
     while have * 2 <= width:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sparkledger.llm import repeats, substring_dedup, suffix_dedup
@@ -94,6 +95,27 @@ def test_documents_keep_their_columns(spark):
     assert substring_dedup.clean_documents(docs, 5).columns == docs.columns
 
 
+@pytest.mark.parametrize("width,most", [(1, 7), (5, 5), (5, 16), (13, 40)])
+def test_anchors_of_long_texts_do_not_depend_on_the_runs_they_are_taken_in(width, most):
+    values = np.random.default_rng(width).integers(0, 6, 500).astype(np.uint64) << np.uint64(40)
+    want = [i + int(np.argmin(values[i : i + width])) for i in range(500 - width + 1)]
+    assert repeats.sliding_argmin(values, width).tolist() == want == repeats.sliding_argmin(values, width, most).tolist()
+
+
+def test_texts_of_megabytes(spark):
+    """A passage that two very long texts share, one of them twice, goes from all places; the rest stays."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 2**40, n))
+    passage, head, tail, other = noise(900), noise(120_000), noise(100_000), noise(200_000)
+    texts = [f"{head} {passage} {tail} {passage}", f"{other} {passage}", "short"]
+    assert min(map(len, texts[:2])) > 2_000_000
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_windows(rows(spark, texts)).collect()}
+    assert got == {0: 1800, 1: 900, 2: 0}
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeated_strings(rows(spark, texts)).collect()}
+    n = len(passage) + 1  # with the space before it
+    assert got[2] == (0, 0) and got[1] == (n, 1) and got[0] in {(2 * n, 2), (2 * n + 1, 2)}
+
+
 def test_suffix_names_follow_the_order_of_suffixes(spark):
     """Names of nine phrases: equal where the phrases are, and in the order of the phrases."""
     rng = random.Random(5)
