@@ -3,22 +3,25 @@
 Rows of an old shard are hashed into blocks; their sizes are a table of constant size, the only thing the driver sees. A minimum-cost flow
 between old and new shards (a byte that stays costs nothing) fixes how many bytes go where. A shard's bytes are laid out block by block, and the
 flows cut that line: whole blocks move, and a block that a cut goes through is divided row by row. So shards differ by less than
-a row's size from their capacity at each cut. Rewriting stores the rows of every new shard as files. Rows of one text may go to different shards.
+a row's size from their capacity at each cut. Rewriting stores the rows of every new shard as files; where the old shards are files themselves
+(`reshard_files`), only shards that give or take bytes are written, and the files of the others stay what they are. Rows of one text may go to different shards.
 
 Null texts have size 1. Repeated and null ids are rows like any others (a row's place in its block follows hashes of its id and text; equal rows are
-interchangeable). Empty tables give no rows. Extra columns stay in the files; columns of the result must not clash with theirs.
+interchangeable). Empty tables give no rows. Extra columns stay in the files; where one has a name that the operator uses (NAMES), it stays as own_<name>.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SHARDS, BLOCKS, PART_BYTES = 16, 256, 32_000_000
+NAMES = ("_size", "_old", "_hash", "_block", "_part", "_at", "_own", "_before", "_place", "_first", "n", "parts", "shard", "slot")
 
 
 def minimum_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -69,26 +72,51 @@ def minimum_cost_flow(supply: list[int], capacity: list[int], cost: list[list[in
     return [[edges[first + 2 * (i * m + j) + 1][1] for j in range(m)] for i in range(n)]
 
 
-def even_capacities(total: int, shards: int) -> list[int]:
-    return [total // shards + (k < total % shards) for k in range(shards)]
+def even_capacities(total: int, shards: int, slack: float = 0.0) -> list[int]:
+    """Equal shares of the total, and room for a share `slack` more in each shard: with room, shards that are about even stay as they are."""
+    return [total // shards + (k < total % shards) + int(slack * total / shards) for k in range(shards)]
+
+
+def affected(flows: list[list[int]]) -> list[int]:
+    """The shards, old or new, that give or take bytes."""
+    moves = [(i, j) for i, row in enumerate(flows) for j, f in enumerate(row) if i != j and f]
+    return sorted({k for move in moves for k in move})
+
+
+def moved_bytes(flows: list[list[int]]) -> int:
+    return sum(f for i, row in enumerate(flows) for j, f in enumerate(row) if i != j)
 
 
 def size_of(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[list[int]]]:
+def _own_names(docs: DataFrame) -> dict[str, str]:
+    """The names under which columns of docs are kept."""
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        new = c
+        while new.lower() in NAMES or new != c and new.lower() in {x.lower() for x in [*docs.columns, *names.values()]}:
+            new = "own_" + new
+        names[c] = new
+    return names
+
+
+def plan(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS, part_bytes: int = PART_BYTES, slack: float = 0.0) -> tuple[DataFrame, list[list[int]]]:
     """docs with _size, _old, _block, _part and shard; and the flows. old: the old shard of a row, 0 to shards - 1; any other value is an error.
 
     A block is laid out in parts of about part_bytes, so that no task has more than a part, however large the corpus is."""
     known = F.when(old.between(0, shards - 1), old.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no old shard: "), F.coalesce(old.cast("string"), F.lit("null")))).cast("int"))
-    rows = docs.withColumns({"_size": size_of(text), "_old": known, "_hash": F.xxhash64(F.col(id_col), F.col(text))})
+    own = _own_names(docs)
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), known.alias("_old"))
+    id_col, text = own[id_col], own[text]
+    rows = docs.withColumns({"_size": size_of(text), "_hash": F.xxhash64(F.col(id_col), F.col(text))})
     rows = rows.withColumn("_block", F.pmod("_hash", F.lit(blocks)).cast("int"))
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("_old", "_block").agg(F.sum("_size")).collect()}  # at most shards * blocks rows
     parts = max(1, -(-max(sizes.values(), default=0) // part_bytes))
     rows = rows.withColumn("_part", F.pmod(F.shiftright("_hash", 24), F.lit(parts)).cast("int"))
     supply = [sum(v for (o, _), v in sizes.items() if o == k) for k in range(shards)]
-    capacity = capacities or even_capacities(sum(supply), shards)
+    capacity = capacities or even_capacities(sum(supply), shards, slack)
     flows = minimum_cost_flow(supply, capacity, [[int(i != j) for j in range(len(capacity))] for i in range(shards)])
     starts, cuts = [], []
     for o in range(shards):
@@ -148,12 +176,40 @@ def rewrite(placed: DataFrame, folder: str) -> None:
     placed.write.partitionBy("shard").parquet(folder)
 
 
+def _columns(placed: DataFrame) -> list[str]:
+    """The columns that files of shards have, the shard last."""
+    return [c for c in placed.columns if c != "shard"] + ["shard"]
+
+
 def reshard(docs: DataFrame, old: Column, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", folder: str | None = None, **options) -> DataFrame:
     """Plans, rewrites and reads again: docs with _size, _old, shard and slot."""
     spark = docs.sparkSession
     folder = folder or C.new_path(spark, "shards")
     placed, _ = plan(docs, old, capacities, shards, id_col, text, **options)
-    columns = [*docs.columns, "_size", "_old", "_block", "_part", "_hash", "shard"]
-    rewrite(placed.select(columns), folder)
-    schema = placed.select(columns).schema
-    return with_slots(spark.read.schema(schema).parquet(folder))
+    placed = placed.select(_columns(placed))
+    rewrite(placed, folder)
+    return with_slots(spark.read.schema(placed.schema).parquet(folder))
+
+
+def reshard_files(spark: SparkSession, old_folder: str, folder: str, capacities: list[int] | None = None, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", **options) -> tuple[list[str], list[list[int]]]:
+    """Reshards old_folder/shard=k: the folder of each new shard, and the flows.
+
+    Shards that give or take bytes are written to folder/shard=k, with the columns that they have; the others keep their folder below old_folder, and their
+    texts are read for their sizes only. A shard without rows has no folder below `folder`; reading the list skips it (`read_shards`)."""
+    docs = spark.read.parquet(old_folder)
+    placed, flows = plan(docs.withColumnRenamed("shard", "_from"), F.col("_from"), capacities, shards, id_col, text, **options)
+    touched = affected(flows)
+    own = _own_names(docs.drop("shard"))
+    # the old shard is the folder's name, so files of shards that stay are not opened
+    changed = placed.where(F.col("_from").isin(touched)).select(*(F.col(f"`{n}`").alias(c) for c, n in own.items()), "shard")
+    rewrite(changed, folder)
+    return [f"{folder if k in touched else old_folder}/shard={k}" for k in range(len(flows[0]))], flows
+
+
+def read_shards(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The rows of shards at several places, with the shard of each."""
+    wanted: dict[str, list[int]] = {}
+    for at, _, k in (f.rpartition("/shard=") for f in folders):
+        wanted.setdefault(at, []).append(int(k))
+    found = [spark.read.parquet(at).where(F.col("shard").isin(shards)) for at, shards in wanted.items()]
+    return reduce(DataFrame.unionByName, found)

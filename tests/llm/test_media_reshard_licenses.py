@@ -71,6 +71,37 @@ def test_reshard(spark, options):
     assert reshard.reshard(docs.limit(0), old).count() == 0
 
 
+def test_only_affected_files_are_rewritten(spark):
+    """One old shard overflows and one has room; with slack the others keep their very files, and as few bytes move as can."""
+    from pyspark.errors import AnalysisException
+
+    sizes = [900, 300, 300, 310, 300]
+    docs = spark.createDataFrame([(k * 1000 + i, f"{i:09d}", k, "own", k) for k, n in enumerate(sizes) for i in range(n)], "doc_id long, text string, shard int, slot string, _hash int")
+    old, new = common.new_path(spark, "old"), common.new_path(spark, "new")
+    docs.write.partitionBy("shard").parquet(old)
+    capacities = [9000 - 2000, 5000, 3000, 3100, 3000]
+    folders, flows = reshard.reshard_files(spark, old, new, capacities, shards=5)
+    assert reshard.affected(flows) == [0, 1] and reshard.moved_bytes(flows) == 2000
+    assert folders == [f"{new}/shard=0", f"{new}/shard=1"] + [f"{old}/shard={k}" for k in (2, 3, 4)]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(f"{new}/shard=2")
+    out = reshard.read_shards(spark, folders)
+    assert sorted(out.columns) == sorted(docs.columns)
+    got = out.toPandas()
+    assert got.drop(columns="shard").sort_values("doc_id").values.tolist() == docs.toPandas()[[c for c in got.columns if c != "shard"]].sort_values("doc_id").values.tolist()
+    assert got.groupby("shard").size().tolist() == [700, 500, 300, 310, 300]
+    same, _ = reshard.reshard_files(spark, old, common.new_path(spark, "new"), shards=5, slack=2.0)
+    assert same == [f"{old}/shard={k}" for k in range(5)]
+
+
+def test_reshard_keeps_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame([(i, "x" * i, i, "s", 7) for i in range(40)], "doc_id long, text string, _hash int, Shard string, _size int")
+    out = reshard.reshard(docs, F.pmod("_hash", F.lit(16))).toPandas()
+    assert {"own__hash", "own_Shard", "own__size", "_size", "shard", "slot"} <= set(out.columns)
+    assert (out["own__hash"] == out["doc_id"]).all() and (out["_size"] == out["doc_id"] + 1).all() and (out["own__size"] == 7).all()
+    assert (out["_old"] == out["doc_id"] % 16).all()
+
+
 def test_licenses(spark):
     mit = next(t for i, t in licenses.LICENSES if i == "MIT")
     bsd = next(t for i, t in licenses.LICENSES if i == "BSD-3-Clause")
