@@ -1,8 +1,9 @@
 """Zip archives as a Python data source: members are partitions of a read, and tasks write archives.
 
-Reading plans the members of all archives below a folder from their directories alone, several small ones to a partition. A member is either one row (its
-bytes) or, with `records`, a row for each element of the JSON array that it is, as text that Spark parses. Writing gives every task an archive of its own with
-fixed times, so the same members in the same order give the same bytes; an archive appears under its name when it is whole, and only then.
+Reading plans archives below a folder: one that is no larger than a partition is read whole by a task, a larger one is cut by its directory, several small members
+to a partition. A member is either one row (its bytes) or, with `records`, a row for each element of the JSON array that it is, as text that Spark parses. Writing gives
+every task archives of its own with fixed times, so the same members in the same order give the same bytes; an archive appears under its name when it is whole, and only
+then. A task keeps the directory of the archive that it writes or reads, so an archive holds at most `MEMBERS` members and a task with more begins another.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -25,17 +27,22 @@ from .ledger import _open
 
 #: Bytes (stored) of the members of a partition at least, unless it is the last; bytes of an Arrow batch.
 PARTITION, BATCH = 16_000_000, 4_000_000
+#: The most members of an archive that is written: what a directory without ZIP64 can number.
+MEMBERS = 65_535
 SCHEMA = "archive string, member string, content binary"
 RECORDS = "archive string, member string, place long, record string"
 
 
 @dataclass
 class Members(InputPartition):
+    """Members of an archive by their places in its directory; without `last`, to its end."""
+
     archive: str
-    names: list[str]
+    first: int
+    last: int | None
 
     def __post_init__(self):
-        super().__init__(self.names)
+        super().__init__((self.first, self.last))
 
 
 class _Reader(DataSourceReader):
@@ -48,20 +55,25 @@ class _Reader(DataSourceReader):
         one = system.get_file_info(root)
         files = [one] if one.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(root, recursive=True))
         out: list[InputPartition] = []
-        for path in sorted(f.path for f in files if f.path.endswith(".zip")):
-            held, size = [], 0
-            for m in zipfile.ZipFile(system.open_input_file(path)).infolist():
-                if m.is_dir() or self.member and m.filename != self.member:
+        for f in sorted((f for f in files if f.path.endswith(".zip")), key=lambda f: f.path):
+            if f.size <= self.size:
+                out.append(Members(f.path, 0, None))
+                continue
+            first, last, size = 0, 0, 0
+            for i, m in enumerate(zipfile.ZipFile(system.open_input_file(f.path)).infolist()):
+                if not self._wanted(m):
                     continue
-                held.append(m.filename)
-                size += m.compress_size
+                last, size = i + 1, size + m.compress_size
                 if size >= self.size:
-                    out.append(Members(path, held))
-                    held, size = [], 0
-            if held:
-                out.append(Members(path, held))
+                    out.append(Members(f.path, first, last))
+                    first, size = last, 0
+            if last > first:
+                out.append(Members(f.path, first, last))
         return out
 
+    def _wanted(self, m: zipfile.ZipInfo) -> bool:
+        return not m.is_dir() and self.member in ("", m.filename)
+
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's way to read a source without partitions
             return
@@ -70,21 +82,21 @@ class _Reader(DataSourceReader):
         kinds = [pa.string(), pa.string(), *([pa.int64(), pa.string()] if self.records else [pa.binary()])]
         names = ["archive", "member", *(["place", "record"] if self.records else ["content"])]
         rows, held = [], 0
-        for name in partition.names:
-            for row in self._rows(archive, name):
-                rows.append((partition.archive, name, *row))
-                held += len(row[-1])
+        for m in filter(self._wanted, archive.infolist()[partition.first : partition.last]):
+            for row in self._rows(archive, m):
+                rows.append((partition.archive, m.filename, *row))
+                held += len(row[-1]) + len(m.filename) + len(partition.archive)
                 if held >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
                     rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    def _rows(self, archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
+    def _rows(self, archive: zipfile.ZipFile, m: zipfile.ZipInfo) -> Iterator[tuple]:
         if not self.records:
-            yield (archive.read(name),)
+            yield (archive.read(m),)
             return
-        with archive.open(name) as f:
+        with archive.open(m) as f:
             for i, record in enumerate(array_elements(f)):
                 yield i, record
 
@@ -131,8 +143,9 @@ def array_elements(f, size: int = 1 << 20) -> Iterator[str]:
 
 @dataclass
 class _Done(WriterCommitMessage):
-    partial: str
-    name: str
+    """The archives of a task: where they lie, and the names that they get."""
+
+    archives: list[tuple[str, str]]
 
 
 class _Writer(DataSourceWriter):
@@ -143,27 +156,26 @@ class _Writer(DataSourceWriter):
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
         context = TaskContext.get()
-        name = f"{root}/{self.prefix}-{context.partitionId():05d}.zip"
-        partial, n = f"{root}/.{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}", 0
-        with system.open_output_stream(partial) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for row in iterator:
-                archive.writestr(zipfile.ZipInfo(row.path, (1980, 1, 1, 0, 0, 0)), bytes(row.content or b""), zipfile.ZIP_DEFLATED)
-                n += 1
-        return _Done(partial, name if n else "")
+        task, done, rows = f"{context.partitionId():05d}", [], iter(iterator)
+        for first in rows:
+            place = f"{task}-{len(done):05d}" if done else task
+            partial = f"{root}/.{self.job}-{place}-{context.taskAttemptId()}"
+            with system.open_output_stream(partial) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for row in chain([first], islice(rows, MEMBERS - 1)):
+                    archive.writestr(zipfile.ZipInfo(row.path, (1980, 1, 1, 0, 0, 0)), bytes(row.content or b""), zipfile.ZIP_DEFLATED)
+            done.append((partial, f"{root}/{self.prefix}-{place}.zip"))
+        return _Done(done)
 
     def commit(self, messages: list) -> None:
         system, _ = _open(self.path)
-        for m in messages:
-            if m is not None and m.name:
-                system.move(m.partial, m.name)
-            elif m is not None:
-                system.delete_file(m.partial)
+        for partial, name in (x for m in messages if m is not None for x in m.archives):
+            system.move(partial, name)
 
     def abort(self, messages: list) -> None:
         system, _ = _open(self.path)
-        for m in messages:
-            if m is not None and system.get_file_info(m.partial).type != pafs.FileType.NotFound:
-                system.delete_file(m.partial)
+        for partial, _ in (x for m in messages if m is not None for x in m.archives):
+            if system.get_file_info(partial).type != pafs.FileType.NotFound:
+                system.delete_file(partial)
 
 
 class ZipArchive(DataSource):
@@ -205,13 +217,15 @@ def build(spark: SparkSession, builder: str, path: str, member: str = "", **opti
 
 
 def write_members(files: DataFrame, folder: str, prefix: str = "part") -> None:
-    """K7: path and content of files, put into archives: one for each partition that has rows, members in the order of the rows."""
+    """K7: path and content of files, put into archives: one for each partition that has rows, or as many as its members fill, in the order of the rows."""
     files.sparkSession.dataSource.register(ZipArchive)
     files.select("path", F.col("content").cast("binary").alias("content")).write.format("ziparchive").mode("append").options(path=folder, prefix=prefix).save()
 
 
 def pack_outputs(files: DataFrame, folder: str, archives: int, prefix: str = "output") -> None:
-    """The packable files of a listing (path, content), sorted by path, in so many archives."""
+    """The packable files of a listing (path, content), sorted by path, in so many archives, or in more where these would be over half full."""
     from .sinks import packable
 
-    write_members(packable(files).repartitionByRange(archives, "path").sortWithinPartitions("path"), folder, prefix)
+    kept = packable(files)
+    ranges = max(archives, -(-kept.count() // (MEMBERS // 2)))
+    write_members(kept.repartitionByRange(ranges, "path").sortWithinPartitions("path"), folder, prefix)

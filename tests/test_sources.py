@@ -119,6 +119,17 @@ def test_archives(spark, tmp_path):
     assert archives.read_members(spark, f"{at}/none").count() == 0
 
 
+def test_archives_hold_bounded_members(spark, tmp_path):
+    at, n = f"file://{tmp_path}/z", 150_000
+    archives.pack_outputs(spark.range(n).select(F.col("id").cast("string").alias("path"), F.col("id").cast("string").cast("binary").alias("content")), at, 1)
+    archives.write_members(spark.range(0, n, 1, 1).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("path"), F.lit(b"").alias("content")), at)
+    held = [len(zipfile.ZipFile(p).namelist()) for p in (tmp_path / "z").glob("*.zip")]
+    assert max(held) <= archives.MEMBERS and sum(held) == 2 * n and len(held) >= 8
+    found = archives.read_members(spark, at)
+    assert found.select("member").distinct().count() == 2 * n and found.where("content = cast(member as binary)").count() == n
+    assert all(p.last is None for p in archives._Reader({"path": at}).partitions())  # planned without their directories
+
+
 def test_arrays_are_read_in_blocks():
     import io
 
