@@ -83,13 +83,14 @@ def scored(predictions: DataFrame, gold: DataFrame, key: str = "uid") -> DataFra
     return both.withColumns({"correct": N.primary_match(N.of("pred"), N.of("gold"), flag), "correct_strict": N.answers_match(N.of("pred"), N.of("gold"))})
 
 
-def item_scores(items: DataFrame, group: list[str], run: str = "exp_id", uid: str = "uid", correct: str = "correct") -> DataFrame:
+def item_scores(items: DataFrame, group: list[str], run: str = "exp_id", uid: str = "uid", correct: str = "correct", present: DataFrame | None = None) -> DataFrame:
     """Mean correctness of each item over the runs of a group; only items that all of its runs have.
 
-    A run's last answer to an item counts; items must be unique per run before (see latest_per_key)."""
-    runs = items.groupBy(*group).agg(F.countDistinct(run).alias("_runs"))
-    per_item = items.groupBy(*group, uid).agg(F.avg(F.col(correct).cast("double")).alias("score"), F.countDistinct(run).alias("_n"))
-    return per_item.join(runs, group).where(F.col("_n") == F.col("_runs")).select(*group, uid, "score")
+    A run's last answer to an item counts; items must be unique per run before (see latest_per_key), so an item's rows are its runs.
+    present: rows (group, run) with the same runs as the items, where they are cheaper to have. Runs are counted to a row per group, which is broadcast."""
+    runs = (items if present is None else present).select(*group, run).distinct().groupBy(*group).agg(F.count(run).alias("_runs"))
+    per_item = items.groupBy(*group, uid).agg(F.avg(F.col(correct).cast("double")).alias("score"), F.count(run).alias("_n"))
+    return per_item.join(F.broadcast(runs), group).where(F.col("_n") == F.col("_runs")).select(*group, uid, "score")
 
 
 def split_counts(items: DataFrame, *by: str, program: str = "gold_program") -> DataFrame:

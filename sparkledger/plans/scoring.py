@@ -336,8 +336,8 @@ def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that all runs have, and their mean correctness. An item's correctness follows from its part."""
     rows = pairs(spark, sf_dir).select("arm", F.col("l_linenumber").alias("exp_id"), F.col("l_partkey").alias("uid"), N.primary_match(_n("pred"), _n("gold")).alias("correct"))
-    once = L.first_per_key(rows, ["arm", "exp_id", "uid"], F.lit(0))
-    return R.item_scores(once, ["arm"]).groupBy("arm").agg(F.count("*").alias("items"), F.round(F.avg("score"), 6).alias("score"))
+    once = rows.groupBy("arm", "exp_id", "uid").agg(F.max("correct").alias("correct"))  # of one part all are equal
+    return R.item_scores(once, ["arm"], present=rows).groupBy("arm").agg(F.count("*").alias("items"), F.round(F.avg("score"), 6).alias("score"))
 
 
 @query(f"WITH {_CELLS} SELECT arm, model, split, count(em) AS n, round(stddev_samp(em), 6) AS sd FROM runs GROUP BY ALL")
