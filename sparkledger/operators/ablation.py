@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .latest import latest_per_key
 from .rates import average, item_scores, seed_sd
 from .stats import bootstrap_difference, bootstrap_mean
@@ -34,12 +35,16 @@ def ablation(cells: DataFrame, splits: list[str] = ("standard", "clean"), metric
     return wide.withColumn("contamination_gap", F.round(F.col("exact_match_standard") - F.col("exact_match_clean"), 4))
 
 
-def ablation_with_intervals(runs: DataFrame, items: DataFrame, metrics: list[str] = ("exact_match",)) -> DataFrame:
-    """The ablation table with bootstrap intervals per split and of the gap. items: exp_id, uid, correct."""
-    marked = items.join(runs.select("exp_id", *KEY, "split"), "exp_id")
-    scores = item_scores(marked, [*KEY, "split"])
-    intervals = bootstrap_mean(scores, [*KEY, "split"], "score").select(*KEY, "split", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
-    gaps = bootstrap_difference(scores, KEY, "split", ("standard", "clean"), "score").select(*KEY, F.round("lo", 4).alias("contamination_gap_lo"), F.round("hi", 4).alias("contamination_gap_hi"))
+def ablation_with_intervals(runs: DataFrame, items: DataFrame, metrics: list[str] = ("exact_match",), present: DataFrame | None = None) -> DataFrame:
+    """The ablation table with bootstrap intervals per split and of the gap. items: exp_id, uid, correct; present: exp_id of the same runs, where that is cheaper to have.
+
+    Items are scored once, and counted by score: all intervals are drawn from these counts, which are stored."""
+    marked = lambda rows: rows.join(runs.select("exp_id", *KEY, "split"), "exp_id")
+    answered = None if present is None else marked(present.select("exp_id").distinct())
+    each = item_scores(marked(items), [*KEY, "split"], present=answered)
+    scores = stored(each.groupBy(*KEY, "split", "score").agg(F.count("*").alias("items")), "scores")
+    intervals = bootstrap_mean(scores, [*KEY, "split"], "score", weight="items").select(*KEY, "split", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    gaps = bootstrap_difference(scores, KEY, "split", ("standard", "clean"), "score", weight="items").select(*KEY, F.round("lo", 4).alias("contamination_gap_lo"), F.round("hi", 4).alias("contamination_gap_hi"))
     cells = per_split(runs, metrics).join(intervals, [*KEY, "split"], "left")
     return ablation(cells, metrics=metrics).join(gaps, KEY, "left").orderBy(*KEY)
 

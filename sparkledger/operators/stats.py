@@ -28,13 +28,23 @@ def _draws(key: tuple, seed: int, *place: int) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), *place])
 
 
-def resampled_means(items: DataFrame, group: list[str], values: list[str], n: int = RESAMPLES, seed: int = 0) -> DataFrame:
+def _count(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count("*")
+
+
+def _mean(x: Column, weight: str | None) -> Column:
+    x = x.cast("double")
+    return F.sum(x * F.col(weight)) / F.sum(F.when(x.isNotNull(), F.col(weight))) if weight else F.avg(x)
+
+
+def resampled_means(items: DataFrame, group: list[str], values: list[str], n: int = RESAMPLES, seed: int = 0, weight: str | None = None) -> DataFrame:
     """group, resample, and the mean of each value in it: n rows for each group. Values of one row are resampled together; rows without one of them are left out.
+    weight: how many items a row stands for; one without it.
 
     The groups' columns and resample are the result's key, so statistics of several groups are joins on `resample`."""
     kinds = dict(items.dtypes)
-    items = items.select(*group, *(F.col(v).cast("double").alias(v) for v in values)).dropna(subset=values)
-    counts = items.groupBy(*group, *values).agg(F.count("*").alias("_n"))
+    items = items.select(*group, *(F.col(v).cast("double").alias(v) for v in values), *([weight] if weight else [])).dropna(subset=values)
+    counts = items.groupBy(*group, *values).agg(_count(weight).alias("_n"))
     # Pieces by hash: their number follows the number of different values of the largest group.
     most = counts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     pieces = -(-most // PIECE)
@@ -82,19 +92,22 @@ def interval(means: DataFrame, group: list[str], statistic: Column, alpha: float
     return means.groupBy(*group).agg(F.percentile(statistic, [alpha / 2, 1 - alpha / 2]).alias("_q")).select(*group, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
-def bootstrap_mean(items: DataFrame, group: list[str], value: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """N, mean, lo and hi of a value in each group."""
-    exact = items.dropna(subset=[value]).groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
-    return _joined(exact, interval(resampled_means(items, group, [value], n, seed), group, F.col(value), alpha), group)
+def bootstrap_mean(items: DataFrame, group: list[str], value: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0, weight: str | None = None) -> DataFrame:
+    """N, mean, lo and hi of a value in each group. weight: how many items a row stands for."""
+    exact = items.dropna(subset=[value]).groupBy(*group).agg(_count(weight).alias("n"), _mean(F.col(value), weight).alias("mean"))
+    return _joined(exact, interval(resampled_means(items, group, [value], n, seed, weight), group, F.col(value), alpha), group)
 
 
 def _joined(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     return a.join(b, group) if group else a.crossJoin(b)
 
 
-def bootstrap_difference(items: DataFrame, group: list[str], side: str, sides: tuple, value: str, paired_by: str | None = None, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """Difference of two sides in each group that has both. paired_by: the same items in both sides are resampled together; an item that one side lacks is an error."""
+def bootstrap_difference(items: DataFrame, group: list[str], side: str, sides: tuple, value: str, paired_by: str | None = None, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0, weight: str | None = None) -> DataFrame:
+    """Difference of two sides in each group that has both. paired_by: the same items in both sides are resampled together; an item that one side lacks is an error.
+    weight: how many items a row stands for, where items aren't paired."""
     a, b = sides
+    if paired_by and weight:
+        raise ValueError("paired items have no weights")
     if paired_by:
         pick = lambda s: F.max(F.when(F.col(side) == s, F.col(value).cast("double")))
         both = items.where(F.col(side).isin(a, b)).groupBy(*group, paired_by).agg(pick(a).alias("_a"), pick(b).alias("_b"))
@@ -103,8 +116,8 @@ def bootstrap_difference(items: DataFrame, group: list[str], side: str, sides: t
         exact = both.groupBy(*group).agg((F.avg("_a") - F.avg("_b")).alias("difference"))
         return _joined(exact, interval(resampled_means(both, group, ["_a", "_b"], n, seed), group, F.col("_a") - F.col("_b"), alpha), group)
     rows = items.where(F.col(side).isin(a, b)).dropna(subset=[value])
-    exact = rows.groupBy(*group).agg((F.avg(F.when(F.col(side) == a, F.col(value).cast("double"))) - F.avg(F.when(F.col(side) == b, F.col(value).cast("double")))).alias("difference")).where("difference is not null")
-    means = resampled_means(rows, [*group, side], [value], n, seed)
+    exact = rows.groupBy(*group).agg((_mean(F.when(F.col(side) == a, F.col(value)), weight) - _mean(F.when(F.col(side) == b, F.col(value)), weight)).alias("difference")).where("difference is not null")
+    means = resampled_means(rows, [*group, side], [value], n, seed, weight)
     wide = means.groupBy(*group, "resample").agg(*(F.max(F.when(F.col(side) == s, F.col(value))).alias(c) for s, c in ((a, "_a"), (b, "_b")))).where("_a is not null and _b is not null")
     return _joined(exact, interval(wide, group, F.col("_a") - F.col("_b"), alpha), group)
 

@@ -10,9 +10,9 @@ from ..functions import dsl, tables
 from ..functions import numbers as N
 from ..operators import ablation as AB
 from ..operators import breakdown as B
-from ..operators import latest as L
 from ..operators import rates as R
 from ..operators import sandbox, stats
+from ..session import stored
 from .base import PAIRS, long, pairs, primary, spread, strict, table
 
 QUERIES: dict = {}
@@ -424,8 +424,8 @@ def ablation_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ablation table with intervals, on cells of the pairs (a run's items are a benchmark's test set)."""
     rows = pairs(spark, sf_dir)
     items = rows.select(F.concat_ws("|", "arm", "model", "split", "seed").alias("exp_id"), F.col("l_partkey").alias("uid"), N.primary_match(_n("pred"), _n("gold")).alias("correct"))
-    once = L.first_per_key(items, ["exp_id", "uid"], F.lit(0))
-    return AB.ablation_with_intervals(AB.current_runs(_runs(spark, sf_dir)), once)
+    once = items.groupBy("exp_id", "uid").agg(F.max("correct").alias("correct"))  # of one part all are equal
+    return AB.ablation_with_intervals(stored(AB.current_runs(_runs(spark, sf_dir)), "runs"), once, present=items)
 
 
 @query("SELECT op AS label, count(*) AS n, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS hits FROM (SELECT l_linenumber, unnest(CASE WHEN l_partkey % 2 = 0 THEN ['add', 'divide'] ELSE ['subtract'] END) AS op FROM lineitem) GROUP BY 1")

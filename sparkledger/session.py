@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -20,6 +20,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several jobs read, worked out once and kept as Parquet in the shared folder."""
+    at = new_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def session(cpus: int | str = "*", shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution, UTC and ANSI mode left on."""
     n = os.cpu_count() if cpus == "*" else int(cpus)

@@ -2,12 +2,16 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkledger.operators import stats
+from sparkledger.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def binomial_quantile(n, p, q):
@@ -91,3 +95,20 @@ def test_gaps_against_all_resamples(spark):
 def test_exact_tails():
     assert stats.binomial_two_sided(0, 0) == 1 and stats.binomial_two_sided(1, 10) == pytest.approx(22 / 1024)
     assert stats.binomial_two_sided(5, 10) == 1 and stats.binomial_two_sided(499_000, 1_000_000) == pytest.approx(0.0456, abs=2e-4)
+
+
+def test_counted_items_are_resampled_as_items(spark):
+    items = spark.createDataFrame([(i % 2, "ab"[i % 3 % 2], i % 7 / 4) for i in range(500)] + [(1, "a", None)], "g int, side string, v double")
+    counted = items.groupBy("g", "side", "v").agg(F.count("*").alias("w"))
+    rows = lambda df: sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(stats.bootstrap_mean(counted, ["g", "side"], "v", n=300, weight="w")) == rows(stats.bootstrap_mean(items, ["g", "side"], "v", n=300))
+    found = [stats.bootstrap_difference(x, ["g"], "side", ("a", "b"), "v", n=300, weight=w) for x, w in ((counted, "w"), (items, None))]
+    assert rows(found[0]) == rows(found[1]) and len(rows(found[0])) == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_items_of_ablations_are_scored_once(spark):
+    made = catalogue.QUERIES["ablation_intervals"](spark, SF)
+    assert made.count() == 6 and not [f for f in made.inputFiles() if f.startswith(f"file://{SF}")]  # it reads what was stored
+    plan = catalogue.QUERIES["item_scores"](spark, SF)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "Expand" not in plan
