@@ -25,6 +25,9 @@ STATE = "exp_id string, name string, status string, last_error string, host stri
 # The file that each data set's `standard` split is.
 STANDARD = {"finqa": "test", "convfinqa": "dev", "tatqa": "test"}
 
+#: The most models that an error names.
+NAMED = 1000
+
 
 def split_path(root: str, dataset: str, split: str) -> str:
     """Where a split is stored; `clean` and `control` belong to no data set."""
@@ -246,12 +249,17 @@ def load_models(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_model(rows: DataFrame, models: DataFrame, model: str = "model") -> DataFrame:
-    """Rows with the fields of their model; a model that isn't in the table is an error that names those that are. A model table is short, so it is one broadcast row."""
-    known = models.agg(F.map_from_entries(F.collect_list(F.struct("model", "fields"))).alias("_models"))
-    names = F.array_join(F.array_sort(F.map_keys("_models")), ", ")
+    """Rows with the fields of their model; a model that isn't in the table is an error that names those that are (of a longer table the first `NAMED`).
+
+    An equi-join: a row costs one lookup however many models there are, and Spark sends a short table to all tasks."""
+    first = models.select("model").orderBy("model").limit(NAMED + 1).agg(F.array_sort(F.collect_list("model")).alias("_names"))
+    names = F.concat(F.array_join(F.slice("_names", 1, NAMED), ", "), F.when(F.size("_names") > NAMED, F.lit(", ...")).otherwise(F.lit("")))
     missing = F.raise_error(F.concat(F.lit("unknown model '"), F.coalesce(F.col(model), F.lit("")), F.lit("'; known: "), names))
-    found = F.try_element_at("_models", F.col(model))
-    return rows.crossJoin(F.broadcast(known)).withColumn("fields", F.when(found.isNull(), missing).otherwise(found)).drop("_models")
+    twice = F.raise_error(F.concat(F.lit("model '"), F.col("model"), F.lit("' is there twice")))
+    once = models.groupBy("model").agg(F.first("fields").alias("_fields"), F.count("*").alias("_n"))
+    known = once.select(F.col("model").alias("_model"), F.when(F.col("_n") > 1, twice).otherwise(F.col("_fields")).alias("_fields"))
+    found = rows.join(known, F.col(model) == F.col("_model"), "left").crossJoin(F.broadcast(first))
+    return found.withColumn("fields", F.when(F.col("_fields").isNull(), missing).otherwise(F.col("_fields"))).drop("_model", "_fields", "_names")
 
 
 def manifest_update(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -160,6 +160,18 @@ def test_settings(spark, tmp_path):
         readers.with_model(rows, models).collect()
 
 
+def test_models_of_a_long_table_are_joined(spark):
+    models = spark.range(1500).select(F.format_string("m%04d", "id").alias("model"), F.create_map(F.lit("tier"), F.col("id").cast("string")).alias("fields"))
+    rows = spark.range(3000).select((F.col("id") * 7).alias("k"), F.format_string("m%04d", F.col("id") % 1500).alias("model"))
+    found = readers.with_model(rows, models)
+    assert found.count() == 3000 and found.where(F.col("fields")["tier"] == F.col("model").substr(2, 4).cast("int").cast("string")).count() == 3000
+    assert "map_from_entries" not in found._jdf.queryExecution().toString()  # a map of all models is searched from its start for every row
+    with pytest.raises(Exception, match=r"unknown model 'x'; known: m0000, .*m0999, \.\.\."):
+        readers.with_model(spark.createDataFrame([("x",)], "model string"), models).collect()
+    with pytest.raises(Exception, match="is there twice"):
+        readers.with_model(rows, models.union(models)).collect()
+
+
 def test_config_fields_as_config_row(spark):
     defaults = {"epochs": 1, "rate": 0.1, "flag": True, "teacher": None}
     given = {"epochs": "3", "rate": "2e-4", "teacher": "7", "odd": "1"}
