@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -15,9 +15,9 @@ KEY = ["dataset", "arm", "model", "variant"]
 METRICS = ["exact_match", "exact_match_strict", "execution_accuracy", "faithfulness_primary", "faithfulness_proxy", "executability_rate"]
 
 
-def current_runs(log: DataFrame) -> DataFrame:
-    """W1 on an append log (exp_id, timestamp, ord): the latest row of each run."""
-    return latest_per_key(log, ["exp_id"], F.col("timestamp"), F.col("ord"))
+def current_runs(log: DataFrame, *also: Column) -> DataFrame:
+    """W1 on an append log (exp_id, timestamp, ord): the latest row of each run, with further aggregates of its rows."""
+    return latest_per_key(log, ["exp_id"], "timestamp", "ord", also=also)
 
 
 def per_split(runs: DataFrame, metrics: list[str] = ("exact_match",), extra: list[str] = ()) -> DataFrame:

@@ -11,12 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
-    """One row per key, the last by `newest`; a missing timestamp is the oldest. An aggregate, so a key with many versions is combined before the shuffle."""
-    order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(newest)))
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+def latest_per_key(df: DataFrame, keys: list[str], *newest: Column | str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per key, the last by `newest`; a missing timestamp is the oldest. An aggregate, so a key with many versions is combined before the shuffle.
+
+    Whole rows are kept and sorted: columns that nobody needs should go before, and those of `newest` that are named are kept once. also: further aggregates of a key's rows."""
+    names = [c for c in newest if isinstance(c, str)]
+    order = [F.col(c) if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(newest)]
+    rest = [c for c in df.columns if c not in [*keys, *names]]
+    ordered = not any(kind in t for c, t in df.dtypes if c in rest for kind in ("map<", "variant"))
+    if ordered:  # the rest only decides between rows of one place
+        row = F.max(F.struct(*order, *rest))
+    else:
+        row = F.max_by(F.struct(*names, *rest), F.struct(*order))
+    best = df.groupBy(*keys).agg(row.alias("_row"), *also)
+    more = best.columns[len(keys) + 1 :]
+    return best.select(*keys, *(F.col("_row").getField(c).alias(c) for c in [*names, *rest]), *more).select(*df.columns, *more)
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -98,9 +98,9 @@ def log_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
         for few in (small, not small):
             batch = rows.where((F.col("o_orderstatus") == "P") == few)
             sinks.append_runs(batch.drop("o_orderstatus"), runs, "o_orderkey", copies=False)
-        log = readers.load_results(spark, runs)
-        lines = log.groupBy("exp_id").agg(F.count("*").alias("lines"), F.max("ord.commit").alias("commit"))
-        found.append(AB.current_runs(log).join(lines, "exp_id").select(F.lit(name).alias("log"), "exp_id", "lines", "exact_match", "commit"))
+        log = readers.load_results(spark, runs).select("exp_id", "timestamp", "ord", "exact_match")
+        now = AB.current_runs(log, F.count("*").alias("lines"), F.max("ord.commit").alias("commit"))
+        found.append(now.select(F.lit(name).alias("log"), "exp_id", "lines", "exact_match", "commit"))
     return found[0].unionByName(found[1])
 
 

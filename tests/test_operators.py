@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkledger.functions import costs, ids
 from sparkledger.operators import ablation, breakdown, latest, planning, rates, registry, roadmap, sandbox, stats
+from sparkledger.plans import catalogue
 
 
 def test_latest_and_ties(spark):
@@ -36,6 +39,18 @@ def test_mcnemar_and_holm(spark):
     assert got == pytest.approx({0: 0.03, 2: 0.06, 1: 0.06})
 
 
+def test_latest_with_aggregates_in_one_pass(spark):
+    log = spark.createDataFrame([("a", 1.0, 1, 5), ("a", 1.0, 2, 6), ("b", None, 3, 7)], "exp_id string, timestamp double, ord int, v int")
+    found = ablation.current_runs(log, F.count("*").alias("lines"), F.min("v").alias("least"))
+    assert found.columns == [*log.columns, "lines", "least"] and {tuple(r) for r in found.collect()} == {("a", 1.0, 2, 6, 2, 5), ("b", None, 3, 7, 1, 7)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_log_ties_read_each_log_once(spark):
+    plan = catalogue.QUERIES["log_ties"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [exp_id") == 2 and plan.count("max(struct(timestamp") == 2  # one aggregate a log, with a place kept once
+
+
 def test_item_scores_need_all_runs(spark):
     items = spark.createDataFrame([("g", "r1", "a", True), ("g", "r2", "a", False), ("g", "r1", "b", True)], "g string, exp_id string, uid string, correct boolean")
     assert [(r.uid, r.score) for r in rates.item_scores(items, ["g"]).collect()] == [("a", 0.5)]
