@@ -45,9 +45,9 @@ def executability_rate(value: N.Answer) -> Column:
 def faith_items(predictions: DataFrame, golds: DataFrame, grounding: DataFrame | None = None, key: str = "uid") -> DataFrame:
     """Key, correct, pred, exec_value, grounded: what faithfulness is measured on. A prediction is correct by the primary rule; grounded comes from agreement.grounded, null where nothing is known.
 
-    predictions: key, pred, exec_value (structs of num and text), percent_form; golds: key, gold. Predictions without a gold answer are left out."""
+    predictions: key, pred, exec_value (structs of num and text), percent_form; golds: key, gold, and further columns, which stay. Predictions without a gold answer are left out."""
     both = predictions.join(golds, key)
-    items = both.select(key, N.primary_match(N.of("pred"), N.of("gold"), F.coalesce("percent_form", F.lit(False))).alias("correct"), "pred", "exec_value")
+    items = both.select(key, *(c for c in golds.columns if c not in (*predictions.columns, "gold")), N.primary_match(N.of("pred"), N.of("gold"), F.coalesce("percent_form", F.lit(False))).alias("correct"), "pred", "exec_value")
     if grounding is None:
         return items.withColumn("grounded", F.lit(None).cast("boolean"))
     return items.join(grounding.select(key, "grounded"), key, "left")

@@ -1,7 +1,9 @@
 """Overlap, grounding and votes against plain Python, and their edges."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkledger.operators import agreement, overlap
@@ -71,3 +73,12 @@ def test_votes(spark):
     rows = [("a", 0, 1.0, None), ("a", 1, 2.0, None), ("a", 2, 2.001, None), ("b", 0, 5.0, None), ("b", 1, None, " Yes"), ("b", 2, None, "yes"), ("b", 3, 5.0, None), ("c", 0, None, None), ("d", 3, None, "no"), ("d", 1, 4.0, None)]
     got = {r.q: (r.n, r.groups, r.votes, r.num, r.text) for r in agreement.vote(spark.createDataFrame(rows, "q string, at int, num double, text string"), ["q"], "at", "num", "text").collect()}
     assert got == {"a": (3, 2, 2, 2.0, None), "b": (4, 2, 2, 5.0, None), "c": (0, 0, 0, None, None), "d": (2, 2, 1, 4.0, None)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_faithful_items_are_made_once(spark):
+    from sparkledger.plans import catalogue
+
+    found = catalogue.QUERIES["faithful_and_grounded"](spark, "/root/testdata/sf0.001")
+    assert found.count() == 3 and not [f for f in found.inputFiles() if "testdata" in f]  # it reads what was stored
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2  # predictions with gold answers, programs with cells
